@@ -54,7 +54,61 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM placed
 """
 
+_CODES = """
+    SELECT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) AS bits
+    FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+"""
+
+OP4 = f"""
+WITH codes AS ({_CODES}), asked AS (SELECT DISTINCT vec_id, bits FROM codes WHERE vec_id % 100 = 0),
+pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           list_sum(list_transform(range(1, 65), lambda i: (q.bits[i] <> c.bits[i])::INT))::INT AS distance
+    FROM asked q, codes c
+), ranked AS (
+    SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INT AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
+def _spans(kind: str, place: int, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    found, gaps = f"regexp_extract_all(t, '{quoted}')", f"string_split_regex(t, '{quoted}')"
+    values = f"regexp_extract_all(t, '{quoted}', {group})"
+    return f"""
+    SELECT doc_id, '{kind}' AS kind, {place} AS place, k, start, start + size AS "end" FROM (
+        SELECT doc_id, k, got, size, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT - size AS start FROM (
+            SELECT doc_id, k, length(gaps[k]) AS gap, length(found[k]) AS size, length(got[k]) AS got
+            FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k
+                  FROM (SELECT doc_id, {found} AS found, {gaps} AS gaps, {values} AS got FROM texts))
+        )
+    ) WHERE got >= {least}"""
+
+
+_ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+OP9 = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_spans("assign", 0, _ASSIGN, 2, 12)}
+    UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", 0, 18)}
+    UNION ALL {_spans("hex", 2, "[0-9a-f]+", 0, 16)}
+    UNION ALL {_spans("pem", 3, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0)}
+    UNION ALL {_spans("jwt", 4, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0)}
+), of_doc AS (
+    SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+           string_agg(concat_ws(':', kind, start, "end"), ',' ORDER BY start, place) FILTER (place < 3) AS base,
+           string_agg(concat_ws(':', kind, start, "end"), ',' ORDER BY start, place) AS spans
+    FROM found GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN of_doc f ON t.doc_id = f.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1,
+    "op4_binary_topk": OP4,
     "op6_source_mixing": OP6,
+    "op9_secret_scan": OP9,
 }
