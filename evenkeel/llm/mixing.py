@@ -71,8 +71,8 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     digits = -(-bucket_bits // 4)
     base = docs.select(F.col(id_column), F.col(source_column).alias("source"), random_key(id_column, seed).alias("mix_key"), n_words(text_of(text_column)).alias("size"))
     base = base.withColumns({"range": F.substring("mix_key", 1, digits), "named": F.col("source").isNotNull(), "name": F.coalesce("source", F.lit(""))})
-    base = materialize(base, "mix-sizes")
-    ranges = materialize(base.groupBy("named", "name", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
+    # Sizes are counted in both passes rather than written: the sums are few rows in a few files.
+    ranges = materialize(base.groupBy("named", "name", "range").agg(F.sum("size").alias("range_size")).coalesce(8), "mix-ranges")
     before = Window.partitionBy("named", "name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     sizes = ranges.groupBy("named", "name").agg(F.sum("range_size").alias("source_size")).select(F.when(F.col("named"), F.col("name")).alias("source"), "source_size")
