@@ -9,7 +9,6 @@ tell which sentences give offence.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import materialize, ship, text_of
 
 MAX_LABELLED = 8000
 THRESHOLD = 0.3
@@ -56,59 +55,59 @@ def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def fit(texts: list[str], labels: list[int], max_words: int = 3000, min_documents: int = 4, rounds: int = 200, penalty: float = 1e-4) -> SentenceModel:
-    """Fits the model to whole labelled texts.
+def fit(documents: list[tuple[int, list[list[int]], int]], words: list[str], rounds: int = 200, penalty: float = 1e-4) -> SentenceModel:
+    """Fits the model to documents (number of sentences, word places of the sentences that have any, label).
 
-    Words are chosen by how strongly their occurrence and the label go together (the chi-square of
-    their document counts). Without labels of both kinds all weights are zero and the bias gives
-    the share of toxic documents.
+    Without labels of both kinds all weights are zero and the bias gives the share of toxic
+    documents. Sentences without a chosen word are alike and enter as their number.
     """
-    n, toxic = len(texts), sum(labels)
+    n, toxic = len(documents), sum(y for _, _, y in documents)
     share = (toxic + 1) / (n + 2)
     if not toxic or toxic == n:
         return SentenceModel(math.log(share / (1 - share)), {})
-    sets, with_word, with_toxic = [], Counter(), Counter()
-    for text, y in zip(texts, labels):
-        sentences = [set(_WORD.findall(s)) for s in _SENTENCE.findall(text.lower())] or [set()]
-        sets.append(sentences)
-        words = set().union(*sentences)
-        with_word.update(words)
-        if y:
-            with_toxic.update(words)
-
-    def strength(w: str) -> float:
-        d, a = with_word[w], with_toxic[w]
-        b, c = d - a, toxic - a
-        e = n - d - c
-        return n * (a * e - b * c) ** 2 / max(1, d * (n - d) * toxic * (n - toxic))
-
-    chosen = sorted((w for w, d in with_word.items() if d >= min_documents), key=lambda w: (-strength(w), w))[:max_words]
-    chosen = [w for w in chosen if strength(w) >= 6.6]
-    place = {w: i for i, w in enumerate(chosen)}
-    sentence_of, word_of, document_of = [], [], []
-    for doc, sentences in enumerate(sets):
-        for words in sentences:
-            for w in sorted(words & place.keys()):
-                sentence_of.append(len(document_of))
-                word_of.append(place[w])
-            document_of.append(doc)
-    rows, cols, docs = np.array(sentence_of, np.int64), np.array(word_of, np.int64), np.array(document_of, np.int64)
-    y = np.array(labels, float)
-    theta, bias = np.zeros(len(chosen)), -math.log(max(2.0, len(docs) / n) / share)
-    step, square, square_b = 0.5, np.full(len(chosen), 1e-8), 1e-8
+    rows, cols, docs = [], [], []
+    for doc, (_, hits, _) in enumerate(documents):
+        for sentence in hits:
+            rows += [len(docs)] * len(sentence)
+            cols += sentence
+            docs.append(doc)
+    rows, cols, docs = np.array(rows, np.int64), np.array(cols, np.int64), np.array(docs, np.int64)
+    y = np.array([d[2] for d in documents], float)
+    plain = np.array([max(1, d[0]) - len(d[1]) if d[0] or not d[1] else 0 for d in documents], float)
+    theta, bias = np.zeros(len(words)), -math.log(max(2.0, sum(max(1, d[0]) for d in documents) / n) / share)
+    step, square, square_b = 0.5, np.full(len(words), 1e-8), 1e-8
     for _ in range(rounds):
-        z = np.clip(bias + np.bincount(rows, theta[cols], len(docs)), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        none = np.bincount(docs, np.log1p(-np.minimum(p, 1 - 1e-9)), n)  # log of no toxic sentence
-        some = np.maximum(-np.expm1(none), 1e-9)
-        slope = np.where(y > 0, -np.exp(none) / some, 1.0)[docs] * p / n
-        grad = np.bincount(cols, slope[rows], len(chosen)) + penalty * theta
-        grad_b = slope.sum()
+        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, theta[cols], len(docs)), -30, 30)))
+        p0 = _sigmoid(max(-30.0, min(30.0, bias)))
+        none = np.bincount(docs, np.log1p(-np.minimum(p, 1 - 1e-9)), n) + plain * math.log1p(-min(p0, 1 - 1e-9))  # log of no toxic sentence
+        slope = np.where(y > 0, -np.exp(none) / np.maximum(-np.expm1(none), 1e-9), 1.0) / n
+        own = slope[docs] * p
+        grad = np.bincount(cols, own[rows], len(words)) + penalty * theta
+        grad_b = own.sum() + (slope * plain).sum() * p0
         square += grad**2
         square_b += grad_b**2
         theta -= step * grad / np.sqrt(square)
         bias -= step * grad_b / math.sqrt(square_b)
-    return SentenceModel(float(bias), {w: float(t) for w, t in zip(chosen, theta) if abs(t) > 0.02})
+    return SentenceModel(float(bias), {w: float(t) for w, t in zip(words, theta) if abs(t) > 0.02})
+
+
+def _words_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([sorted(set(_WORD.findall(t.lower()))) for t in batch], dtype="object")
+
+
+def _choose_words(sample: DataFrame, max_words: int, min_documents: int) -> list[str]:
+    """The words whose occurrence and the label go together most, by the chi-square of their document counts."""
+    totals = sample.agg(F.count("*").alias("n"), F.sum("_label").alias("toxic")).first()
+    n, toxic = totals["n"], totals["toxic"] or 0
+    if not 0 < toxic < n:
+        return []
+    counts = sample.select("_label", F.explode(F.pandas_udf(_words_of, "array<string>")("_text")).alias("w")).groupBy("w").agg(F.count("*").cast("double").alias("d"), F.sum("_label").cast("double").alias("a")).where(F.col("d") >= min_documents)
+    d, a = F.col("d"), F.col("a")
+    b, c = d - a, F.lit(float(toxic)) - a
+    strength = n * F.pow(a * (n - d - c) - b * c, F.lit(2.0)) / F.greatest(d * (n - d) * float(toxic) * float(n - toxic), F.lit(1.0))
+    best = counts.withColumn("s", strength).where("s >= 6.6").orderBy(F.desc("s"), "w").limit(max_words)
+    return [r["w"] for r in best.select("w").collect()]
 
 
 def held_out(id_column: str = "doc_id"):
@@ -116,14 +115,32 @@ def held_out(id_column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_labelled: int = MAX_LABELLED) -> SentenceModel:
-    """Fits the model to at most ``max_labelled`` labelled documents that aren't held out, chosen by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_labelled: int = MAX_LABELLED, max_words: int = 3000, min_documents: int = 4) -> SentenceModel:
+    """Fits the model to at most ``max_labelled`` labelled documents that aren't held out, chosen by a hash of the id.
+
+    Words are counted and chosen, and sentences turned to word places, by Spark; the driver gets
+    the places of at most ``max_words`` words in the sentences of the sample.
+    """
     usable = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(id_column))
     chosen = usable.groupBy(F.col(id_column).alias("_label_id")).agg(F.max(label_column).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(11), "_label_id"), "_label_id").limit(max_labelled)
     found = docs.select(F.col(id_column).alias("_id"), text_of(text_column).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_label_id"))
-    rows = found.orderBy("_id", F.xxhash64("_text")).select("_text", "_label").limit(2 * max_labelled).collect()
-    return fit([r["_text"] for r in rows], [int(r["_label"]) for r in rows])
+    ship(docs.sparkSession)
+    sample = materialize(found.select("_id", "_text", F.col("_label").cast("int").alias("_label")), "toxicity-sample")
+    words = _choose_words(sample, max_words, min_documents)
+    sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def places(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        place = sent.value
+        for texts in batches:
+            rows = []
+            for text in texts:
+                sentences = [place.keys() & set(_WORD.findall(x)) for x in _SENTENCE.findall(text.lower())]
+                rows.append((len(sentences), [sorted(place[w] for w in x) for x in sentences if x]))
+            yield pd.DataFrame(rows, columns=["n", "hits"])
+
+    rows = sample.select("_id", "_label", F.pandas_udf(places, "n int, hits array<array<int>>")("_text").alias("f")).orderBy("_id", "f").limit(2 * max_labelled).collect()
+    return fit([(r["f"]["n"], r["f"]["hits"], r["_label"]) for r in rows], words)
 
 
 def score_documents(docs: DataFrame, model: SentenceModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
