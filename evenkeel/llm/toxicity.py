@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -26,29 +26,50 @@ _WORD = regex.compile(r"\p{L}+")
 _SENTENCE = regex.compile(r"[^.!?\n]+")
 
 
+#: Words are features, and so are their first letters: inflected and compound forms share them.
+STEMS = (4, 6)
+CACHE_WORDS = 300_000
+
+
+def features_of(word: str) -> list[str]:
+    return [word, *[f"{word[:n]}~" for n in STEMS if len(word) > n]]
+
+
 @dataclass
 class SentenceModel:
     bias: float
     weights: dict[str, float]
+    known: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    def hits(self, sentence: str) -> set[str]:
+        """The features of a lower-cased sentence that have a weight."""
+        found: set[str] = set()
+        known = self.known
+        for w in _WORD.findall(sentence):
+            own = known.get(w)
+            if own is None:
+                if len(known) >= CACHE_WORDS:
+                    known.clear()
+                own = known[w] = tuple(f for f in features_of(w) if f in self.weights)
+            if own:
+                found.update(own)
+        return found
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's probability, and (start, end, probability) of its offending sentences."""
-        text = text or ""
-        low = text.lower()
-        weights = self.weights
-        n = max(1, sum(1 for _ in _SENTENCE.finditer(low)))
         plain = math.log1p(-_sigmoid(self.bias))
-        if weights.keys().isdisjoint(_WORD.findall(low)):
-            return -math.expm1(n * plain), []
-        clean, bad = 0.0, []
-        for m in _SENTENCE.finditer(text):
-            found = set(_WORD.findall(m.group().lower()))
-            hit = weights.keys() & found
-            p = _sigmoid(self.bias + math.fsum(weights[w] for w in hit)) if hit else None
-            clean += plain if p is None else math.log1p(-min(p, 1 - 1e-12))
-            if p is not None and p >= THRESHOLD:
+        clean, bad, n = 0.0, [], 0
+        for m in _SENTENCE.finditer(text or ""):
+            n += 1
+            hit = self.hits(m.group().lower())
+            if not hit:
+                clean += plain
+                continue
+            p = _sigmoid(self.bias + math.fsum(self.weights[f] for f in hit))
+            clean += math.log1p(-min(p, 1 - 1e-12))
+            if p >= THRESHOLD:
                 bad.append((m.start(), m.end(), p))
-        return -math.expm1(clean), bad
+        return -math.expm1(clean if n else plain), bad
 
 
 def _sigmoid(z: float) -> float:
@@ -93,7 +114,7 @@ def fit(documents: list[tuple[int, list[list[int]], int]], words: list[str], rou
 
 def _words_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
-        yield pd.Series([sorted(set(_WORD.findall(t.lower()))) for t in batch], dtype="object")
+        yield pd.Series([sorted({f for w in set(_WORD.findall(t.lower())) for f in features_of(w)}) for t in batch], dtype="object")
 
 
 def _choose_words(sample: DataFrame, max_words: int, min_documents: int) -> list[str]:
@@ -135,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         for texts in batches:
             rows = []
             for text in texts:
-                sentences = [place.keys() & set(_WORD.findall(x)) for x in _SENTENCE.findall(text.lower())]
+                sentences = [place.keys() & {f for w in set(_WORD.findall(x.lower())) for f in features_of(w)} for x in _SENTENCE.findall(text)]
                 rows.append((len(sentences), [sorted(place[w] for w in x) for x in sentences if x]))
             yield pd.DataFrame(rows, columns=["n", "hits"])
 
