@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap_seconds: int = 3600) -> DataFrame:
     """Adds ``session`` (from 1): a gap of ``gap_seconds`` or more opens a new one."""
     w = Window.partitionBy(user).orderBy(ts, "event_id")
-    gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))
+    gap = F.timestamp_diff("MICROSECOND", F.lag(ts).over(w), F.col(ts))
     opens = F.when(gap.isNull() | (gap >= gap_seconds * 1_000_000), 1).otherwise(0)
     return events.withColumn("_opens", opens).withColumn("session", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
