@@ -131,7 +131,11 @@ def train(labelled: DataFrame, url_column: str = "url", max_labelled: int = MAX_
         return UrlModel(None, {}, prior)
     by_suffix = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).orderBy(F.desc("n"), "suffix").limit(max_suffixes).collect()
     rates = {r["suffix"]: (r["bad"] + 5 * prior) / (r["n"] + 5) for r in by_suffix}
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(with_rates(sample, rates, prior)).select("label", "_features")
+    # A quarter of the urls show the share of all instead, as unknown suffixes do: so the trees learn
+    # what the other features say where the suffix says nothing.
+    unknown = F.pmod(F.xxhash64(F.lit(17), "url"), F.lit(4)) == 0
+    masked = with_rates(sample, rates, prior).withColumn("suffix_block_rate", F.when(unknown, F.lit(float(prior))).otherwise(F.col("suffix_block_rate")))
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(masked).select("label", "_features")
     learner = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_prediction", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed)
     fitted = learner.fit(ready.coalesce(4)).setRawPredictionCol("_raw").setProbabilityCol("_probability")
     return UrlModel(fitted, rates, prior)
