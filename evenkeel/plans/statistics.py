@@ -22,7 +22,7 @@ def _cumulative(counts: DataFrame) -> DataFrame:
     w = Window.orderBy("x")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy()
-    return counts.withColumns({"f1": F.sum("c1").over(upto) / F.sum("c1").over(everything), "f2": F.sum("c2").over(upto) / F.sum("c2").over(everything), "next": F.lead("x").over(w)})
+    return counts.withColumns({"f1": F.try_divide(F.sum("c1").over(upto), F.sum("c1").over(everything)), "f2": F.try_divide(F.sum("c2").over(upto), F.sum("c2").over(everything)), "next": F.lead("x").over(w)})
 
 
 def ks_statistic(rows: DataFrame, value: str, group: str) -> DataFrame:

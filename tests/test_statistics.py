@@ -38,8 +38,8 @@ def test_cdf_area(spark, sample):
         statistics.cdf_area(frame(spark, [0.5, 0.5], [1, 1]), "x", "s").collect()
 
 
-def binned(sample):
-    return sample.withColumn("b", prepare.score_bin(F.col("x"), 1.0, 5.0, 4.0))
+def binned(sample, step=4.0):
+    return sample.withColumn("b", prepare.score_bin(F.col("x"), 1.0, 5.0, step))
 
 
 def test_chi_square(sample):
@@ -49,7 +49,7 @@ def test_chi_square(sample):
 
 
 def test_mutual_information(sample):
-    r = statistics.mutual_information(binned(sample), "b", "s").first()
+    r = statistics.mutual_information(binned(sample, 1.0), "b", "s").first()
     assert r["mi"] == pytest.approx(0.1184939225613002) and r["gmean"] == pytest.approx(0.17183544089285782)
 
 
