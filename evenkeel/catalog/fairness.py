@@ -169,11 +169,11 @@ def value_adjustment(v: Views):
 
 
 @query("G2_parity_adjustment", sql(_ADJ + """, gap AS (SELECT avg(score) FILTER (sensitive) - avg(score) FILTER (NOT sensitive) AS d FROM seen)
-SELECT user_id, item_id, round(score - CASE WHEN sensitive THEN d ELSE 0 END, 4) AS adjusted, round(score + CASE WHEN sensitive THEN -d / 2 ELSE d / 2 END, 4) AS adjusted_half FROM truth, gap""", SCORED))
+SELECT user_id, item_id, round(score - CASE WHEN sensitive THEN d ELSE 0 END, 6) AS adjusted, round(score + CASE WHEN sensitive THEN -d / 2 ELSE d / 2 END, 6) AS adjusted_half FROM truth, gap""", SCORED))
 def parity_adjustment(v: Views):
     seen = _seen(v)
     once = P.parity_adjust(seen, _truth(v)).withColumnRenamed("adjusted", "whole")
-    return P.parity_adjust(seen, once, split=True).select("user_id", "item_id", F.round("whole", 4).alias("adjusted"), F.round("adjusted", 4).alias("adjusted_half"))
+    return P.parity_adjust(seen, once, split=True).select("user_id", "item_id", F.round("whole", 6).alias("adjusted"), F.round("adjusted", 6).alias("adjusted_half"))
 
 
 @query("G4_equalised_scores", sql("""+ t AS (SELECT avg(score) AS mt, stddev_pop(score) AS st FROM scored), g AS (SELECT sensitive, avg(score) AS mg, stddev_pop(score) AS sg FROM scored GROUP BY 1)

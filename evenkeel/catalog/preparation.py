@@ -37,11 +37,11 @@ def listeners(v: Views):
     return readers.clean_listeners(c)
 
 
-@query("S13_T19_first_review_labels", """WITH r AS (SELECT o_custkey AS u, l_partkey AS i, l_quantity AS q, row_number() OVER (PARTITION BY o_custkey, l_partkey ORDER BY o_orderdate, l_orderkey, l_linenumber) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+@query("S13_T19_first_review_labels", """WITH r AS (SELECT o_custkey AS u, l_partkey AS i, l_quantity AS q, row_number() OVER (PARTITION BY o_custkey, l_partkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_suppkey, l_quantity) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT u AS "user", i AS item, q AS rating, (q > 25)::INT AS label FROM r WHERE r = 1""")
 def first_reviews(v: Views):
     rows = v.table("lineitem").join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    first = T.first_per_pair(rows, "o_custkey", "l_partkey", ["o_orderdate", "l_orderkey", "l_linenumber"])
+    first = T.first_per_pair(rows, "o_custkey", "l_partkey", ["o_orderdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"])
     return first.select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item"), F.col("l_quantity").alias("rating"), (F.col("l_quantity") > 25).cast("int").alias("label"))
 
 

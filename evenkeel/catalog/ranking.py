@@ -78,7 +78,7 @@ def tie_averaged(v: Views):
     return R.tie_averaged_ndcg(_hits(v), v.test, 10).select("user_id", r6("ndcg"))
 
 
-_ERR = """SELECT user_id, round(coalesce(rmse, 0), 4) AS rmse, round(coalesce(mae, 0), 4) AS mae FROM users LEFT JOIN (
+_ERR = """SELECT user_id, round(coalesce(rmse, 0), 9) AS rmse, round(coalesce(mae, 0), 9) AS mae FROM users LEFT JOIN (
     SELECT user_id, sqrt(avg((score - rating) * (score - rating))) AS rmse, avg(abs(score - rating)) AS mae FROM truth GROUP BY 1) USING (user_id)"""
 
 
@@ -86,7 +86,7 @@ _ERR = """SELECT user_id, round(coalesce(rmse, 0), 4) AS rmse, round(coalesce(ma
 def errors(v: Views):
     from evenkeel.plans.fairness import user_errors
 
-    return user_errors(v.test, v.predictions, v.users).select("user_id", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"))
+    return user_errors(v.test, v.predictions, v.users).select("user_id", F.round("rmse", 9).alias("rmse"), F.round("mae", 9).alias("mae"))
 
 
 _POP = "+ pop AS (SELECT item_id, count(*) AS n FROM train GROUP BY 1), top AS (SELECT user_id, coalesce(n, 0) AS n FROM ranked LEFT JOIN pop USING (item_id) WHERE rank <= 10)"
@@ -181,7 +181,7 @@ def list_metrics(v: Views):
 
 @query("M32_optimistic_ranking", sql("""+ labelled AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, hit DESC, item_id) AS r FROM ranked)
 SELECT round(avg(hit10), 6) AS hit_at_10, round(avg(p10), 6) AS precision_at_10, round(avg(r10), 6) AS recall_at_10 FROM (
-    SELECT user_id, (sum(hit) FILTER (r <= 10) > 0)::INT AS hit10, sum(hit) FILTER (r <= 10) / 10.0::DOUBLE AS p10, (sum(hit) FILTER (r <= 10))::DOUBLE / sum(hit) AS r10 FROM labelled GROUP BY 1)""", RANKED))
+    SELECT user_id, (sum(hit) FILTER (r <= 10) > 0)::INT AS hit10, sum(hit) FILTER (r <= 10) / 10.0::DOUBLE AS p10, (sum(hit) FILTER (r <= 10))::DOUBLE / nullif(sum(hit), 0) AS r10 FROM labelled GROUP BY 1)""", RANKED))
 def optimistic(v: Views):
     """Ties of the score go in favour of hits; users without test items have no recall."""
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("hit"), "item_id")
