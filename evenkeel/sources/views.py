@@ -16,10 +16,16 @@ CANDIDATE_CLASSES = 100
 
 
 class Views:
-    """The views of one folder of tables. Each property is a lazy DataFrame."""
+    """The views of one folder of tables. Each property is a lazy DataFrame.
+
+    The split is what most views begin with, several times over in one plan: it is kept in the
+    executors (memory, then disk; computed again if lost) when first used, and other queries of the
+    session find it there. ``release`` gives it up.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._parts: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -43,7 +49,14 @@ class Views:
     @property
     def parts(self) -> DataFrame:
         """Interactions with ``part`` (train, val or test), 70/10/20 by time within each user."""
-        return per_user_timestamp_split(self.interactions, "user_id", ["ts", "item_id"], val=0.1, test=0.2)
+        if self._parts is None:
+            self._parts = per_user_timestamp_split(self.interactions, "user_id", ["ts", "item_id"], val=0.1, test=0.2).persist()
+        return self._parts
+
+    def release(self) -> None:
+        if self._parts is not None:
+            self._parts.unpersist()
+            self._parts = None
 
     def part(self, name: str) -> DataFrame:
         return self.parts.where(F.col("part") == name).drop("part")
@@ -65,10 +78,13 @@ class Views:
         train = parts.where("part = 'train'")
         users = parts.select("user_id").distinct()
         items = parts.select("item_id").distinct()
-        # Candidates are an equi-join on the residue class, not a product of users and items.
-        mine = users.withColumn("class", F.col("user_id") * 7919 % CANDIDATE_CLASSES).join(items.withColumn("class", F.col("item_id") % CANDIDATE_CLASSES), "class").select("user_id", "item_id")
-        wanted = mine.union(parts.where("part = 'test'").select("user_id", "item_id")).distinct()
-        wanted = wanted.join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+        # Candidates are an equi-join on the residue class, not a product of users and items. Test
+        # items of another class are added: the two sets are disjoint and need no distinct.
+        own = F.col("user_id") * 7919 % CANDIDATE_CLASSES
+        mine = users.withColumn("class", own).join(items.withColumn("class", F.col("item_id") % CANDIDATE_CLASSES), "class").select("user_id", "item_id")
+        fresh = mine.join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+        others = parts.where((F.col("part") == "test") & (own != F.col("item_id") % CANDIDATE_CLASSES)).select("user_id", "item_id")
+        wanted = fresh.union(others)
         return bias_scores(train, wanted)
 
     @property
