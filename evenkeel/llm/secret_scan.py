@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, text_of
+from .common import materialize, new_path, text_of
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,9 @@ def scan_history(docs: DataFrame, ledger: BlobLedger | None = None, path_column:
     number = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
     found = ledger.findings().distinct().withColumn("kind", number[F.col("rule")]).where("kind is not null")
     span = F.struct("start", "kind", F.concat_ws(":", F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind") + 1), F.col("start").cast("string"), F.col("end").cast("string")).alias("said"))
-    of_blob = found.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("all"))
+    # Written, so that both sides of the join are plain exchanges: then a blob that many paths hold
+    # is split over tasks, or the findings are broadcast if they turn out small.
+    of_blob = materialize(found.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("all")), "blob-findings")
     paths = docs.select(F.col(path_column), blob_of(text_of(text_column)).alias("blob"))
     joined = paths.join(of_blob, "blob", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,said:string>>")))
 
