@@ -100,7 +100,7 @@ def _least_owners(lines: DataFrame) -> DataFrame:
 
 def add_batch(runs: LineRuns, lines: DataFrame) -> None:
     """Adds one batch of line hashes. Batches come in ascending order of their ids."""
-    runs.add(materialize(runs.unseen(_least_owners(lines)), "line-new"))
+    runs.add(runs.unseen(_least_owners(lines)))
 
 
 def _cut_points(docs: DataFrame, id_column: str, batches: int) -> list[int]:
