@@ -27,7 +27,7 @@ class LineRuns:
     defaults to ``spark.sql.shuffle.partitions`` so that a merge shuffles the new batch only.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fanout: int = 3):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fanout: int = 2):
         if fanout < 2:
             raise ValueError("fanout is 2 at least")
         self.spark, self.path, self.fanout = spark, path or new_path(spark, "line-runs"), fanout
@@ -111,7 +111,7 @@ def _cut_points(docs: DataFrame, id_column: str, batches: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_KEY_CHARS, batches: int = 4, fanout: int = 3, buckets: int | None = None, runs: LineRuns | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_KEY_CHARS, batches: int = 2, fanout: int = 2, buckets: int | None = None, runs: LineRuns | None = None) -> DataFrame:
     """Drops the lines of ``docs`` that a document with a smaller id holds too.
 
     Adds to the columns of ``docs``: ``n_lines long`` (before dropping), ``n_dropped long`` and
