@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evenkeel.functions.scalars import percentage_difference
+from evenkeel.operators.numbering import numbered
 from evenkeel.plans import models as G
 from evenkeel.plans import ranking as R
 from evenkeel.sources.views import Views
@@ -53,7 +55,7 @@ def relative(v: Views):
     g1, g2 = F.avg(F.when(F.col("sensitive"), F.col("rating"))), F.avg(F.when(~F.col("sensitive"), F.col("rating")))
     x = v.interactions.join(v.users, "user_id").join(v.items, "item_id").groupBy("category").agg(g1.alias("a"), g2.alias("b"))
     a, b = F.col("a"), F.col("b")
-    return x.select("category", r6((a - b) / a, "loss"), r6(a - b, "change"), r6(F.when(a + b > 0, F.abs(a - b) / ((a + b) / 2)).otherwise(0.0), "percentage_difference"))
+    return x.select("category", r6((a - b) / a, "loss"), r6(a - b, "change"), r6(percentage_difference(a, b), "percentage_difference"))
 
 
 @query("A11_repeated_runs", """WITH r AS (SELECT regexp_replace('model ' || (o_orderkey % 3)::VARCHAR, ' [0-9]+$', '') AS model, o_orderpriority AS metric, o_totalprice AS value FROM orders)
@@ -117,7 +119,7 @@ def first_last(v: Views):
 
 @query("W8_partition_numbers", sql("SELECT user_id, ((row_number() OVER (ORDER BY user_id) - 1) % 5 + 1)::INT AS part FROM users"))
 def partition_numbers(v: Views):
-    return v.users.select("user_id", ((F.row_number().over(Window.orderBy("user_id")) - 1) % 5 + 1).alias("part"))
+    return numbered(v.users.select("user_id"), ["user_id"], "i").select("user_id", (F.col("i") % 5 + 1).cast("int").alias("part"))
 
 
 @query("W9_W10_sorted_rows", sql("SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, coalesce(rating, 0) DESC, item_id)::INT AS place FROM scored", SCORED))

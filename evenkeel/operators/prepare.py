@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .split import hash_order
+from evenkeel.functions.scalars import age_bin, binarize, power_transform, score_bin  # noqa: F401
 
-#: Lower bounds of the age bins.
-AGE_BOUNDS = (1, 18, 25, 35, 45, 50, 56)
+from .numbering import numbered
+from .split import hash_order
 
 
 def to_int(rows: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -60,13 +60,6 @@ def min_max(rows: DataFrame, column: str, low: float, high: float) -> DataFrame:
     return rows.join(F.broadcast(bounds), F.lit(True)).withColumn("scaled", scaled).drop("_lo", "_hi")
 
 
-def power_transform(x: Column, lam: float) -> Column:
-    """Yeo-Johnson transform of a fixed parameter."""
-    pos = F.log1p(x) if lam == 0 else (F.pow(x + 1, F.lit(lam)) - 1) / lam
-    neg = -F.log1p(-x) if lam == 2 else -(F.pow(1 - x, F.lit(2 - lam)) - 1) / (2 - lam)
-    return F.when(x >= 0, pos).otherwise(neg)
-
-
 def fit_power(rows: DataFrame, column: str, low: float = -2.0, high: float = 2.0, steps: int = 3, points: int = 9) -> float:
     """The Yeo-Johnson parameter of highest likelihood: a grid refined in ``steps`` aggregations."""
     best = 1.0
@@ -87,8 +80,7 @@ def fit_power(rows: DataFrame, column: str, low: float = -2.0, high: float = 2.0
 def dense_ids(rows: DataFrame, key: str, output: str) -> DataFrame:
     """Adds ids from 0 in the order of the key, by way of a table of the distinct keys."""
     keys = rows.select(key).distinct().where(F.col(key).isNotNull())
-    ids = keys.withColumn(output, F.row_number().over(Window.orderBy(key)) - 1)
-    return rows.join(ids, key, "left")
+    return rows.join(numbered(keys, [key], output), key, "left")
 
 
 def to_internal(rows: DataFrame, ids: DataFrame, key: str, n_objects: int, internal: str = "iid") -> DataFrame:
@@ -96,16 +88,6 @@ def to_internal(rows: DataFrame, ids: DataFrame, key: str, n_objects: int, inter
     return rows.join(ids, key, "left").withColumn(internal, F.coalesce(F.col(internal), F.lit(n_objects)))
 
 
-def score_bin(score: Column, low: float, high: float, step: float) -> Column:
-    """Place of the level of a score domain that is nearest, halves upwards."""
-    top = int(round((high - low) / step))
-    return F.least(F.greatest(F.floor((score - low) / step + 0.5), F.lit(0)), F.lit(top)).cast("int")
-
-
-def binarize(score: Column, threshold: float) -> Column:
-    return F.when(score <= threshold, 0).otherwise(1)
-
-
 def first_per_pair(rows: DataFrame, user: str, item: str, order: list[str]) -> DataFrame:
     """The first row of each (user, item) in the given order."""
     w = Window.partitionBy(user, item).orderBy(*order)
@@ -117,17 +99,9 @@ def complement_pairs(users: DataFrame, items: DataFrame, known: DataFrame) -> Da
     return users.select("user_id").crossJoin(items.select("item_id")).join(known.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
-def age_bin(age: Column) -> Column:
-    """The largest bound up to the age; null for ages of 0 and below and where there is none."""
-    out = F.lit(None).cast("int")
-    for bound in AGE_BOUNDS:
-        out = F.when(age >= bound, F.lit(bound)).otherwise(out)
-    return F.when(age > 0, out)
-
-
 def short_head(counts: DataFrame, share: float) -> DataFrame:
     """Adds ``short_head``: whether an item is among the most popular ``share`` of all, by rank."""
-    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "item_id")))
+    ranked = numbered(counts, [F.desc("n"), F.col("item_id")], "rank", start=1)
     total = counts.agg(F.count("*").alias("items"))
     return ranked.join(F.broadcast(total), F.lit(True)).withColumn("short_head", F.col("rank") <= F.floor(F.col("items") * F.lit(share))).drop("items")
 

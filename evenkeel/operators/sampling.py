@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .numbering import numbered
+
 
 def item_numbers(items: DataFrame) -> DataFrame:
     """Items numbered from 0, for choice by number."""
-    return items.select("item_id").distinct().withColumn("number", F.row_number().over(Window.orderBy("item_id")) - 1)
+    return numbered(items.select("item_id").distinct(), ["item_id"], "number")
 
 
 def negatives(positives: DataFrame, items: DataFrame, known: DataFrame, per_positive: int, tries: int = 4, seed: int = 0) -> DataFrame:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+from evenkeel.functions.scalars import dot
 
 
 def factor_scores(pairs: DataFrame, users: DataFrame, items: DataFrame, mu: float) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evenkeel.functions.scalars import dot, safe_sigmoid  # noqa: F401
+from evenkeel.operators.numbering import numbered
+
 
 def biases(train: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mean rating (one row, ``mu``), and the mean deviations of items (``bi``) and users (``bu``)."""
@@ -25,7 +28,7 @@ def bias_scores(train: DataFrame, pairs: DataFrame) -> DataFrame:
 def popularity_scores(train: DataFrame) -> DataFrame:
     """Items ranked by their interactions: (item_id, n, rank), ties by id."""
     counts = train.groupBy("item_id").agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "item_id")))
+    return numbered(counts, [F.desc("n"), F.col("item_id")], "rank", start=1).withColumn("rank", F.col("rank").cast("int"))
 
 
 def stratified_popularity(train: DataFrame, users: DataFrame, *strata: str) -> DataFrame:
@@ -66,11 +69,6 @@ def log_counts(counts: DataFrame, value: str) -> DataFrame:
     return counts.withColumn("logged", F.log10(value)).withColumn("back", F.pow(F.lit(10.0), F.col("logged")))
 
 
-def safe_sigmoid(x: Column, edge: float = 34.538776394910684) -> Column:
-    """Logistic function of the argument clipped to +-``edge``, where 1 - 1e-15 is reached."""
-    return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(edge)), F.lit(-edge))))
-
-
 def degree_vector(edges: DataFrame, node: str) -> DataFrame:
     """1 / (degree + 1) of each node."""
     return edges.groupBy(node).agg((1 / (F.count("*") + 1)).alias("weight"))
@@ -91,8 +89,7 @@ def dot_product_top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame
 
     The queries are a stated set against all items; partial top-k keeps what is shuffled small.
     """
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = items.crossJoin(F.broadcast(queries)).select("query_id", "item_id", F.round(dot, 5).alias("score"))
+    scored = items.crossJoin(F.broadcast(queries)).select("query_id", "item_id", F.round(dot("q", "v"), 5).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))).where(F.col("rank") <= k)
 
 

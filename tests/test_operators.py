@@ -133,3 +133,13 @@ def test_streamed_sessions_equal_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r["user_id"], str(r["started"]), r["n_events"]) for r in spark.table("streamed").collect()) == batch
+
+
+def test_numbering_equals_a_global_window(spark):
+    from evenkeel.operators.numbering import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 3).alias("g")).repartition(5)
+    got = numbered(rows, [F.desc("g"), F.col("k")], "i", start=1).orderBy("i").collect()
+    assert [r["i"] for r in got] == list(range(1, 1001))
+    assert [(r["g"], r["k"]) for r in got] == sorted(((r["g"], r["k"]) for r in got), key=lambda x: (-x[0], x[1]))
+    assert numbered(rows.limit(0), ["k"], "i").count() == 0
