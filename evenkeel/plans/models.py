@@ -43,7 +43,7 @@ def stratified_scores(pairs: DataFrame, users: DataFrame, shares: DataFrame, *st
     return known.join(shares.select(*strata, "item_id", "share"), [*strata, "item_id"], "left").select("user_id", "item_id", F.coalesce("share", F.lit(0.0)).alias("score"))
 
 
-def item_neighbours(train: DataFrame, k: int, max_profile: int | None = None) -> DataFrame:
+def item_neighbours(train: DataFrame, k: int) -> DataFrame:
     """The ``k`` items most similar by cosine of their rating vectors: (item_id, other_id, similarity, rank).
 
     Pairs come from a self-join on users with a partial sum for each pair.
