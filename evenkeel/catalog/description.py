@@ -143,7 +143,7 @@ _METRICS = """+ metric AS (SELECT user_id, 'precision' AS metric, tp / k::DOUBLE
 
 
 def _metrics(v: Views):
-    n = v.interactions.agg(F.countDistinct("item_id").alias("n")).first()["n"]
+    n = v.parts.agg(F.countDistinct("item_id").alias("n")).first()["n"]
     counts = R.user_counts(R.with_hits(R.ranked(v.predictions), v.test), v.users, v.train, v.test, n, (10,))
     return R.user_metrics(counts, ["precision", "mrr"], (10,))
 

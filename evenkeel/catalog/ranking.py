@@ -19,7 +19,7 @@ def _hits(v: Views):
 
 
 def _counts(v: Views):
-    n = v.interactions.agg(F.countDistinct("item_id").alias("n")).first()["n"]
+    n = v.parts.agg(F.countDistinct("item_id").alias("n")).first()["n"]
     return R.user_counts(_hits(v), v.users, v.train, v.test, n, K)
 
 
@@ -104,7 +104,7 @@ def novelty(v: Views):
 
 @query("M18_item_coverage", sql("SELECT round(count(DISTINCT item_id)::DOUBLE / (SELECT n_items FROM n_items), 2) AS item_coverage FROM ranked WHERE rank <= 10", RANKED))
 def item_coverage(v: Views):
-    return R.item_coverage(R.ranked(v.predictions), v.interactions.agg(F.countDistinct("item_id")).first()[0], 10)
+    return R.item_coverage(R.ranked(v.predictions), v.parts.agg(F.countDistinct("item_id")).first()[0], 10)
 
 
 @query("M19_user_coverage", sql("SELECT count(*) FILTER (gain > 0)::BIGINT AS user_coverage FROM counts WHERE k = 10", RANKED))

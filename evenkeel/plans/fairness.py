@@ -116,20 +116,21 @@ def entropy_index(benefits: DataFrame, alpha: float) -> DataFrame:
 
     ``total = between + within``: groups weigh by their share of users and their mean benefit.
     """
-    mean = benefits.agg(F.avg("benefit").alias("m"), F.count("*").alias("n"))
-    groups = benefits.groupBy("sensitive").agg(F.avg("benefit").alias("mg"), F.count("*").alias("ng"))
-    rows = benefits.join(F.broadcast(groups), "sensitive").join(F.broadcast(mean), F.lit(True))
-    r, rg = F.col("benefit") / F.col("mg"), F.col("mg") / F.col("m")
-    share = F.col("ng") / F.col("n")
+    b, mg, m = F.col("benefit"), F.col("mg"), F.col("m")
+    moment = F.avg(b * F.log(b)) if alpha == 1 else F.avg(F.log(b)) if alpha == 0 else F.avg(F.pow(b, F.lit(float(alpha))))
+    # One pass over the users; what follows are the two rows of the groups.
+    groups = benefits.groupBy("sensitive").agg(F.avg(b).alias("mg"), F.count("*").alias("ng"), moment.alias("f"))
+    both = Window.partitionBy()
+    groups = groups.withColumns({"n": F.sum("ng").over(both), "m": F.sum(mg * F.col("ng")).over(both) / F.sum("ng").over(both)})
+    share, f, rg = F.col("ng") / F.col("n"), F.col("f"), mg / m
     if alpha == 1:
-        inner, within, between = r * F.log(r), share * rg, share * rg * F.log(rg)
+        inner, within, between = f / mg - F.log(mg), share * rg, share * rg * F.log(rg)
     elif alpha == 0:
-        inner, within, between = -F.log(r), share, -share * F.log(rg)
+        inner, within, between = F.log(mg) - f, share, -share * F.log(rg)
     else:
         scale = alpha * (alpha - 1)
-        inner, within, between = (F.pow(r, F.lit(alpha)) - 1) / scale, share * F.pow(rg, F.lit(alpha)), share * (F.pow(rg, F.lit(alpha)) - 1) / scale
-    per = rows.groupBy("sensitive").agg(F.avg(inner).alias("inner"), F.first(within).alias("w"), F.first(between).alias("b"))
-    return per.agg(F.sum("b").alias("between"), F.sum(F.col("w") * F.col("inner")).alias("within")).withColumn("total", F.col("between") + F.col("within"))
+        inner, within, between = (f / F.pow(mg, F.lit(float(alpha))) - 1) / scale, share * F.pow(rg, F.lit(float(alpha))), share * (F.pow(rg, F.lit(float(alpha))) - 1) / scale
+    return groups.agg(F.sum(between).alias("between"), F.sum(within * inner).alias("within")).withColumn("total", F.col("between") + F.col("within"))
 
 
 def plain_entropy_index(benefits: DataFrame, alpha: float) -> DataFrame:
