@@ -30,9 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
         if held.isDefined():
             base = held.get()
         else:
-            base = tempfile.mkdtemp(prefix="evenkeel-")
-            spark.sparkContext.setCheckpointDir(f"file://{base}")
-    return base.rstrip("/") if "://" in base else f"file://{base.rstrip('/')}"
+            base = f"file://{tempfile.mkdtemp(prefix='evenkeel-')}"
+            spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")  # without a scheme Spark takes it to be on its default file system
 
 
 def new_path(spark: SparkSession, name: str) -> str:
