@@ -115,34 +115,40 @@ def with_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     the group has none. Repeated rows stay. Empty tables give empty results. Other columns of
     ``docs`` are not read.
     """
+    return _grouped(docs, id_column, text_column, distance, n_blocks, bucket_limit).select(id_column, "row_digest", "fingerprint_bits", "component_id")
+
+
+def _grouped(docs: DataFrame, id_column: str, text_column: str, distance: int = 3, n_blocks: int = 5, bucket_limit: int = 100) -> DataFrame:
+    """``with_components`` and ``root long``, the group's smallest fingerprint, which no other group has."""
     ship(docs.sparkSession)
     hashed = F.pandas_udf(_fingerprints, "long")
     prints = docs.select(F.col(id_column), row_key(id_column, text_of(text_column)).alias("row_digest"), hashed(text_of(text_column)).alias("fingerprint_bits"))
     prints = materialize(prints, "fingerprints")
     groups = print_components(prints.select(F.col(id_column).cast("long").alias("id"), F.col("fingerprint_bits").alias("fp")), distance, n_blocks, bucket_limit)
-    return prints.join(groups, "fingerprint_bits").select(id_column, "row_digest", "fingerprint_bits", "component_id")
+    return prints.join(groups, "fingerprint_bits").select(id_column, "row_digest", "fingerprint_bits", "component_id", "root")
 
 
 def print_components(prints: DataFrame, distance: int, n_blocks: int, bucket_limit: int) -> DataFrame:
-    """Maps each distinct fingerprint of ``prints`` (id long, fp long) to its group's smallest id."""
+    """Maps each distinct fingerprint of ``prints`` (id long, fp long) to its group's smallest id and smallest fingerprint."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     links = connected_components(similar_pairs(distinct, distance, n_blocks, bucket_limit))
     rooted = materialize(distinct.join(links, distinct["fp"] == links["node"], "left").select("fp", "least", "root"), "rooted")
     roots = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
-    linked = rooted.where("root is not null").join(roots, "root").select(F.col("fp").alias("fingerprint_bits"), F.col("top").alias("component_id"))
-    return linked.union(rooted.where("root is null").select("fp", "least"))
+    linked = rooted.where("root is not null").join(roots, "root").select(F.col("fp").alias("fingerprint_bits"), F.col("top").alias("component_id"), "root")
+    return linked.union(rooted.where("root is null").select("fp", "least", "fp"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
     """One document of each group of near-duplicates, with the columns of ``docs``.
 
     The row whose id is the group's smallest stays. Where ids repeat or are null, one of the rows
-    with the smallest digest stays, and equal rows become one.
+    with the smallest digest stays, and equal rows become one. Groups are told apart by fingerprint,
+    so those without ids, or that share an id, each keep a row.
     """
     c = own_columns(docs, "order", "digest")
-    groups = with_components(docs, id_column, text_column, **settings)
-    ordered = groups.select(id_order(id_column).alias(c["order"]), F.col("row_digest").alias(c["digest"]), F.coalesce("component_id", F.lit(-1)).alias("g"))
-    chosen = ordered.groupBy("g").agg(F.min(F.struct(c["order"], c["digest"])).alias("row")).select("row.*")
+    groups = _grouped(docs, id_column, text_column, **settings)
+    ordered = groups.select(id_order(id_column).alias(c["order"]), F.col("row_digest").alias(c["digest"]), "root")
+    chosen = ordered.groupBy("root").agg(F.min(F.struct(c["order"], c["digest"])).alias("row")).select("row.*")
     marked = docs.withColumns({c["order"]: id_order(id_column), c["digest"]: row_key(id_column, text_of(text_column))})
     found = marked.join(chosen, [c["order"], c["digest"]], "left_semi")
     # Equal rows share id and digest; only then is there more than one row to a key.

@@ -93,3 +93,12 @@ def test_keep_one(docs, clashing, empty):
     assert {r["doc_id"] for r in kept.collect()} >= {3}
     assert not {r["doc_id"] for r in kept.collect()} & {100, 101, 102, 103}
     assert S.keep_one(empty).count() == 0 and S.with_components(empty).count() == 0
+
+
+def test_keep_one_tells_groups_without_own_ids_apart(spark):
+    """Different texts stay though their ids are null, -1 or repeated; copies among them go."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (-1, texts[2]), (7, texts[3]), (7, texts[4]), (None, texts[0]), (8, texts[3])]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(zip([None, None, -1, 7, 7], texts), key=str)
