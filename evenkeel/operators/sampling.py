@@ -15,10 +15,12 @@ def item_numbers(items: DataFrame) -> DataFrame:
 
 
 def negatives(positives: DataFrame, items: DataFrame, known: DataFrame, per_positive: int, tries: int = 4, seed: int = 0) -> DataFrame:
-    """Items that a user has not met, up to ``per_positive`` for each positive: (user_id, item_id, negative_id).
+    """Items that a user has not met: (user_id, item_id, negative_id).
 
-    Each positive draws ``tries * per_positive`` numbers by hash; what the user knows is anti-joined
-    and repeated draws go. The work is in proportion to the positives, not to users x items.
+    Each positive gets ``per_positive`` different ones, or all that the user has not met if these are
+    fewer. It draws ``tries * per_positive`` numbers by hash; what the user knows is anti-joined and
+    repeated draws go. Positives still short then get items by rank among those the user has not met.
+    The work is in proportion to the positives and known pairs, not to users x items.
     """
     numbered = item_numbers(items)
     total = numbered.agg(F.count("*").alias("n_items"))
@@ -27,10 +29,37 @@ def negatives(positives: DataFrame, items: DataFrame, known: DataFrame, per_posi
     found = draws.join(numbered.withColumnRenamed("item_id", "negative_id"), "number").select("user_id", "item_id", "negative_id", "draw")
     fresh = found.join(known.select("user_id", F.col("item_id").alias("negative_id")), ["user_id", "negative_id"], "left_anti")
     once = fresh.groupBy("user_id", "item_id", "negative_id").agg(F.min("draw").alias("draw"))
+    given = once.groupBy("user_id", "item_id").agg(F.count("*").alias("given"))
+    short = positives.select("user_id", "item_id").distinct().join(given, ["user_id", "item_id"], "left").where(F.coalesce("given", F.lit(0)) < per_positive)
+    exact = _by_rank(short.select("user_id", "item_id"), numbered, total, known, per_positive, seed)
+    exact = exact.withColumn("draw", F.col("draw") + tries * per_positive)
+    once = once.unionByName(exact).groupBy("user_id", "item_id", "negative_id").agg(F.min("draw").alias("draw"))
     w = Window.partitionBy("user_id", "item_id").orderBy("draw")
     return once.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_positive).select("user_id", "item_id", "negative_id")
 
 
+def _by_rank(short: DataFrame, numbered: DataFrame, total: DataFrame, known: DataFrame, per_positive: int, seed: int) -> DataFrame:
+    """``per_positive`` different unknown items, or all, for each of ``short``: (user_id, item_id, negative_id, draw).
+
+    Successive ranks among the user's unknown items are taken, from one drawn by hash. The j-th known
+    number (from 0) has number - j unknown ones below it, so a running count of those up to a rank
+    moves it past the known numbers.
+    """
+    met = known.select("user_id", "item_id").distinct().join(short.select("user_id").distinct(), "user_id", "left_semi").join(numbered, "item_id")
+    sizes = met.groupBy("user_id").agg(F.count("*").alias("n_known"))
+    free = F.col("n_items") - F.coalesce("n_known", F.lit(0))
+    ranks = short.join(sizes, "user_id", "left").join(F.broadcast(total), F.lit(True)).withColumn("free", free).where("free > 0")
+    ranks = ranks.withColumn("draw", F.explode(F.sequence(F.lit(1), F.least(F.col("free"), F.lit(per_positive)).cast("int"))))
+    at = F.pmod(F.pmod(F.xxhash64("user_id", "item_id", F.lit(seed)), F.col("free")) + F.col("draw"), F.col("free"))
+    ranks = ranks.select("user_id", at.alias("at"), F.lit(0).alias("met"), "item_id", "draw")
+    j = F.row_number().over(Window.partitionBy("user_id").orderBy("number")) - 1
+    gaps = met.select("user_id", (F.col("number") - j).alias("at"), F.lit(1).alias("met"), F.lit(None).alias("item_id"), F.lit(None).alias("draw"))
+    # Known numbers come before a rank of the same value.
+    past = Window.partitionBy("user_id").orderBy("at", F.desc("met")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranks.union(gaps).withColumn("number", F.col("at") + F.sum("met").over(past)).where("met = 0")
+    return placed.join(numbered.withColumnRenamed("item_id", "negative_id"), "number").select("user_id", "item_id", "negative_id", "draw")
+
+
 def triplets(train: DataFrame, items: DataFrame, per_positive: int, seed: int = 0) -> DataFrame:
     """(user, positive, negative) rows of the train pairs."""
     return negatives(train, items, train, per_positive, seed=seed).select("user_id", F.col("item_id").alias("positive_id"), "negative_id")

@@ -42,6 +42,18 @@ def test_sampling_invariants(log):
     assert b.where("label = 1").count() == train.count()
 
 
+def test_each_positive_has_its_negatives(spark):
+    """Users who know all items, all but one or two, half and few: none of their positives falls short."""
+    n_known = {0: 20, 1: 19, 2: 18, 3: 10, 4: 1}
+    known = spark.createDataFrame([(u, (i * 7 + u) % 20) for u, n in n_known.items() for i in range(n)], "user_id long, item_id long")
+    items = spark.createDataFrame([(i,) for i in range(20)], "item_id long")
+    met = {tuple(r) for r in known.collect()}
+    got = [tuple(r) for r in sampling.negatives(known, items, known, 3).collect()]
+    assert len(got) == len(set(got)) and not {(u, n) for u, _, n in got} & met
+    for u, i in met:
+        assert len([r for r in got if r[:2] == (u, i)]) == min(3, 20 - n_known[u]), (u, i)
+
+
 def test_power_transform_round_trip_of_known_values(spark):
     rows = spark.createDataFrame([(0.0,), (3.0,), (-2.0,)], "x double")
     got = [r[0] for r in rows.select(prepare.power_transform(F.col("x"), 1.0)).collect()]
