@@ -54,15 +54,22 @@ def epsilon_fairness(scored: DataFrame, max_pairs: int = 5000) -> DataFrame:
     """Mean over item pairs of |P(first above second | group 1) - P(... | group 2)|.
 
     Pairs in the order of their items up to ``max_pairs`` that both groups score count: the bound is
-    part of the measure. The items that can make up these pairs are found before users are joined.
+    part of the measure. With the items sorted, the first pairs begin with the first few items: users
+    are joined for these, and for twice as many until the pairs suffice or no item is left.
     """
-    # With the items sorted, the first pairs all begin with the first few items, so item 1 is
-    # limited to a bounded set: the bound holds even if every second pair is skipped.
-    first = scored.select("item_id").distinct().orderBy("item_id").limit(max(2, max_pairs // 100))
-    a = scored.join(F.broadcast(first), "item_id", "left_semi").select("user_id", "sensitive", F.col("item_id").alias("i1"), F.col("score").alias("s1"))
+    items = scored.select("item_id").distinct()
+    n_items, n_first = items.count(), max(2, max_pairs // 100)
     b = scored.select("user_id", F.col("item_id").alias("i2"), F.col("score").alias("s2"))
     above = F.when(F.col("s1") > F.col("s2"), 1.0).otherwise(0.0)
-    pairs = a.join(b, "user_id").where("i1 < i2").groupBy("i1", "i2").agg(F.avg(_g1(above)).alias("p1"), F.avg(_g2(above)).alias("p2")).where("p1 is not null and p2 is not null")
+    while True:
+        a = scored
+        if n_first < n_items:
+            a = a.where(F.col("item_id") <= items.orderBy("item_id").limit(n_first).agg(F.max("item_id")).first()[0])
+        a = a.select("user_id", "sensitive", F.col("item_id").alias("i1"), F.col("score").alias("s1"))
+        pairs = a.join(b, "user_id").where("i1 < i2").groupBy("i1", "i2").agg(F.avg(_g1(above)).alias("p1"), F.avg(_g2(above)).alias("p2")).where("p1 is not null and p2 is not null")
+        if n_first >= n_items or pairs.count() >= max_pairs:
+            break
+        n_first *= 2
     used = pairs.orderBy("i1", "i2").limit(max_pairs)
     return used.agg(F.avg(F.abs(F.col("p1") - F.col("p2"))).alias("value"))
 

@@ -104,3 +104,12 @@ def test_fair_reranking_meets_the_constraint(spark):
     assert {r["n"] for r in per.collect()} == {3}
     means = {r["sensitive"]: r["m"] for r in per.groupBy("sensitive").agg(F.avg("hits").alias("m")).collect()}
     assert abs(means[True] - means[False]) <= 1.0 + 1e-9
+
+
+def test_epsilon_fairness_goes_past_items_of_one_group(spark):
+    """The first 60 items have one group's scores only: the pairs of the last three count, or the first two of them."""
+    rows = [(1, i, float(i), True) for i in range(63)] + [(2, 60, 3.0, False), (2, 61, 2.0, False), (2, 62, 1.0, False), (3, 60, 1.0, False), (3, 61, 2.0, False), (3, 62, 0.0, False)]
+    scored = spark.createDataFrame(rows, "user_id long, item_id long, score double, sensitive boolean")
+    # P(first above second): 0 in group 1; 1/2, 1 and 1 in group 2.
+    assert fairness.epsilon_fairness(scored).first()["value"] == pytest.approx(2.5 / 3)
+    assert fairness.epsilon_fairness(scored, max_pairs=2).first()["value"] == pytest.approx(0.75)
