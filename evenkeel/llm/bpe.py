@@ -37,7 +37,35 @@ LATE_MARKS = (
     (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97),
     (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
 )
-_LATE = regex.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATE_MARKS) + "])")
+
+# Code points that the regex module's newer tables count as letters or digits, and the
+# tokenizers library, whose tables are older, as neither.
+NOT_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),
+    (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF),
+    (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+
+# Capitals (first, last, first lower-case letter) that the tokenizers library lower-cases and Python doesn't know yet.
+LATE_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+
+
+def _class_of(ranges) -> str:
+    return "[" + "".join(f"{chr(r[0])}-{chr(r[1])}" for r in ranges) + "]"
+
+
+_FROM = regex.compile("[\u0558-\U0010ffff]")  # holds all of these tables
+_LATE = regex.compile(f"({_class_of(LATE_MARKS)})")
+_NEWER = regex.compile(_class_of(NOT_LETTERS))
+_CAPITALS = regex.compile(_class_of(LATE_CAPITALS))
+_LOWERED = {x: low + x - first for first, last, low in LATE_CAPITALS for x in range(first, last + 1)}
 
 
 def _byte_letters() -> list[str]:
@@ -51,9 +79,7 @@ class WordBpe:
     """A BPE vocabulary with word ends, as its JSON file describes it.
 
     ``spec`` is the file's text. Supported are the settings of such files: NFC, white-space
-    replacement and lower-casing, one splitting pattern, byte letters, and no decoder. Letters that
-    came with Unicode 16 or later may be split otherwise than by the tokenizers library, whose
-    tables of letters have another age.
+    replacement and lower-casing, one splitting pattern, byte letters, and no decoder.
     """
 
     def __init__(self, spec: str):
@@ -70,7 +96,14 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._split = regex.compile(data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self._split = regex.compile(pattern)
+        # The same pattern with the library's letters and digits, for the few texts where they differ.
+        own = {kind: rf"[{kind}--{_class_of(NOT_LETTERS)}]" for kind in (r"\p{L}", r"\p{N}")}
+        for kind, less in own.items():
+            pattern = pattern.replace(f"[{kind}]", f"[{less}]")
+        others = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{own[r'\p{L}']}{own[r'\p{N}']}]")
+        self._split_newer = regex.compile(others, regex.V1)
         self.known: dict[str, tuple[bytes, str]] = {}
         made = {}
         for (a, b), (rank, c) in self.ranks.items():
@@ -88,9 +121,13 @@ class WordBpe:
         self._codes, self._rank_of = codes[order], np.array([r for r, _ in self.ranks.values()] + [-1], np.int64)[order]
 
     def normalize(self, text: str) -> str:
-        if not text.isascii():
+        if not text.isascii() and not _FROM.search(text):
+            text = unicodedata.normalize("NFC", text)
+        elif not text.isascii():
             parts = _LATE.split(text)  # every second part is a late mark, which nothing passes
             text = "".join(p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(parts)) if len(parts) > 1 else unicodedata.normalize("NFC", text)
+            if _CAPITALS.search(text):
+                text = text.translate(_LOWERED)
         # A capital sigma is lower-cased without regard to its place in the word.
         return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
 
@@ -101,7 +138,9 @@ class WordBpe:
             if k % 2:
                 yield part
             elif part:
-                yield self._split.findall(self.normalize(part))
+                plain = self.normalize(part)
+                newer = not plain.isascii() and _FROM.search(plain) and _NEWER.search(plain)
+                yield (self._split_newer if newer else self._split).findall(plain)
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Merges all words together by the pair occurrence index.

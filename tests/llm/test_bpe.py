@@ -30,6 +30,15 @@ def test_against_the_library(coder, doc_rows):
     check(coder, [r[1] or "" for r in doc_rows])
 
 
+def test_every_code_point_splits_and_lowers_as_in_the_library(coder):
+    points = [x for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    for at in range(0, len(points), 50_000):
+        texts = [f"a{chr(x)}b 1{chr(x)}! {chr(x)}\u0301A{chr(x)}" for x in points[at : at + 50_000]]
+        want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+        for text, (ids, _), own in zip(texts, coder.encode(texts), want, strict=True):
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == own, ascii(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list("aabbthein 's't<|endoftext|>ΣσİßÉé日🎉1½\n\x85")), st.characters(codec="utf-8", max_codepoint=0x2FFF, exclude_categories=["Cn", "Cs"])), max_size=60), max_size=4))
 def test_against_the_library_on_any_text(texts):
