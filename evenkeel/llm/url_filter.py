@@ -11,11 +11,15 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LOWER, UPPER, materialize, own_columns
 
 MAX_LABELLED = 5000
-FEATURES = ("url_length", "host_length", "host_labels", "host_marks", "depth", "digit_ratio", "entropy", "n_params", "suffix_block_rate")
+LEXICAL = ("url_length", "host_length", "host_labels", "host_marks", "depth", "digit_ratio", "entropy", "n_params")
+FEATURES = (*LEXICAL, "suffix_block_rate")
+FOLDS = 4
+DOUBT = 5  # labelled urls that the share of all counts as in a suffix's rate
 
 
 @dataclass(frozen=True)
@@ -54,13 +58,14 @@ def join_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     Each distinct host of ``pages`` is taken apart into its suffixes once and joined on them; the
     rules of a host come back as one array, of which a page takes the longest that fits its path.
     """
+    c = own_columns(pages, "host", "fitting", "best")
     labels = F.split("host", r"\.")
     suffixes = pages.select("host").distinct().withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
     own = rules.select(F.col("host").alias("suffix"), F.col("path").alias("rule_path"), "action")
-    found = suffixes.join(own, "suffix").groupBy("host").agg(F.collect_list(F.struct(F.char_length(F.concat("suffix", "rule_path")).alias("size"), F.concat("suffix", "rule_path").alias("name"), "rule_path", "action")).alias("fitting"))
-    best = F.array_max(F.filter("fitting", lambda r: F.col("path").startswith(r["rule_path"])))
-    joined = pages.join(found, "host", "left").withColumn("best", best)
-    return joined.withColumns({"rule": F.col("best.name"), "rule_action": F.col("best.action")}).drop("best", "fitting")
+    found = suffixes.join(own, "suffix").groupBy(F.col("host").alias(c["host"])).agg(F.collect_list(F.struct(F.char_length(F.concat("suffix", "rule_path")).alias("size"), F.concat("suffix", "rule_path").alias("name"), "rule_path", "action")).alias(c["fitting"]))
+    best = F.array_max(F.filter(c["fitting"], lambda r: F.col("path").startswith(r["rule_path"])))
+    joined = pages.join(found, F.col("host") == F.col(c["host"]), "left").withColumn(c["best"], best)
+    return joined.withColumns({"rule": F.col(c["best"])["name"], "rule_action": F.col(c["best"])["action"]}).drop(*c.values())
 
 
 def entropy(text: Column) -> Column:
@@ -70,75 +75,81 @@ def entropy(text: Column) -> Column:
     return F.when(size > 0, F.aggregate(counts, F.lit(0.0), lambda a, n: a - n / size * F.log2(n / size))).otherwise(0.0)
 
 
-def add_features(pages: DataFrame, url_column: str = "url") -> DataFrame:
-    """Adds the lexical features (double) and ``suffix``, the last label of the host."""
-    url = F.coalesce(F.col(url_column), F.lit(""))
+def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Column]:
+    """The features ``LEXICAL`` (double) of a url and its parts."""
+    url = F.coalesce(url, F.lit(""))
     size = F.char_length(url).cast("double")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    return pages.withColumns({
+    return {
         "url_length": size,
-        "host_length": F.char_length("host").cast("double"),
-        "host_labels": F.size(F.split("host", r"\.")).cast("double"),
-        "host_marks": F.char_length(F.regexp_replace("host", r"[^-0-9]+", "")).cast("double"),
-        "depth": F.size(F.filter(F.split("path", "/"), lambda x: x != "")).cast("double"),
+        "host_length": F.char_length(host).cast("double"),
+        "host_labels": F.size(F.split(host, r"\.")).cast("double"),
+        "host_marks": F.char_length(F.regexp_replace(host, r"[^-0-9]+", "")).cast("double"),
+        "depth": F.size(F.filter(F.split(path, "/"), lambda x: x != "")).cast("double"),
         "digit_ratio": F.when(size > 0, F.char_length(F.regexp_replace(url, r"[^0-9]+", "")) / size).otherwise(0.0),
         "entropy": entropy(url),
         "n_params": F.when(query == "", 0.0).otherwise(F.size(F.split(query, "&")).cast("double")),
-        "suffix": F.element_at(F.split("host", r"\."), -1),
-    })
+    }
+
+
+def suffix_of(host: Column) -> Column:
+    """The last label of a host."""
+    return F.element_at(F.split(host, r"\."), -1)
 
 
 @dataclass
 class UrlModel:
-    """Trees on the features, and the block rates of the suffixes among the labelled urls."""
+    """Trees on the features, and the block rates of suffixes (suffix, rate; at most one a labelled url)."""
 
     trees: GBTClassificationModel | None
-    rates: dict[str, float]
+    rates: DataFrame | None
     prior: float
 
-    def verdict(self, pages: DataFrame) -> DataFrame:
-        """Adds ``model_verdict`` (allow or block) to pages with features."""
+    def verdict(self, pages: DataFrame, url_column: str = "url", output: str = "model_verdict") -> DataFrame:
+        """Adds ``output`` (allow or block) to pages with ``host`` and ``path``; other columns stay as they are."""
         if self.trees is None:
-            return pages.withColumn("model_verdict", F.lit("block" if self.prior > 0.5 else "allow"))
-        ready = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(with_rates(pages, self.rates, self.prior))
-        out = self.trees.transform(ready)
-        return out.withColumn("model_verdict", F.when(F.col("_prediction") > 0.5, "block").otherwise("allow")).drop("_features", "_raw", "_probability", "_prediction", "suffix_block_rate")
-
-
-def with_rates(pages: DataFrame, rates: dict[str, float], prior: float) -> DataFrame:
-    rate = F.lit(float(prior))
-    if rates:
-        table = F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair])
-        rate = F.coalesce(table[F.col("suffix")], rate)
-    return pages.withColumn("suffix_block_rate", rate)
-
-
-def train(labelled: DataFrame, url_column: str = "url", max_labelled: int = MAX_LABELLED, max_suffixes: int = 200, trees: int = 8, depth: int = 3, seed: int = 7) -> UrlModel:
-    """Learns from ``labelled`` (url, host, path, blocked boolean).
-
-    At most ``max_labelled`` distinct urls take part, chosen by a hash. The ``max_suffixes`` most
-    frequent suffixes of these get a block rate, smoothed towards the share of all. Without urls of
-    both kinds the verdict is the more frequent one, allow if there is none.
+            return pages.withColumn(output, F.lit("block" if self.prior > 0.5 else "allow"))
+        c = own_columns(pages, *FEATURES, "suffix", "known", "rate", "features", "raw", "probability", "prediction")
+        made = lexical_features(F.col(url_column), F.col("host"), F.col("path"))
+        ready = pages.withColumns({c[f]: x for f, x in made.items()} | {c["suffix"]: suffix_of(F.col("host"))})
+        rates = self.rates.select(F.col("suffix").alias(c["known"]), F.col("rate").alias(c["rate"]))
+        ready = ready.join(F.broadcast(rates), F.col(c["suffix"]) == F.col(c["known"]), "left").withColumn(c["suffix_block_rate"], F.coalesce(c["rate"], F.lit(float(self.prior))))
+        ready = VectorAssembler(inputCols=[c[f] for f in FEATURES], outputCol=c["features"]).transform(ready)
+        trees = self.trees.copy().setFeaturesCol(c["features"]).setPredictionCol(c["prediction"]).setRawPredictionCol(c["raw"]).setProbabilityCol(c["probability"])
+        return trees.transform(ready).withColumn(output, F.when(F.col(c["prediction"]) > 0.5, "block").otherwise("allow")).drop(*c.values())
+
+
+def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED, trees: int = 8, depth: int = 3, seed: int = 7) -> UrlModel:
+    """Learns from ``labelled`` (url, host, path, blocked boolean, rule string).
+
+    At most ``max_labelled`` distinct urls take part, chosen by a hash. ``rule`` says where a label
+    comes from; null is a label given to that url alone. A suffix has a block rate, smoothed towards
+    the share of all, only if its labels come from several rules: those of a single rule say what
+    the rule says, and nothing about the suffix's other urls. The trees learn from rates that leave
+    out the url's own fold of hosts, so the rate can't give the label away. Without urls of both
+    kinds the verdict is the more frequent one, allow if there is none.
     """
-    spark: SparkSession = labelled.sparkSession
-    chosen = labelled.groupBy(F.col(url_column).alias("url")).agg(F.first("host").alias("host"), F.first("path").alias("path"), F.max("blocked").alias("blocked"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(13), "url"), "url").limit(max_labelled)
-    sample = materialize(add_features(chosen).withColumn("label", F.col("blocked").cast("double")), "url-sample")
+    distinct = labelled.groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.max("blocked").cast("double").alias("label"), F.min("rule").alias("rule"))
+    chosen = distinct.orderBy(F.xxhash64(F.lit(13), "url"), "url").limit(max_labelled)
+    made = lexical_features(F.col("url"), F.col("host"), F.col("path"))
+    fold = F.pmod(F.xxhash64(F.lit(17), "host"), F.lit(FOLDS)).alias("fold")
+    sample = materialize(chosen.select("label", suffix_of(F.col("host")).alias("suffix"), fold, F.coalesce("rule", F.concat(F.lit("://"), "url")).alias("rule"), *[x.alias(f) for f, x in made.items()]), "url-sample")
     counts = sample.agg(F.count("*").alias("n"), F.sum("label").alias("bad")).first()
     n, bad = counts["n"], counts["bad"] or 0.0
     prior = bad / n if n else 0.0
     if not 0 < bad < n:
-        return UrlModel(None, {}, prior)
-    by_suffix = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).orderBy(F.desc("n"), "suffix").limit(max_suffixes).collect()
-    rates = {r["suffix"]: (r["bad"] + 5 * prior) / (r["n"] + 5) for r in by_suffix}
-    # A quarter of the urls show the share of all instead, as unknown suffixes do: so the trees learn
-    # what the other features say where the suffix says nothing.
-    unknown = F.pmod(F.xxhash64(F.lit(17), "url"), F.lit(4)) == 0
-    masked = with_rates(sample, rates, prior).withColumn("suffix_block_rate", F.when(unknown, F.lit(float(prior))).otherwise(F.col("suffix_block_rate")))
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(masked).select("label", "_features")
-    learner = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_prediction", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed)
-    fitted = learner.fit(ready.coalesce(4)).setRawPredictionCol("_raw").setProbabilityCol("_probability")
-    return UrlModel(fitted, rates, prior)
+        return UrlModel(None, None, prior)
+
+    def rate(bad: Column, n: Column, rules: Column) -> Column:
+        return F.when(rules > 1, (bad + DOUBT * prior) / (n + DOUBT)).otherwise(prior)
+
+    every, own = Window.partitionBy("suffix"), Window.partitionBy("suffix", "fold")
+    rules = F.size(F.collect_set("rule").over(every))
+    others = [F.sum(x).over(every) - F.sum(x).over(own) for x in ("label", F.lit(1))]
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.withColumn("suffix_block_rate", rate(*others, rules))).select("label", "features")
+    fitted = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(ready.coalesce(4))
+    rates = sample.groupBy("suffix").agg(rate(F.sum("label"), F.count("*"), F.size(F.collect_set("rule"))).alias("rate"))
+    return UrlModel(fitted, materialize(rates.coalesce(1), "suffix-rates"), prior)
 
 
 def judge_urls(pages: DataFrame, rules: list[UrlRule], url_column: str = "url", max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -147,14 +158,13 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], url_column: str = "url",
     A rule fits its host and all subdomains if the path starts with the rule's; the longest rule
     wins and gives the verdict. The urls that rules fit are the labelled ones from which the trees
     learn; the trees judge the others. Urls that are null or have no ``://`` have an empty host and
-    path and are judged by the trees too. Repeated rows are judged alike; columns of the same names
-    are replaced; empty tables give empty results.
+    path and are judged by the trees too. Repeated rows are judged alike; columns of these four names
+    are replaced and all others left alone; empty tables give empty results.
     """
     name, action = matching_rule(rules)
-    c = own_columns(pages, "action")
-    parted = add_parts(pages, url_column).withColumn("rule", name).withColumn(c["action"], action)
-    labelled = parted.where(F.col(c["action"]).isNotNull()).select(F.col(url_column).alias("url"), "host", "path", (F.col(c["action"]) == "block").alias("blocked"))
-    model = train(labelled, max_labelled=max_labelled)
-    judged = model.verdict(add_features(parted, url_column))
+    c = own_columns(pages, "action", "url", "model")
+    parted = add_parts(pages.withColumn(c["url"], F.col(url_column)), c["url"]).withColumn("rule", name).withColumn(c["action"], action)
+    labelled = parted.where(F.col(c["action"]).isNotNull()).select(F.col(c["url"]).alias("url"), "host", "path", (F.col(c["action"]) == "block").alias("blocked"), "rule")
+    judged = train(labelled, max_labelled=max_labelled).verdict(parted, c["url"], c["model"])
     keep = [x for x in pages.columns if x not in ("host", "path", "rule", "verdict")]
-    return judged.withColumn("verdict", F.coalesce(F.col(c["action"]), F.col("model_verdict"))).select(*keep, "host", "path", "rule", "verdict")
+    return judged.select(*keep, "host", "path", "rule", F.coalesce(c["action"], c["model"]).alias("verdict"))
