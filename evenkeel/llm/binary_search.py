@@ -1,6 +1,6 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A code of 64 bits is cut into ``segments`` of 64/segments bits, each with an index of its own. If
+A code of 64 bits is cut into ``segments`` of nearly equal width, each with an index of its own. If
 all codes that have a segment within radius r of the query's are known, every code within Hamming
 distance ``segments * (r + 1) - 1`` is known. The radius grows from 0 until the k-th verified distance
 of a query is that small; then its result is provably complete and it takes no further part.
@@ -8,7 +8,7 @@ of a query is that small; then its result is provably complete and it takes no f
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,23 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
     return F.when(vector.isNotNull(), code)
 
 
-def _segment(code: Column, j: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, j * width).bitwiseAND((1 << width) - 1)
+def cut(segments: int, bits: int = BITS) -> list[tuple[int, int]]:
+    """(first bit, width) of each segment; widths differ by one at most."""
+    ends = [i * bits // segments for i in range(segments + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(ends, ends[1:])]
+
+
+def segments_for(n: int) -> int:
+    """As many segments as make one about as wide as the logarithm of the number of codes.
+
+    Then a bucket holds about one code. At least 3, so that one radius has at most C(22, 11) =
+    705,432 masks, and at most 8.
+    """
+    return min(8, max(3, round(BITS / max(1.0, math.log2(max(2, n))))))
+
+
+def _segment(code: Column, part: tuple[int, int]) -> Column:
+    return F.shiftrightunsigned(code, part[0]).bitwiseAND((1 << part[1]) - 1)
 
 
 def _distance(a: str, b: str) -> Column:
@@ -52,7 +67,7 @@ def _bounds(sample: np.ndarray, k: int):
     return F.pandas_udf(bound, "int")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4, sample_size: int = 2048, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, segments: int | None = None, sample_size: int = 2048, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """The ``k`` rows of ``vectors`` nearest to each query by Hamming distance of sign codes, exactly.
 
     Returns ``query_id, rank int (from 1), id_column, distance int``; ties are ordered by id. A row
@@ -61,33 +76,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4
     Equal codes are one entry of the index, with the k smallest ids (more can't be needed). A first
     bound of each query's k-th distance comes from ``sample_size`` codes; the joins verify distances
     against it, so they pass on few candidates, and it sinks with every round. A candidate is passed
-    on in the first round and segment that finds it, so none comes twice.
+    on in the first round and segment that finds it, so none comes twice. The number of segments
+    follows from the number of different codes unless it is given; results don't depend on it.
 
     Rows and queries without id or vector are left out. Repeated query rows give one result;
     repeated rows of ``vectors`` count as often as they occur. Empty tables give empty results.
     """
-    if BITS % segments:
-        raise ValueError("segments divide 64")
-    spark, width = vectors.sparkSession, BITS // segments
+    spark = vectors.sparkSession
     ship(spark)
     codes = vectors.select(F.col(id_column).alias("id"), sign_code(F.col(vector_column)).alias("code")).where("id is not null and code is not null")
     first = Window.partitionBy("code").orderBy("id")
     copies = materialize(codes.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).select("code", "id", "n"), "codes")
     index = copies.where("n = 1").select("code")
+    parts = cut(segments or segments_for(index.count()))
+    segments, width = len(parts), max(w for _, w in parts)
     sample = np.array([r["code"] for r in copies.orderBy(F.xxhash64("id", "n"), "id", "n").select("code").limit(max(sample_size, k)).collect()], np.int64).view(np.uint64)
     asked = queries.select(F.col(id_column).alias("query_id"), sign_code(F.col(vector_column)).alias("q")).where("query_id is not null and q is not null").distinct()
     bound = _bounds(sample, k)("q") if len(sample) >= k else F.lit(BITS)
     asked = materialize(asked.withColumn("bound", bound), "queries")
-    keyed = index.select("code", F.posexplode(F.array(*[_segment(F.col("code"), j, width) for j in range(segments)])).alias("j", "key"))
+    keyed = index.select("code", F.posexplode(F.array(*[_segment(F.col("code"), p) for p in parts])).alias("j", "key"))
     keyed = materialize(keyed, "segment-index")
     paths, found, active = [], None, asked
     for radius in range(width + 1):
-        flips = [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
-        masks = spark.createDataFrame([(m,) for m in flips], "flip long").coalesce(1)
-        probes = active.select("query_id", "q", "bound", F.posexplode(F.array(*[_segment(F.col("q"), j, width) for j in range(segments)])).alias("j", "own"))
-        # At most C(16, 8) = 12,870 masks for four segments: a constant table.
-        probes = probes.join(F.broadcast(masks)).select("query_id", "q", "bound", "j", F.col("own").bitwiseXOR(F.col("flip")).alias("key"))
-        near = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), i, width)) for i in range(segments)]
+        masks = spark.range(1 << width).where(F.bit_count("id") == radius).select(F.col("id").alias("flip"))
+        probes = active.select("query_id", "q", "bound", F.posexplode(F.array(*[_segment(F.col("q"), p) for p in parts])).alias("j", "own"))
+        # At most 705,432 masks however many rows there are; those beyond a narrower segment are left out.
+        fits = F.col("flip") < F.element_at(F.array(*[F.lit(1 << w).cast("long") for _, w in parts]), F.col("j") + 1)
+        probes = probes.join(F.broadcast(masks)).where(fits).select("query_id", "q", "bound", "j", F.col("own").bitwiseXOR(F.col("flip")).alias("key"))
+        near = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), p)) for p in parts]
         here = F.col("j")
         new = F.lit(True)
         for i in range(segments):

@@ -19,12 +19,13 @@ def vectors(spark):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>")
 
 
-def test_exact_against_brute_force(spark, vectors):
+@pytest.mark.parametrize("segments", [None, 3, 5])
+def test_exact_against_brute_force(spark, vectors, segments):
     rows, df = vectors
     known = [(i, code(v)) for i, v in rows if i is not None and v is not None]
     asked = df.where("vec_id % 100 = 0")
     got = {}
-    for r in B.top_k(df, asked, k=5, sample_size=16).collect():
+    for r in B.top_k(df, asked, k=5, sample_size=16, segments=segments).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["vec_id"]))
     want = {}
     for q in {(i, c) for i, c in known if i % 100 == 0}:
@@ -38,3 +39,17 @@ def test_few_rows_and_none(spark, vectors):
     few = df.where("vec_id < 3")
     assert B.top_k(few, few, k=5).count() == 9
     assert B.top_k(df.limit(0), df.limit(0), k=5).count() == 0
+
+
+def test_width_follows_the_number_of_codes():
+    assert [B.segments_for(n) for n in (0, 5000, 10**6, 10**9, 10**12)] == [8, 5, 3, 3, 3]
+    assert B.cut(3) == [(0, 21), (21, 21), (42, 22)]
+
+
+def test_clashing_columns(spark, vectors):
+    from pyspark.sql import functions as F
+
+    _, df = vectors
+    few = df.where("vec_id < 30")
+    more = few.select("*", *[F.lit("x").alias(n) for n in ("id", "code", "n", "q", "bound", "query_id", "rank", "distance", "j", "key")])
+    assert sorted(map(str, B.top_k(more, more, k=3).collect())) == sorted(map(str, B.top_k(few, few, k=3).collect()))
