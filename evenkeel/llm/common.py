@@ -21,22 +21,36 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables, shared by driver and executors.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set as the checkpoint folder.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset on a local master, as in
+    tests on one machine, a temporary folder is made and set as the checkpoint folder; on a cluster
+    the executors wouldn't see it, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             base = f"file://{tempfile.mkdtemp(prefix='evenkeel-')}"
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")  # without a scheme Spark takes it to be on its default file system
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/evenkeel/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/evenkeel/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Removes every intermediate table made so far. Results not written yet can't be read after it."""
+    while _made:
+        drop_path(spark, _made.pop())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

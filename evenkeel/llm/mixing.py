@@ -11,15 +11,26 @@ from .common import WORD, dense_rank_positions, materialize, own_columns, row_ke
 CYCLE = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = "mix-0"
+#: Rows of the largest source that a range of keys holds, on average.
+RANGE_ROWS = 20_000
 
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def random_key(id_column: str, seed: str = SEED) -> Column:
-    """A hash-random key in hexadecimal; the same for every run of one seed."""
-    return F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.lit(f":{seed}")))
+def random_key(id_column: str, text: Column, seed: str = SEED) -> Column:
+    """A hash-random key in hexadecimal; the same for every run of one seed.
+
+    It is a hash of the id, and of the text where the id is null: rows without ids are spread too.
+    """
+    return F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("null:"), F.md5(text))), F.lit(f":{seed}")))
+
+
+def range_bits(docs: DataFrame, source_column: str, rows: int = RANGE_ROWS) -> int:
+    """Bits of the key that cut the largest source into ranges of about ``rows`` rows; 8 at least."""
+    most = docs.groupBy(source_column).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return min(32, max(8, (max(1, most) // rows).bit_length()))
 
 
 def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -51,7 +62,7 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_epochs:
     return ranked.withColumn("target", F.when(F.col("weight") * F.lit(level) > cap, cap).otherwise(F.col("weight") * F.lit(level)))
 
 
-def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", cycle: tuple[int, ...] = CYCLE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, bucket_bits: int = 8) -> DataFrame:
+def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", cycle: tuple[int, ...] = CYCLE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, bits: int | None = None) -> DataFrame:
     """How often the mix takes each document.
 
     Returns ``id_column, source_column, mix_key, size, source_size, target, copies, taken``, one row
@@ -61,16 +72,17 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     the running sum is within the rest; the document at the cut is taken if that brings the source
     nearer to its target. Reruns agree.
 
-    Keys are uniform, so the first ``bucket_bits`` bits of the key cut each source into ranges of
-    even size. A prefix sum is the sum of the ranges before (one row for each source and range) and
+    Keys are uniform, so the first ``bits`` bits of the key cut each source into ranges of even size;
+    their number follows from the rows of the largest source unless it is given. A prefix sum is the sum of the ranges before (one row for each source and range) and
     the running sum within the range, so a source with most of the rows is spread over its ranges.
 
     The null source is a source of its own, after the others. Empty texts have size 0 and are taken
     0 words. Equal keys (repeated ids) are ordered by size. Empty tables give empty results.
     """
-    digits = -(-bucket_bits // 4)
-    base = docs.select(F.col(id_column), F.col(source_column).alias("source"), random_key(id_column, seed).alias("mix_key"), n_words(text_of(text_column)).alias("size"))
-    base = base.withColumns({"range": F.substring("mix_key", 1, digits), "named": F.col("source").isNotNull(), "name": F.coalesce("source", F.lit(""))})
+    if bits is None:
+        bits = range_bits(docs, source_column)
+    base = docs.select(F.col(id_column), F.col(source_column).alias("source"), random_key(id_column, text_of(text_column), seed).alias("mix_key"), n_words(text_of(text_column)).alias("size"))
+    base = base.withColumns({"range": F.shiftright(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long"), 32 - bits), "named": F.col("source").isNotNull(), "name": F.coalesce("source", F.lit(""))})
     # Sizes are counted in both passes rather than written: the sums are few rows in a few files.
     ranges = materialize(base.groupBy("named", "name", "range").agg(F.sum("size").alias("range_size")).coalesce(8), "mix-ranges")
     before = Window.partitionBy("named", "name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,16 +102,18 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **settings) -> DataFrame:
     """The mix itself: each document as many times as the mix takes it, with the columns of ``docs``.
 
-    Rows of one id, source and size are numbered by a digest of their text, and the k-th takes the
-    k-th count of the mix.
+    Rows of one key, source and size are numbered by a digest of their text, and the k-th takes the
+    k-th count of the mix. The key is that of ``mix_sources``, so rows without ids are told apart.
     """
-    c = own_columns(docs, "id", "source", "none", "size", "turn", "copies", "copy")
-    keys = {c["id"]: F.coalesce(F.col(id_column).cast("string"), F.lit("null")), c["source"]: F.coalesce(F.col(source_column), F.lit("")), c["none"]: F.col(source_column).isNull()}
+    c = own_columns(docs, "key", "source", "none", "size", "turn", "copies", "copy")
+    seed = settings.get("seed", SEED)
+    named = {c["source"]: F.coalesce(F.col(source_column), F.lit("")), c["none"]: F.col(source_column).isNull()}
     plan = mix_sources(docs, id_column, text_column, source_column, **settings)
-    plan = plan.select(*[v.alias(k) for k, v in keys.items()], F.col("size").alias(c["size"]), F.col("copies").alias(c["copies"]))
-    names = [*keys, c["size"]]
+    plan = plan.select(F.col("mix_key").alias(c["key"]), *[v.alias(k) for k, v in named.items()], F.col("size").alias(c["size"]), F.col("copies").alias(c["copies"]))
+    names = [c["key"], *named, c["size"]]
     plan = plan.withColumn(c["turn"], F.row_number().over(Window.partitionBy(*names).orderBy(F.desc(c["copies"]))))
-    marked = docs.withColumns(keys | {c["size"]: n_words(text_of(text_column))})
-    marked = marked.withColumn(c["turn"], F.row_number().over(Window.partitionBy(*names).orderBy(row_key(id_column, text_of(text_column)))))
+    text = text_of(text_column)
+    marked = docs.withColumns({c["key"]: random_key(id_column, text, seed)} | named | {c["size"]: n_words(text)})
+    marked = marked.withColumn(c["turn"], F.row_number().over(Window.partitionBy(*names).orderBy(row_key(id_column, text))))
     joined = marked.join(plan, [*names, c["turn"]]).where(F.col(c["copies"]) > 0)
     return joined.withColumn(c["copy"], F.explode(F.sequence(F.lit(1), F.col(c["copies"])))).select(*docs.columns)

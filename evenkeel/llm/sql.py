@@ -23,7 +23,7 @@ FROM judged GROUP BY doc_id
 OP6 = r"""
 WITH sized AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::BIGINT AS size,
-           md5(coalesce(doc_id::VARCHAR, 'null') || ':mix-0') AS mix_key
+           md5(coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) || ':mix-0') AS mix_key
     FROM documents
 ), sources AS (
     SELECT source, sum(size)::BIGINT AS source_size,
