@@ -70,6 +70,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Removes a table that ``materialize`` wrote and that nothing reads any more."""
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
+
+
 _shipped: set[str] = set()
 
 

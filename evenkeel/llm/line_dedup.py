@@ -3,7 +3,8 @@
 The index of the lines seen so far is a set of *runs*: bucketed, sorted Parquet tables of
 (128-bit line hash, owner). A batch of new documents is reduced to its distinct hashes, merge-anti-
 joined with every run, and what is left becomes a new run of level 0. When a level has ``fanout``
-runs they are merged into one run of the next level, so there are logarithmically many runs.
+runs they are merged, bucket by bucket and without an exchange, into one run of the next level, so
+there are logarithmically many runs.
 
 All work is DataFrame functions.
 """
@@ -15,9 +16,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_path, id_order, materialize, new_path, own_columns, row_key, strip_space, text_of
+from .common import ascii_lower, drop_path, drop_table, id_order, materialize, new_path, own_columns, row_key, strip_space, text_of
 
 MIN_KEY_CHARS = 10
+#: Lines of a batch for each bucket of a run, so for each task that merges.
+BUCKET_LINES = 10_000
 
 
 class LineRuns:
@@ -44,28 +47,34 @@ class LineRuns:
         return owners
 
     def _write(self, owners: DataFrame, level: int) -> None:
+        """Writes a run. ``owners`` is partitioned by its hashes already, into as many parts as there are buckets."""
         name = f"line_run_{uuid.uuid4().hex}"
-        dealt = owners.select("h1", "h2", "owner").repartition(self.buckets, "h1", "h2")
-        dealt.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.path}/{name}").saveAsTable(name)
+        owners.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.path}/{name}").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
 
     def add(self, owners: DataFrame) -> None:
         """Adds hashes that are in no run yet, then compacts full levels."""
-        self._write(owners, 0)
+        if self.buckets != int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            owners = owners.repartition(self.buckets, "h1", "h2")
+        self._write(owners.select("h1", "h2", "owner"), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
-            merged = self.spark.table(old[0])
-            for name in old[1:]:
-                merged = merged.union(self.spark.table(name))
-            self._write(merged, level + 1)
+            self._write(self.merged(old), level + 1)
             self.levels[level] = []
             for name in old:
                 self._drop(name)
             level += 1
 
+    def merged(self, names: list[str]) -> DataFrame:
+        """The runs as one. They share no hash, so grouping only brings equal buckets together in one task."""
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            out = out.union(self.spark.table(name))
+        return out.groupBy("h1", "h2").agg(F.min("owner").alias("owner"))
+
     def owners(self) -> DataFrame:
         """Every hash with its owner."""
         runs = self.runs()
@@ -76,6 +85,13 @@ class LineRuns:
             out = out.union(run)
         return out
 
+    def close(self) -> None:
+        """Drops all runs; what was read from them can't be read again."""
+        for level in self.levels:
+            for name in level:
+                self._drop(name)
+        self.levels = []
+
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         drop_path(self.spark, f"{self.path}/{name}")
@@ -103,15 +119,16 @@ def add_batch(runs: LineRuns, lines: DataFrame) -> None:
     runs.add(runs.unseen(_least_owners(lines)))
 
 
-def _cut_points(docs: DataFrame, id_column: str, batches: int) -> list[int]:
+def _cut_points(lines: DataFrame, batch_lines: int) -> list[int]:
+    """Owners at which batches of about ``batch_lines`` lines end. All lines of one owner are in one batch."""
+    batches = -(-lines.count() // batch_lines)
     if batches < 2:
         return []
     shares = [i / batches for i in range(1, batches)]
-    found = docs.agg(F.percentile_approx(F.col(id_column).cast("long"), shares, 1000).alias("q")).first()["q"]
-    return sorted(set(found or []))
+    return sorted(set(lines.agg(F.percentile_approx("owner", shares, 20 * batches).alias("q")).first()["q"]))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_KEY_CHARS, batches: int = 2, fanout: int = 2, buckets: int | None = None, runs: LineRuns | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_KEY_CHARS, batch_lines: int | None = None, fanout: int = 2, buckets: int | None = None, runs: LineRuns | None = None) -> DataFrame:
     """Drops the lines of ``docs`` that a document with a smaller id holds too.
 
     Adds to the columns of ``docs``: ``n_lines long`` (before dropping), ``n_dropped long`` and
@@ -119,17 +136,20 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased; keys under ``min_chars`` code points never drop.
     All lines of a document that owns their key stay, repeats included.
 
-    The documents go through ``runs`` in ``batches`` of ascending ids. With ``runs`` of earlier
-    calls, their lines count as seen.
+    The documents go through the runs in batches of ascending ids. A batch has about ``batch_lines``
+    lines, ``BUCKET_LINES`` for each bucket unless given, so their number follows from the data and a
+    merge task stays as small however many there are. Every batch reads all runs: where one call
+    brings in very many lines, larger batches read less. With ``runs`` of earlier calls, their lines
+    count as seen, and the new ones are kept in them; else the runs are dropped at the end.
 
     Null or empty texts are one empty line. Rows of one id are one document, and equal rows are
     treated alike. Rows without an id count as one document after all others. Empty tables give
     empty results.
     """
-    spark, text = docs.sparkSession, text_of(text_column)
+    spark, text, passing = docs.sparkSession, text_of(text_column), runs is None
     runs = runs or LineRuns(spark, buckets=buckets, fanout=fanout)
     lines = materialize(line_hashes(docs, id_column, text_column, min_chars), "line-hashes")
-    bounds = [None, *_cut_points(docs, id_column, batches), None]
+    bounds = [None, *_cut_points(lines, batch_lines or BUCKET_LINES * runs.buckets), None]
     for low, high in zip(bounds, bounds[1:]):
         part = lines
         if low is not None:
@@ -140,6 +160,10 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     # A line stays if its own document owns its key. The document is part of the join key, so a
     # line that is everywhere is spread over all tasks.
     dropped = lines.join(runs.owners(), ["h1", "h2", "owner"], "left_anti").groupBy("owner", "row").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
+    dropped = materialize(dropped, "dropped-lines")
+    drop_table(lines)
+    if passing:
+        runs.close()
     c = own_columns(docs, "owner", "row", "drops", "lines", "kept")
     dropped = dropped.select(F.col("owner").alias(c["owner"]), F.col("row").alias(c["row"]), F.col("drops").alias(c["drops"]))
     joined = docs.withColumns({c["owner"]: id_order(id_column), c["row"]: row_key(id_column, text)}).join(dropped, [c["owner"], c["row"]], "left")

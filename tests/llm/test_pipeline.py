@@ -28,7 +28,7 @@ def test_stages_keep_the_columns_and_take_effect(spark, docs, folder):
 def test_run_equals_the_operators_in_order(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = quality_rules.judge_documents(docs, spark.read.parquet(f"{folder}/labels.parquet")).where("kept").select(*docs.columns).cache()
-    lines = line_dedup.dedup_lines(kept, batches=1).drop("text").withColumnRenamed("kept_text", "text").cache()
+    lines = line_dedup.dedup_lines(kept, batch_lines=10**6).drop("text").withColumnRenamed("kept_text", "text").cache()
     mixed = mixing.mixed_documents(simhash_dedup.keep_one(lines)).cache()
     want = bpe.encode_documents(mixed, tokenizer_path("word_bpe_49k.json"), digests=True)
     got = corpus_pipeline.run(spark, folder)
