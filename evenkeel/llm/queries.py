@@ -72,7 +72,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document gets three edits: words put in at its middle, a cut, and a replacement."""
+    """Every document gets its tree and three edits: words put in at its middle, a cut, and a replacement."""
     import public_tokenizers
 
     size = F.char_length(F.coalesce("text", F.lit("")))
@@ -84,7 +84,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("size", size)
     docs = docs.withColumn("edits", F.array(edit("size div 2", 0, " some words put in\n"), edit("size div 3", 7, ""), edit("(2 * size) div 3", 5, "  re-placed, 2 times ")))
     ranks = bpe.read_spec(spark, tokenizer_path("byte_bpe_50k.tiktoken"))
-    return token_counts.count_with_edits(docs, ranks, public_tokenizers.PATTERN)
+    return token_counts.count_with_edits(docs, ranks, public_tokenizers.PATTERN).drop("edited_text")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

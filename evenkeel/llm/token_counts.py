@@ -4,7 +4,12 @@ A document's pre-tokens are grouped to leaves of about ``LEAF_CHARS`` characters
 characters and tokens, and the inner nodes of a binary tree the sums of their subtrees. An edit
 finds its leaf by descending the tree; encoding starts again one leaf before it (the boundary
 context) and ends where a new pre-token ends at an old leaf's end behind the edit. Only that region
-is encoded, and only the sums above it change.
+is encoded, and only the sums above it change (all sums are added up again, without encoding, where
+the number of leaves changes).
+
+Trees are kept between calls as a column with a document's leaves, from which the sums follow:
+``build_trees`` encodes whole texts once, ``apply_edits`` takes texts with trees and encodes what the
+edits touch.
 """
 
 from __future__ import annotations
@@ -16,13 +21,14 @@ from functools import lru_cache
 import pandas as pd
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import own_columns, ship, text_of
 
 LEAF_CHARS = 256
 CACHE_WORDS = 300_000
+LEAVES = "array<struct<chars:int,tokens:int>>"
 
 
 class PieceCounter:
@@ -105,11 +111,14 @@ class SegmentTree:
 
 
 class EditableDocument:
-    """A text with its tree."""
+    """A text with its tree: that of the leaves given, or a new one."""
+
+    def __init__(self, counter: PieceCounter, text: str, leaves: list[tuple[int, int]] | None = None):
+        self.counter, self.text, self.encoded = counter, text, 0 if leaves is not None else len(text)
+        self.tree = SegmentTree(list(counter.leaves(text)) if leaves is None else leaves)
 
-    def __init__(self, counter: PieceCounter, text: str):
-        self.counter, self.text, self.encoded = counter, text, len(text)
-        self.tree = SegmentTree(list(counter.leaves(text)))
+    def leaves(self) -> list[tuple[int, int]]:
+        return [self.tree.leaf(i) for i in range(self.tree.n)]
 
     @property
     def n_tokens(self) -> int:
@@ -185,36 +194,83 @@ def join_edits(docs: DataFrame, edits: DataFrame, id_column: str = "doc_id", ord
     return docs.drop("edits").join(own, F.col(id_column) == F.col("_edit_id"), "left").drop("_edit_id")
 
 
-def count_with_edits(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", edits_column: str = "edits", with_text: bool = False) -> DataFrame:
-    """Counts the tokens of whole texts, applies each row's edits and counts again from the trees.
+def build_trees(docs: DataFrame, ranks: str, pattern: str, text_column: str = "text") -> DataFrame:
+    """Adds ``tree`` (array<struct<chars int, tokens int>>, a document's leaves in order) and ``n_tokens long``.
+
+    Null and empty texts have no leaves. Columns of these names are replaced, all others stay. Repeated
+    rows stay; empty tables give empty results. ``ranks`` is the text of a rank file, broadcast.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast((ranks, pattern))
+
+    def built(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counter = _counter(*sent.value)
+        for texts in batches:
+            yield pd.Series([[{"chars": c, "tokens": t} for c, t in counter.leaves(text or "")] for text in texts], dtype="object")
+
+    made = docs.withColumn("tree", F.pandas_udf(built, LEAVES)(text_of(text_column)))
+    # Through the generator the tree is made once, however often the columns are read.
+    kept = [x for x in made.columns if x not in ("tree", "n_tokens")]
+    return made.select(*kept, F.inline(F.array(F.struct("tree")))).withColumn("n_tokens", tokens_of("tree"))
+
+
+def tokens_of(tree: str) -> Column:
+    """The tokens of a tree's root."""
+    return F.aggregate(F.col(tree), F.lit(0).cast("long"), lambda a, leaf: a + leaf["tokens"])
+
+
+def apply_edits(docs: DataFrame, ranks: str, pattern: str, text_column: str = "text", tree_column: str = "tree", edits_column: str = "edits") -> DataFrame:
+    """Applies each row's edits to its text and tree.
 
     ``edits_column`` is an array<struct<start int, end int, text string>> of code points, end
     exclusive, applied in order, each to the text that the one before left. Null arrays, null
     replacements (empty) and null places (0) are allowed; places outside are moved to the nearest end.
 
-    Returns ``id_column, n_tokens, n_tokens_edited, n_edits, chars_encoded_again`` (long), and
-    ``edited_text`` if asked for. Null and empty texts have no tokens. Repeated rows stay; other
-    columns are not read; empty tables give empty results. ``ranks`` is the text of a rank file,
-    broadcast.
+    The text and the tree are replaced by the edited ones, and ``n_tokens, n_edits,
+    chars_encoded_again`` (long) added; columns of these names are replaced and all others stay. Only
+    what the edits touch is encoded: rows without edits take no part in Python at all. A null tree is
+    built. Repeated rows stay; empty tables give empty results.
     """
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast((ranks, pattern))
-    names = ["n_tokens", "n_tokens_edited", "n_edits", "chars_encoded_again", *["edited_text"] * with_text]
+    names = ["edited", "leaves", "n", "again"]
 
-    def counted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def applied(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         counter = _counter(*sent.value)
-        for texts, all_edits in batches:
+        for texts, trees, all_edits in batches:
             rows = []
-            for text, own in zip(texts, all_edits):
-                doc = EditableDocument(counter, text or "")
-                before, again, n = doc.n_tokens, 0, 0
-                for e in own if own is not None else ():
-                    again += doc.edit(int(e["start"] or 0), int(e["end"] or 0), e["text"] or "")
-                    n += 1
-                rows.append((before, doc.n_tokens, n, again, doc.text)[: len(names)])
+            for text, tree, own in zip(texts, trees, all_edits):
+                doc = EditableDocument(counter, text, None if tree is None else [(x["chars"], x["tokens"]) for x in tree])
+                for e in own:
+                    doc.edit(int(e["start"] or 0), int(e["end"] or 0), e["text"] or "")
+                rows.append((doc.text, [{"chars": c, "tokens": t} for c, t in doc.leaves()], len(own), doc.encoded))
             yield pd.DataFrame(rows, columns=names)
 
-    udf = F.pandas_udf(counted, "n_tokens long, n_tokens_edited long, n_edits long, chars_encoded_again long" + ", edited_text string" * with_text)
-    counts = docs.select(F.col(id_column), udf(text_of(text_column), F.col(edits_column)).alias("_counted"))
-    return counts.select(id_column, "_counted.*")
+    c = own_columns(docs, "done")
+    changed = F.coalesce(F.size(edits_column) > 0, F.lit(False)) | F.col(tree_column).isNull()
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    udf = F.pandas_udf(applied, f"edited string, leaves {LEAVES}, n long, again long")
+    # Rows without edits are handed in empty: an expression's condition doesn't keep rows out of Python.
+    empty = F.array().cast(LEAVES)
+    done = udf(F.when(changed, text_of(text_column)).otherwise(""), F.when(changed, F.col(tree_column)).otherwise(empty), F.when(changed, F.coalesce(F.col(edits_column), none)).otherwise(none))
+    out = docs.withColumn(c["done"], done)
+    got = F.col(c["done"])
+    counted = {"n_edits": got["n"], "chars_encoded_again": got["again"]}
+    new = {text_column: F.when(changed, got["edited"]).otherwise(F.col(text_column)), tree_column: F.when(changed, got["leaves"]).otherwise(F.col(tree_column))}
+    kept = [x for x in docs.columns if x not in (*new, *counted, "n_tokens")]
+    rows = out.select(*kept, F.inline(F.array(F.struct(*[x.alias(k) for k, x in (new | counted).items()]))))
+    return rows.withColumn("n_tokens", tokens_of(tree_column))
+
+
+def count_with_edits(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", edits_column: str = "edits") -> DataFrame:
+    """Builds the trees of whole texts, applies each row's edits to them and counts from both.
+
+    Returns ``id_column, n_tokens, n_tokens_edited, n_edits, chars_encoded_again`` (long) and
+    ``edited_text``. Nulls, edges and edits are as in ``build_trees`` and ``apply_edits``; other
+    columns are not read.
+    """
+    built = build_trees(docs.select(F.col(id_column), F.col(text_column), F.col(edits_column)), ranks, pattern, text_column)
+    edited = apply_edits(built.withColumnRenamed("n_tokens", "n_tokens_before"), ranks, pattern, text_column, "tree", edits_column)
+    return edited.select(id_column, F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_edits", "chars_encoded_again", text_of(text_column).alias("edited_text"))

@@ -39,7 +39,7 @@ def test_long_texts_are_encoded_again_in_part_only(ranks):
 
 def test_query_columns(spark, docs, doc_rows, clashing, empty, ranks):
     edits = spark.createDataFrame([(i, 1, 0, 3, "new ") for i in range(60)] + [(3, 0, 5, 5, None), (None, 1, 0, 1, "x"), (9999, 1, 0, 1, "x")], "doc_id long, seq int, start int, end int, text string")
-    out = C.count_with_edits(C.join_edits(clashing, edits), ranks, P.PATTERN, with_text=True).collect()
+    out = C.count_with_edits(C.join_edits(clashing, edits), ranks, P.PATTERN).collect()
     counter = C.PieceCounter(ranks, P.PATTERN)
     texts = {r[0]: r[1] or "" for r in doc_rows}
     assert len(out) == len(doc_rows)
@@ -48,3 +48,27 @@ def test_query_columns(spark, docs, doc_rows, clashing, empty, ranks):
         want = "new " + texts[r["doc_id"]][3:] if r["n_edits"] else texts[r["doc_id"]]
         assert r["edited_text"] == want and r["n_tokens_edited"] == len(counter.coder.encode_ordinary(want))
     assert C.count_with_edits(C.join_edits(empty, edits), ranks, P.PATTERN).count() == 0
+
+
+def test_kept_trees_are_edited_without_encoding_the_rest(spark, docs, clashing, doc_rows, ranks, tmp_path):
+    """Trees go through a table; a second batch of edits encodes what it touches and no more."""
+    counter = C.PieceCounter(ranks, P.PATTERN)
+    built = C.build_trees(clashing, ranks, P.PATTERN)
+    built.write.parquet(f"{tmp_path}/trees")
+    kept = spark.read.parquet(f"{tmp_path}/trees")
+    assert set(clashing.columns) <= set(kept.columns)
+    texts = {r[0]: r[1] or "" for r in doc_rows}
+    assert {(r["doc_id"], r["n_tokens"]) for r in kept.collect()} == {(d, len(counter.coder.encode_ordinary(t))) for d, t in texts.items()}
+    edits = spark.createDataFrame([(205, 1, 500, 503, "new"), (3, 1, 0, 2, ""), (203, 1, 9, 9, " more")], "doc_id long, seq int, start int, end int, text string")
+    once = C.apply_edits(C.join_edits(kept, edits), ranks, P.PATTERN)
+    once.write.parquet(f"{tmp_path}/once")
+    twice = C.apply_edits(C.join_edits(spark.read.parquet(f"{tmp_path}/once"), edits), ranks, P.PATTERN).collect()
+    for r in twice:
+        want = texts[r["doc_id"]]
+        for _ in range(2):
+            want = {205: want[:500] + "new" + want[503:], 3: want[2:], 203: want + " more"}.get(r["doc_id"], want)
+        assert (r["text"] or "") == want and r["n_tokens"] == len(counter.coder.encode_ordinary(want))
+        assert sum(x["chars"] for x in r["tree"]) == len(want)
+        assert r["n_edits"] == (r["doc_id"] in (205, 3, 203)) and r["chars_encoded_again"] < 3000
+        assert r["n_edits"] or r["chars_encoded_again"] == 0
+    assert {r["size"] for r in twice} == {"x"}
