@@ -70,6 +70,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def replace_path(spark: SparkSession, source: str, target: str) -> None:
+    """Puts one folder in the place of another."""
+    jvm = spark.sparkContext._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    files = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(b, True)
+    if not files.rename(a, b):
+        raise OSError(f"{source} can't take the place of {target}")
+
+
 def drop_table(df: DataFrame) -> None:
     """Removes a table that ``materialize`` wrote and that nothing reads any more."""
     for path in {os.path.dirname(f) for f in df.inputFiles()}:

@@ -4,6 +4,9 @@ Each version of a text is addressed by its content (SHA-256). The ledger records
 scanned with which version of which rule; a scan reads only blobs with a pair that isn't recorded,
 each once however many paths hold it, and findings are joined back to all paths.
 
+The ledger is partitioned by the first hexadecimal digits of the blob: a scan reads and a compaction
+rewrites only the prefixes of its own blobs.
+
 All work is DataFrame functions.
 """
 
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, new_path, text_of
+from .common import materialize, new_path, replace_path, text_of
 
 
 @dataclass(frozen=True)
@@ -47,10 +50,14 @@ RULES = (
     SecretRule("access", 1, r"AKIA[A-Z0-9]{14,}", 0, 18, ("akia",)),
     SecretRule("hex", 1, r"[0-9a-f]{16,}", 0, 16),
     SecretRule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, ("private key-----",)),
-    SecretRule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, ("eyj",)),
+    # The first part is bounded, so a long unbroken run isn't read to its end from each of its begins.
+    SecretRule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, ("eyj",)),
 )
 
 
+TABLES = {"scanned": "blob binary, rules array<string>", "findings": "blob binary, rule string, start int, `end` int"}
+
+
 def blob_of(text: Column) -> Column:
     """The content address of a text: its SHA-256, in binary."""
     return F.unhex(F.sha2(text, 256))
@@ -89,37 +96,82 @@ def scan_blobs(blobs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataF
 
 
 class BlobLedger:
-    """Two growing Parquet tables in one folder: scanned (blob, rules) and findings (blob, kind, start, end)."""
+    """Two tables in one folder: scanned (blob, rules) and findings (blob, rule, start, end).
 
-    def __init__(self, spark: SparkSession, path: str | None = None, rules: tuple[SecretRule, ...] = RULES):
-        self.spark, self.rules = spark, rules
+    Both are partitioned by ``prefix``, the first ``digits`` (0 to 2) hexadecimal digits of the blob.
+    Scans append; ``compact`` puts the files of each prefix together.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, rules: tuple[SecretRule, ...] = RULES, digits: int = 1):
+        if not 0 <= digits <= 2:
+            raise ValueError("prefixes have 0 to 2 digits")
+        self.spark, self.rules, self.digits = spark, rules, digits
         self.path = path or new_path(spark, "blob-ledger")
-        spark.createDataFrame([], "blob binary, rules array<string>").write.mode("append").parquet(f"{self.path}/scanned")
-        spark.createDataFrame([], "blob binary, rule string, start int, `end` int").write.mode("append").parquet(f"{self.path}/findings")
+        for table, columns in TABLES.items():
+            spark.createDataFrame([], f"{columns}, prefix string").write.mode("append").parquet(f"{self.path}/{table}")
+
+    def _read(self, table: str, prefixes: list[str] | None = None) -> DataFrame:
+        rows = self.spark.read.schema(f"{TABLES[table]}, prefix string").parquet(f"{self.path}/{table}")
+        return rows if prefixes is None else rows.where(F.col("prefix").isin(prefixes))
+
+    def _append(self, rows: DataFrame, table: str) -> None:
+        """Appends a file or more to each prefix, as many as there are tasks to write them."""
+        share = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16**self.digits)
+        dealt = rows.withColumn("prefix", self.prefix_of(F.col("blob"))).repartition(F.col("prefix"), F.pmod(F.xxhash64("blob"), F.lit(share)))
+        dealt.write.mode("append").partitionBy("prefix").parquet(f"{self.path}/{table}")
 
-    def scanned(self) -> DataFrame:
-        return self.spark.read.schema("blob binary, rules array<string>").parquet(f"{self.path}/scanned")
+    def prefix_of(self, blob: Column) -> Column:
+        return F.concat(F.lit("p"), F.lower(F.substring(F.hex(blob), 1, self.digits)))
 
-    def findings(self) -> DataFrame:
-        return self.spark.read.schema("blob binary, rule string, start int, `end` int").parquet(f"{self.path}/findings")
+    def scanned(self, prefixes: list[str] | None = None) -> DataFrame:
+        return self._read("scanned", prefixes).drop("prefix")
 
-    def scan(self, versions: DataFrame, text_column: str = "text") -> None:
+    def findings(self, prefixes: list[str] | None = None) -> DataFrame:
+        return self._read("findings", prefixes).drop("prefix")
+
+    def is_empty(self) -> bool:
+        return self.scanned().isEmpty()
+
+    def prefixes(self, blobs: DataFrame) -> list[str]:
+        """The prefixes of ``blobs`` (blob): 256 at most."""
+        return sorted(r[0] for r in blobs.select(self.prefix_of(F.col("blob"))).distinct().collect())
+
+    def scan(self, versions: DataFrame, text_column: str = "text") -> list[str] | None:
         """Scans the blobs of ``versions`` with the rules that haven't read them, and records both.
 
-        Findings are written before the record of the scan: a scan that breaks off is done again
-        and its findings, read as distinct rows, do no harm.
+        Returns the prefixes of the versions' blobs, null if all of them may occur. Findings are
+        written before the record of the scan: a scan that breaks off is done again and its findings,
+        read as distinct rows, do no harm.
         """
         keys = F.array(*[F.lit(r.key) for r in self.rules])
         text = text_of(text_column)
+        addressed = versions.select(blob_of(text).alias("blob"))
+        first = self.is_empty()
+        within = None if first else self.prefixes(addressed)
         blobs = versions.select(blob_of(text).alias("blob"), text.alias("text")).dropDuplicates(["blob"])
-        done = self.scanned().groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("done"))
+        done = self.scanned(within).groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("done"))
         pending = F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))
-        fresh = blobs.join(done, "blob", "left").withColumn("pending", pending).where(F.size("pending") > 0).select("blob", "text", "pending")
+        # Nothing is recorded in a new ledger, so all pairs are unseen without a join.
+        fresh = blobs.withColumn("pending", keys) if first else blobs.join(done, "blob", "left").withColumn("pending", pending)
         names = F.array(*[F.lit(r.key) for r in self.rules])
-        found = scan_blobs(fresh, self.rules).select("blob", F.element_at(names, F.col("kind") + 1).alias("rule"), "start", "end")
-        found.write.mode("append").parquet(f"{self.path}/findings")
-        seen = versions.select(blob_of(text).alias("blob")).distinct().join(done, "blob", "left").withColumn("rules", pending)
-        seen.where(F.size("rules") > 0).select("blob", "rules").write.mode("append").parquet(f"{self.path}/scanned")
+        found = scan_blobs(fresh.where(F.size("pending") > 0).select("blob", "text", "pending"), self.rules)
+        self._append(found.select("blob", F.element_at(names, F.col("kind") + 1).alias("rule"), "start", "end"), "findings")
+        seen = addressed.distinct()
+        seen = seen.withColumn("rules", keys) if first else seen.join(done, "blob", "left").withColumn("rules", pending)
+        self._append(seen.where(F.size("rules") > 0).select("blob", "rules"), "scanned")
+        return within
+
+    def compact(self, prefixes: list[str] | None = None) -> None:
+        """Puts the files of each prefix (all, or those named) together; repeated findings go.
+
+        The new files are written beside the old ones and then take their place.
+        """
+        for table in TABLES:
+            old = f"{self.path}/{table}"
+            for prefix in prefixes if prefixes is not None else [r[0] for r in self._read(table).select("prefix").distinct().collect()]:
+                place, fresh = f"{old}/prefix={prefix}", f"{self.path}/compacted/{table}-{prefix}"
+                self._read(table, [prefix]).drop("prefix").distinct().coalesce(1).write.mode("overwrite").parquet(fresh)
+                replace_path(self.spark, fresh, place)
 
 
 def scan_history(docs: DataFrame, ledger: BlobLedger | None = None, path_column: str = "doc_id", text_column: str = "text", base_kinds: int = 3) -> DataFrame:
@@ -132,9 +184,9 @@ def scan_history(docs: DataFrame, ledger: BlobLedger | None = None, path_column:
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     rules = ledger.rules
-    ledger.scan(docs, text_column)
+    within = ledger.scan(docs, text_column)
     number = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
-    found = ledger.findings().distinct().withColumn("kind", number[F.col("rule")]).where("kind is not null")
+    found = ledger.findings(within).distinct().withColumn("kind", number[F.col("rule")]).where("kind is not null")
     span = F.struct("start", "kind", F.concat_ws(":", F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind") + 1), F.col("start").cast("string"), F.col("end").cast("string")).alias("said"))
     # Written, so that both sides of the join are plain exchanges: then a blob that many paths hold
     # is split over tasks, or the findings are broadcast if they turn out small.

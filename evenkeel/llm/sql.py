@@ -94,7 +94,7 @@ found AS ({_spans("assign", 0, _ASSIGN, 2, 12)}
     UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", 0, 18)}
     UNION ALL {_spans("hex", 2, "[0-9a-f]+", 0, 16)}
     UNION ALL {_spans("pem", 3, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0)}
-    UNION ALL {_spans("jwt", 4, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0)}
+    UNION ALL {_spans("jwt", 4, r"eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0)}
 ), of_doc AS (
     SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
            string_agg(concat_ws(':', kind, start, "end"), ',' ORDER BY start, place) FILTER (place < 3) AS base,

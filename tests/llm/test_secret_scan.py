@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -49,8 +50,7 @@ def test_ledger_scans_only_unseen_pairs(spark):
     more = df.union(spark.createDataFrame([(5000, "token=abcdefghijklmnop new blob")], df.schema))
     S.scan_history(more, ledger)
     assert ledger.scanned().count() == n + 1
-    newer = S.BlobLedger.__new__(S.BlobLedger)
-    newer.spark, newer.path, newer.rules = spark, ledger.path, (*S.RULES[:2], S.SecretRule("hex", 2, r"[0-9a-f]{20,}", 0, 20), *S.RULES[3:])
+    newer = S.BlobLedger(spark, ledger.path, rules=(*S.RULES[:2], S.SecretRule("hex", 2, r"[0-9a-f]{20,}", 0, 20), *S.RULES[3:]))
     out = {r["doc_id"]: r for r in S.scan_history(df, newer).where("doc_id < 100").collect()}
     assert ledger.scanned().where(F.array_contains("rules", "assign@1")).count() == n + 1
     assert out[9]["n_hex"] == 0 and out[10]["n_hex"] == 1
@@ -59,3 +59,29 @@ def test_ledger_scans_only_unseen_pairs(spark):
 def test_edges(docs, clashing, empty):
     assert S.scan_history(clashing).count() == docs.count()
     assert S.scan_history(empty).count() == 0
+
+
+def test_ledger_is_read_by_prefix_and_compacted(spark):
+    df, _ = table(spark)
+    ledger = S.BlobLedger(spark)
+    S.scan_history(df, ledger)
+    one = spark.createDataFrame([(1, "token=abcdefghijklmnop new blob")], "doc_id long, text string")
+    within = ledger.scan(one)
+    assert len(within) == 1
+    plan = ledger.scanned(within)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and within[0] in plan.split("PartitionFilters")[1].split("]")[0]
+    before = [sorted(map(str, x().distinct().collect())) for x in (ledger.scanned, ledger.findings)]
+    ledger.compact()
+    assert [sorted(map(str, x().distinct().collect())) for x in (ledger.scanned, ledger.findings)] == before
+    n = ledger.scanned().select("blob").distinct().count()
+    assert len(ledger.scanned().inputFiles()) <= 16 + 1
+    S.scan_history(df, ledger)
+    assert ledger.scanned().count() == n
+
+
+def test_long_unbroken_runs_take_linear_time(spark):
+    texts = ["eyJ" * 200_000, "eyJ-" * 100_000 + "." + "eyJ_" * 50_000, "-----BEGIN " * 50_000, "token   " * 50_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.monotonic()
+    assert S.scan_history(rows).where("n_jwt + n_pem > 0").count() == 0
+    assert time.monotonic() - began < 60
