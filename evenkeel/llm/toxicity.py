@@ -3,7 +3,8 @@
 A document is toxic if one of its sentences is. A sentence has the probability
 ``sigmoid(b + sum of the weights of its words)``; noisy-or combines a document's sentences to
 ``1 - product of (1 - p)``. The weights are fitted to document labels by gradient descent, and then
-tell which sentences give offence.
+tell which sentences give offence. They begin at, and are drawn back to, what a word's documents say
+of it alone: where several words explain a document, noisy-or would leave some of them unlearned.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ _SENTENCE = regex.compile(r"[^.!?\n]+")
 #: Words are features, and so are their first letters: inflected and compound forms share them.
 STEMS = (4, 6)
 CACHE_WORDS = 300_000
+DOUBT = 5
 
 
 def features_of(word: str) -> list[str]:
-    return [word, *[f"{word[:n]}~" for n in STEMS if len(word) > n]]
+    return [word, *[f"{word[:n]}~" for n in STEMS if len(word) >= n]]
 
 
 @dataclass
@@ -76,9 +78,11 @@ def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def fit(documents: list[tuple[int, list[list[int]], int]], words: list[str], rounds: int = 200, penalty: float = 1e-4) -> SentenceModel:
+def fit(documents: list[tuple[int, list[list[int]], int]], words: list[str], prior: list[float] | None = None, rounds: int = 200, penalty: float = 1e-3) -> SentenceModel:
     """Fits the model to documents (number of sentences, word places of the sentences that have any, label).
 
+    ``prior`` has the weights to which the penalty draws (none: zero).
+
     Without labels of both kinds all weights are zero and the bias gives the share of toxic
     documents. Sentences without a chosen word are alike and enter as their number.
     """
@@ -95,7 +99,8 @@ def fit(documents: list[tuple[int, list[list[int]], int]], words: list[str], rou
     rows, cols, docs = np.array(rows, np.int64), np.array(cols, np.int64), np.array(docs, np.int64)
     y = np.array([d[2] for d in documents], float)
     plain = np.array([max(1, d[0]) - len(d[1]) if d[0] or not d[1] else 0 for d in documents], float)
-    theta, bias = np.zeros(len(words)), -math.log(max(2.0, sum(max(1, d[0]) for d in documents) / n) / share)
+    drawn = np.array(prior, float) if prior is not None else np.zeros(len(words))
+    theta, bias = drawn.copy(), -math.log(max(2.0, sum(max(1, d[0]) for d in documents) / n) / share)
     step, square, square_b = 0.5, np.full(len(words), 1e-8), 1e-8
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, theta[cols], len(docs)), -30, 30)))
@@ -103,7 +108,7 @@ def fit(documents: list[tuple[int, list[list[int]], int]], words: list[str], rou
         none = np.bincount(docs, np.log1p(-np.minimum(p, 1 - 1e-9)), n) + plain * math.log1p(-min(p0, 1 - 1e-9))  # log of no toxic sentence
         slope = np.where(y > 0, -np.exp(none) / np.maximum(-np.expm1(none), 1e-9), 1.0) / n
         own = slope[docs] * p
-        grad = np.bincount(cols, own[rows], len(words)) + penalty * theta
+        grad = np.bincount(cols, own[rows], len(words)) + penalty * (theta - drawn)
         grad_b = own.sum() + (slope * plain).sum() * p0
         square += grad**2
         square_b += grad_b**2
@@ -117,8 +122,12 @@ def _words_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([sorted({f for w in set(_WORD.findall(t.lower())) for f in features_of(w)}) for t in batch], dtype="object")
 
 
-def _choose_words(sample: DataFrame, max_words: int, min_documents: int) -> list[str]:
-    """The words whose occurrence and the label go together most, by the chi-square of their document counts."""
+def _choose_words(sample: DataFrame, max_words: int, min_documents: int) -> list[tuple[str, float]]:
+    """The words whose occurrence and the label go together most, by the chi-square of their document counts.
+
+    Each comes with its weight of evidence: the logarithm of its odds among toxic documents over those
+    of all, with ``DOUBT`` clean documents more than were seen, and no less than 0.
+    """
     totals = sample.agg(F.count("*").alias("n"), F.sum("_label").alias("toxic")).first()
     n, toxic = totals["n"], totals["toxic"] or 0
     if not 0 < toxic < n:
@@ -128,7 +137,8 @@ def _choose_words(sample: DataFrame, max_words: int, min_documents: int) -> list
     b, c = d - a, F.lit(float(toxic)) - a
     strength = n * F.pow(a * (n - d - c) - b * c, F.lit(2.0)) / F.greatest(d * (n - d) * float(toxic) * float(n - toxic), F.lit(1.0))
     best = counts.withColumn("s", strength).where("s >= 6.6").orderBy(F.desc("s"), "w").limit(max_words)
-    return [r["w"] for r in best.select("w").collect()]
+    usual = math.log(toxic / (n - toxic))
+    return [(r["w"], max(0.0, math.log((r["a"] + 0.1) / (r["d"] - r["a"] + DOUBT)) - usual)) for r in best.select("w", "a", "d").collect()]
 
 
 def held_out(id_column: str = "doc_id"):
@@ -140,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     """Fits the model to at most ``max_labelled`` labelled documents that aren't held out, chosen by a hash of the id.
 
     Words are counted and chosen, and sentences turned to word places, by Spark; the driver gets
-    the places of at most ``max_words`` words in the sentences of the sample.
+    the places of at most ``max_words`` words in the sentences of the sample. Of ids that come more
+    than once, at most ``2 * max_labelled`` rows take part in all.
     """
     usable = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(id_column))
     chosen = usable.groupBy(F.col(id_column).alias("_label_id")).agg(F.max(label_column).alias("_label"))
@@ -148,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     found = docs.select(F.col(id_column).alias("_id"), text_of(text_column).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_label_id"))
     ship(docs.sparkSession)
     sample = materialize(found.select("_id", "_text", F.col("_label").cast("int").alias("_label")), "toxicity-sample")
-    words = _choose_words(sample, max_words, min_documents)
+    chosen_words = _choose_words(sample, max_words, min_documents)
+    words = [w for w, _ in chosen_words]
     sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def places(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -161,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             yield pd.DataFrame(rows, columns=["n", "hits"])
 
     rows = sample.select("_id", "_label", F.pandas_udf(places, "n int, hits array<array<int>>")("_text").alias("f")).orderBy("_id", "f").limit(2 * max_labelled).collect()
-    return fit([(r["f"]["n"], r["f"]["hits"], r["_label"]) for r in rows], words)
+    return fit([(r["f"]["n"], r["f"]["hits"], r["_label"]) for r in rows], words, [x for _, x in chosen_words])
 
 
 def score_documents(docs: DataFrame, model: SentenceModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

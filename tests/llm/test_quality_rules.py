@@ -1,7 +1,11 @@
+import os
 import random
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from evenkeel.llm import quality_rules as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,3 +64,14 @@ def test_judged_documents(spark, docs, clashing, empty):
 
 def test_filter_on_statistics_is_not_pushed_into_them(docs):
     assert Q.add_statistics(docs).where("NOT base_failed AND repeat_share < 0.4").count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_held_out_documents(spark):
+    """A list learned from three quarters of the labels judges the others as they are labelled."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    kept_back = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 1
+    model = Q.learn_decision_list(Q.labelled_statistics(docs, labels.where(~kept_back)))
+    judged = Q.add_statistics(docs.join(labels.where(kept_back), "doc_id").select("text", "quality")).where("NOT base_failed").select("quality", Q.verdict(model).alias("kept")).collect()
+    bad, good = [r["kept"] for r in judged if r["quality"] == 0], [r["kept"] for r in judged if r["quality"] == 1]
+    assert len(bad) > 40 and sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.98 * len(good)

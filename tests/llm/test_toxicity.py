@@ -1,4 +1,9 @@
+import os
 import random
+import re
+
+import numpy as np
+import pytest
 
 from evenkeel.llm import toxicity as X
 
@@ -40,3 +45,27 @@ def test_held_out_is_the_crc_of_the_id(spark):
 
     got = spark.range(200).select("id", X.held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in got)
+
+
+def features(word):
+    return {word} | {word[:n] + "~" for n in (4, 6) if len(word) >= n}
+
+
+def noisy_or(model, text):
+    """The score of a text from the model's weights, sentence by sentence in NumPy."""
+    sentences = [s for s in re.split(r"[.!?\n]+", text or "") if s] or [""]
+    words = [{f for w in re.findall(r"[^\W\d_]+", s.lower()) for f in features(w)} for s in sentences]
+    z = np.array([model.bias + sum(model.weights.get(f, 0.0) for f in ws) for ws in words])
+    return 1 - np.prod(1 - 1 / (1 + np.exp(-z)))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_held_out_documents_and_scores_from_the_weights(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = X.train(docs, labels)
+    got = X.score_documents(docs, model).join(labels, "doc_id").where(X.held_out()).join(docs, "doc_id").select("text", "score", "toxic").collect()
+    caught = [r["score"] >= X.THRESHOLD for r in got if r["toxic"] == 1]
+    clean = [r["score"] < X.THRESHOLD for r in got if r["toxic"] == 0]
+    assert len(caught) > 100 and sum(caught) >= 0.9 * len(caught) and sum(clean) >= 0.97 * len(clean)
+    letters = [r for r in got if all(c.isalpha() == bool(re.match(r"[^\W\d_]", c)) for c in r["text"])][:300]
+    assert len(letters) == 300 and all(abs(r["score"] - noisy_or(model, r["text"])) < 1e-9 for r in letters)
