@@ -146,6 +146,16 @@ def own_columns(df: DataFrame, *wanted: str, prefix: str = "_") -> dict[str, str
     return names
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under names that no operator uses, and the new name of each column."""
+    names = {c: f"_column_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def named_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
 def dense_rank_positions(df: DataFrame, order: list[Column], name: str, position: str) -> DataFrame:
     """Numbers the rows of ``df`` from 0 in ``order`` without gathering them in one task.
 

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_path, drop_table, id_order, materialize, new_path, own_columns, row_key, strip_space, text_of
+from .common import ascii_lower, drop_path, drop_table, id_order, materialize, named_back, new_path, own_columns, renamed, row_key, strip_space, text_of
 
 MIN_KEY_CHARS = 10
 #: Lines of a batch for each bucket of a run, so for each task that merges.
@@ -184,3 +184,10 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         "n_dropped": F.when(drops.isNull(), F.lit(0)).otherwise(F.size(drops)).cast("long"),
     })
     return out.withColumn("kept_text", F.col(c["kept"])).drop(*c.values())
+
+
+def cut_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
+    """The documents with what ``dedup_lines`` leaves of their texts; all other columns as they are, whatever their names."""
+    plain, own = renamed(docs)
+    cut = dedup_lines(plain, own[id_column], own[text_column], **settings).withColumn(own[text_column], F.col("kept_text"))
+    return named_back(cut, own)

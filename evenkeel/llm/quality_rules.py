@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns, strip_space, text_of, words_of
+from .common import named_back, own_columns, renamed, strip_space, text_of, words_of
 
 MIN_WORDS = 50
 MAX_LABELLED = 8000
@@ -185,3 +185,10 @@ def judge_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules))
     extra = [f for f in FEATURES if f not in docs.columns]
     return judged.withColumn("kept", kept).drop(*extra)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
+    """The documents that ``judge_documents`` keeps, with the columns of ``docs`` as they are, whatever their names."""
+    plain, own = renamed(docs)
+    marked = labels.select(F.col(id_column).alias(own[id_column]), F.col(label_column).alias("label"))
+    return named_back(judge_documents(plain, marked, own[id_column], own[text_column], "label").where("kept"), own)

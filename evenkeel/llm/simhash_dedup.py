@@ -13,19 +13,24 @@ a bucket of the last level holds 2**14 at most however many documents there are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_order, materialize, own_columns, row_key, ship, text_of
 from .components import connected_components
 
 SEED = 42
+#: Words of a shingle, similarity and 64-bit words of the long fingerprint of ``keep_similar_one``.
+SHINGLE, SIMILARITY, LONGS = 5, 0.8, 8
+#: Bits by which the short fingerprints of two similar texts may differ.
+RADIUS = 7
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -33,16 +38,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    whole = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(whole, SEED)], dtype=np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        pieces = zip(starts, ends[shingle - 1 :].tolist())
-        hashes = np.fromiter((digest(whole[a:b], SEED) for a, b in pieces), np.uint64, len(starts))
+    pieces = _shingles(words, shingle)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in pieces), np.uint64, len(pieces))
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):  # a very long text needs no more memory than this
         part = hashes[at : at + (1 << 15)]
@@ -145,11 +142,155 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     with the smallest digest stays, and equal rows become one. Groups are told apart by fingerprint,
     so those without ids, or that share an id, each keep a row.
     """
+    return _first_of_each(docs, _grouped(docs, id_column, text_column, **settings), id_column, text_column)
+
+
+def _first_of_each(docs: DataFrame, groups: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The row with the smallest id, then digest, of each ``root`` of ``groups``."""
     c = own_columns(docs, "order", "digest")
-    groups = _grouped(docs, id_column, text_column, **settings)
     ordered = groups.select(id_order(id_column).alias(c["order"]), F.col("row_digest").alias(c["digest"]), "root")
     chosen = ordered.groupBy("root").agg(F.min(F.struct(c["order"], c["digest"])).alias("row")).select("row.*")
     marked = docs.withColumns({c["order"]: id_order(id_column), c["digest"]: row_key(id_column, text_of(text_column))})
     found = marked.join(chosen, [c["order"], c["digest"]], "left_semi")
     # Equal rows share id and digest; only then is there more than one row to a key.
     return found.dropDuplicates([c["order"], c["digest"]]).select(*docs.columns)
+
+
+def blocks_for(n: int, distance: int) -> int:
+    """The number of blocks with which a key has about as many bits as ``n`` fingerprints need to be told apart."""
+    blocks = distance + 2
+    while blocks < distance + 4 and 64 * (blocks - distance) / blocks < math.log2(max(2, n)) - 3:
+        blocks += 1
+    return blocks
+
+
+def _shingles(words: list[bytes], size: int) -> list[bytes]:
+    """The shingles of some words, joined by blanks; all words if they are fewer."""
+    whole = b" ".join(words)
+    if len(words) <= size:
+        return [whole]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    return [whole[a:b] for a, b in zip((ends - sizes)[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
+
+
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes of the same pieces for each seed, by the splitmix64 steps; for seed 0 the hashes themselves."""
+    if not seed:
+        return hashes
+    z = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _long_print(pieces: list[bytes], longs: int) -> tuple[list[int], int, int]:
+    """SimHash of 64 bits a seed over different pieces, their number, and a hash of the set they make."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in pieces), np.uint64, len(pieces))
+    hashes = np.unique(hashes)
+    out = []
+    for seed in range(longs):
+        mixed = _mixed(hashes, seed)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(mixed), 1 << 15):
+            ones += np.unpackbits(mixed[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(mixed)).view(">i8")[0]))
+    return out, len(hashes), xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
+def _set_prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        rows = []
+        for text in texts:
+            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            prints, n, key = _long_print(_shingles(words, SHINGLE), LONGS)
+            rows.append((_long_print(list(set(words)) or [b""], 1)[0][0], prints, n, key))
+        yield pd.DataFrame(rows, columns=["short", "prints", "n", "key"])
+
+
+def widest(n_a: Column, n_b: Column, bits: int = 64 * LONGS, similarity: float = SIMILARITY) -> Column:
+    """Bits by which long fingerprints of two sets of so many shingles differ if their similarity is ``similarity``.
+
+    Sets A and B of similarity s share s (a + b) / (1 + s) shingles; their fingerprints differ in the
+    share of bits that the angle between them is of a half turn.
+    """
+    shared = (n_a + n_b) * similarity / (1 + similarity)
+    return F.acos(F.least(F.lit(1.0), shared / F.sqrt(n_a * n_b))) / math.pi * bits
+
+
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", distance: int = RADIUS, bucket_limit: int = 100) -> DataFrame:
+    """Groups texts whose sets of five-word shingles are similar (Jaccard) by 0.8 or more, directly or through others.
+
+    Returns for each row ``id_column, row_digest long, set_key long, root long``: a hash of the text's
+    set of shingles and the smallest ``set_key`` of its group.
+
+    SimHash of shingles is no good filter at 0.8: such pairs differ in about 10 of 64 bits. One of a
+    text's different words moves less when a word is edited, so texts are blocked on that: 64 bits,
+    differing in ``distance`` at most; the README says how many similar pairs that finds. Candidates
+    are verified by the Hamming distance of a second fingerprint, 512 bits of the five-word shingles,
+    against the distance that a similarity of 0.8 has. Within three standard errors of it the shingles
+    of both texts are compared, unless surer links join them. Texts of one set take part once.
+
+    A-Z is lower-cased. Shorter texts are one shingle; null, empty and blank texts are one group.
+    Rows without an id take part like others; other columns are not read; empty tables give empty
+    results.
+    """
+    ship(docs.sparkSession)
+    udf = F.pandas_udf(_set_prints, "short long, prints array<long>, n int, key long")
+    rows = docs.select(F.col(id_column), row_key(id_column, text_of(text_column)).alias("row_digest"), udf(text_of(text_column)).alias("p"))
+    rows = materialize(rows.select(id_column, "row_digest", F.inline(F.array("p"))).withColumnRenamed("key", "set_key"), "set-prints")
+    sets = materialize(rows.groupBy("set_key").agg(F.first("short").alias("short"), F.first("prints").alias("prints"), F.first("n").alias("n")), "shingle-sets")
+    shorts = materialize(sets.groupBy("short").agg(F.count("*").alias("held")), "short-prints")
+    near = similar_pairs(shorts.select(F.col("short").alias("fp")), distance, blocks_for(shorts.count(), distance), bucket_limit, depth=2)
+    same = shorts.where("held > 1").select(F.col("short").alias("a"), F.col("short").alias("b"))
+    left, right = (sets.select(F.col("short").alias(x), F.col("set_key").alias(f"key_{x}"), F.col("prints").alias(f"prints_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = near.union(same).join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("key_a") < F.col("key_b")))
+    lengths = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
+    far = sum((F.bit_count(F.get("prints_a", F.lit(i)).bitwiseXOR(F.get("prints_b", F.lit(i)))) for i in range(LONGS)), F.lit(0))
+    edge = widest(F.col("n_a").cast("double"), F.col("n_b").cast("double"))
+    margin = 3 * F.sqrt(edge * (1 - edge / (64 * LONGS)))
+    judged = materialize(pairs.where(lengths & (far <= edge + margin)).select("key_a", "key_b", (far <= edge - margin).alias("sure")), "similar-sets")
+    first = connected_components(judged.where("sure").select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+    # Pairs near the edge that sure links don't join already are counted exactly.
+    open_pairs = judged.where("NOT sure")
+    for x in "ab":
+        own = first.select(F.col("node").alias(f"key_{x}"), F.col("root").alias(f"root_{x}"))
+        open_pairs = open_pairs.join(own, f"key_{x}", "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", f"key_{x}"))
+    open_pairs = materialize(open_pairs.where("root_a <> root_b"), "open-pairs")
+    more = _verified(docs, rows, open_pairs, id_column, text_column)
+    links = first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("root_a", "root_b"))
+    roots = connected_components(links)
+    found = rows.select(id_column, "row_digest", "set_key").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
+    return found.select(id_column, "row_digest", "set_key", F.coalesce("root", "set_key").alias("root"))
+
+
+def _shingle_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        sets = []
+        for text in texts:
+            pieces = _shingles((text or "").encode("utf-8", "surrogatepass").lower().split(), SHINGLE)
+            sets.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in pieces), np.uint64, len(pieces))).view(np.int64))
+        yield pd.Series(sets, dtype="object")
+
+
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The ``pairs`` (key_a, key_b, ...) whose sets have a Jaccard similarity of ``SIMILARITY`` at least.
+
+    Only texts of these pairs are read again, one for each set.
+    """
+    c = own_columns(docs, "order", "digest", "key")
+    keys = pairs.select(F.col("key_a").alias("set_key")).union(pairs.select("key_b")).distinct()
+    chosen = rows.join(keys, "set_key", "left_semi").groupBy("set_key").agg(F.min(F.struct(id_order(id_column).alias("order"), "row_digest")).alias("row"))
+    chosen = chosen.select(F.col("row.order").alias(c["order"]), F.col("row.row_digest").alias(c["digest"]), F.col("set_key").alias(c["key"]))
+    marked = docs.select(id_order(id_column).alias(c["order"]), row_key(id_column, text_of(text_column)).alias(c["digest"]), text_of(text_column).alias("text"))
+    texts = marked.join(chosen, [c["order"], c["digest"]]).dropDuplicates([c["key"]])
+    sets = materialize(texts.select(F.col(c["key"]).alias("key"), F.pandas_udf(_shingle_sets, "array<long>")("text").alias("members")), "compared-sets")
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("key").alias(f"key_{x}"), F.col("members").alias(f"members_{x}")), f"key_{x}")
+    both = F.size(F.array_intersect("members_a", "members_b"))
+    return pairs.where(both / (F.size("members_a") + F.size("members_b") - both) >= SIMILARITY)
+
+
+def keep_similar_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
+    """One document of each group of ``similar_groups``, with the columns of ``docs``; which one is as in ``keep_one``."""
+    return _first_of_each(docs, similar_groups(docs, id_column, text_column, **settings), id_column, text_column)

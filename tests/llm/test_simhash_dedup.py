@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from evenkeel.llm import simhash_dedup as S
+from evenkeel.llm.common import row_key, text_of
 from evenkeel.llm.components import connected_components
 
 
@@ -85,11 +86,15 @@ def test_components_of_chains_stars_and_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def roots_of(docs):
+    return S._grouped(docs, "doc_id", "text").select("fingerprint_bits", "root").distinct()
+
+
 def test_keep_one(docs, clashing, empty):
     kept = S.keep_one(clashing)
     assert kept.columns == clashing.columns
     groups = S.with_components(docs)
-    assert kept.count() == groups.select("component_id").distinct().count()
+    assert kept.count() == groups.select("fingerprint_bits").join(roots_of(docs), "fingerprint_bits").select("root").distinct().count()
     assert {r["doc_id"] for r in kept.collect()} >= {3}
     assert not {r["doc_id"] for r in kept.collect()} & {100, 101, 102, 103}
     assert S.keep_one(empty).count() == 0 and S.with_components(empty).count() == 0
@@ -102,3 +107,55 @@ def test_keep_one_tells_groups_without_own_ids_apart(spark):
     rows = [(None, texts[0]), (None, texts[1]), (-1, texts[2]), (7, texts[3]), (7, texts[4]), (None, texts[0]), (8, texts[3])]
     kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(tuple, kept), key=str) == sorted(zip([None, None, -1, 7, 7], texts), key=str)
+
+
+def jaccard(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_similar_texts_against_brute_force(spark):
+    """Most pairs at 0.8 and more are linked, none far below; repeated and null ids of other texts stay apart."""
+    rng = random.Random(5)
+    stock = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(stock) for _ in range(rng.randint(80, 300))]
+        texts += [" ".join(base), *[edited(rng, base, max(1, len(base) * k // 100)) for k in (1, 1, 1, 2, 6)]]
+    texts += ["", None, " \t", "one", "ONE", "one two", texts[0].upper(), texts[0].replace(" ", "\n")]
+    rows = [(i % 90 if i % 5 else None, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    digests = docs.select("text", row_key("doc_id", text_of("text")).alias("row_digest"))
+    got = {r["text"]: r["root"] for r in S.similar_groups(docs).drop("doc_id").join(digests, "row_digest").collect()}
+    linked = found = 0
+    for i, a in enumerate(texts):
+        for b in texts[i + 1 :]:
+            j = jaccard(a or "", b or "")
+            linked += j >= 0.8
+            found += j >= 0.8 and got[a] == got[b]
+    assert linked > 150 and found >= 0.9 * linked
+    members = {}
+    for t, root in got.items():
+        members.setdefault(root, []).append(t or "")
+    for group in members.values():
+        assert all(any(jaccard(a, b) >= 0.79 for b in group if b is not a) for a in group if len(group) > 1)
+    kept = S.keep_similar_one(docs).collect()
+    assert len(kept) == len(members) and {got[r["text"]] for r in kept} == set(members)
+
+
+@pytest.mark.parametrize("n,blocks", [(100, 9), (10**5, 9), (10**6, 10), (10**9, 11)])
+def test_keys_have_as_many_bits_as_the_texts_need(n, blocks):
+    assert S.blocks_for(n, 7) == blocks
+
+
+def test_similar_edges(docs, clashing, empty):
+    kept = S.keep_similar_one(clashing)
+    assert kept.columns == clashing.columns and not {r["doc_id"] for r in kept.collect()} & {100, 101, 102, 103, 111, 112, 113, 201, 202}
+    assert S.keep_similar_one(empty).count() == 0
