@@ -19,21 +19,18 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned decision list reject go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules.judge_documents(docs, labels).where("kept").select(*docs.columns)
+    return quality_rules.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a document with a smaller id holds too are cut out of the texts."""
-    out = line_dedup.dedup_lines(docs).withColumn("text", F.col("kept_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    """Lines that a document with a smaller id holds too are cut out of the texts; ``n_chars`` follows them."""
+    out = line_dedup.cut_documents(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash_dedup.keep_one(docs)
+    """One document of each group stays whose sets of five-word shingles are similar by 0.8 or more."""
+    return simhash_dedup.keep_similar_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
