@@ -143,8 +143,7 @@ _METRICS = """+ metric AS (SELECT user_id, 'precision' AS metric, tp / k::DOUBLE
 
 
 def _metrics(v: Views):
-    n = v.parts.agg(F.countDistinct("item_id").alias("n")).first()["n"]
-    counts = R.user_counts(R.with_hits(R.ranked(v.predictions), v.test), v.users, v.train, v.test, n, (10,))
+    counts = R.user_counts(R.with_hits(R.ranked(v.predictions, most=10), v.test), v.users, v.train, v.test, v.n_items, (10,))
     return R.user_metrics(counts, ["precision", "mrr"], (10,))
 
 
@@ -195,19 +194,19 @@ def bias(v: Views):
     return v.predictions
 
 
-_KNN = """+ few AS (SELECT * FROM train WHERE item_id < 200), norms AS (SELECT item_id, sqrt(sum(rating * rating)) AS norm FROM few GROUP BY 1), unit AS (SELECT user_id, item_id, rating / norm AS w FROM few JOIN norms USING (item_id)),
+_KNN = """+ few AS MATERIALIZED (SELECT * FROM train), norms AS (SELECT item_id, sqrt(sum(rating * rating)) AS norm FROM few GROUP BY 1), unit AS (SELECT user_id, item_id, rating / norm AS w FROM few JOIN norms USING (item_id)),
 sim AS (SELECT a.item_id, b.item_id AS other_id, round(sum(a.w * b.w), 6) AS similarity FROM unit a JOIN unit b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY 1, 2),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, other_id)::INT AS rank FROM sim) WHERE rank <= 20)"""
 
 
 @query("G22_G23_item_neighbours", sql(_KNN + " SELECT item_id, other_id, similarity, rank FROM near"))
 def neighbours(v: Views):
-    return G.item_neighbours(v.train.where("item_id < 200"), 20)
+    return G.item_neighbours(v.train, 20)
 
 
 @query("G23_item_knn_scores", sql(_KNN + " SELECT t.user_id, t.item_id, round(sum(similarity * r.rating) / sum(abs(similarity)), 4) AS score FROM test t JOIN near n ON n.item_id = t.item_id JOIN few r ON r.user_id = t.user_id AND r.item_id = n.other_id GROUP BY 1, 2"))
 def knn_scores(v: Views):
-    few = v.train.where("item_id < 200")
+    few = v.train
     scores = G.item_knn_scores(few, v.test.select("user_id", "item_id"), G.item_neighbours(few, 20))
     return scores.withColumn("score", F.round("score", 4))
 
@@ -218,12 +217,13 @@ def scalars(v: Views):
     return G.log_counts(counts, "n").select("item_id", r6(G.safe_sigmoid(F.col("n") - 30.0), "squashed"), r6("logged"), r6("back"))
 
 
-@query("G16_G17_graph_convolution", sql("""+ e AS (SELECT user_id, item_id FROM train WHERE user_id < 50), d AS (SELECT user_id, 1.0::DOUBLE / (count(*) + 1) AS w FROM e GROUP BY 1), x AS (SELECT user_id, w * embedding[1] AS a, w * embedding[2] AS b FROM e JOIN d USING (user_id) JOIN embeddings ON vec_id = item_id)
-SELECT user_id, [round(sum(a), 6), round(sum(b), 6)] AS vector FROM x GROUP BY 1"""))
+@query("G16_G17_graph_convolution", sql("""+ e AS (SELECT user_id, item_id FROM train), d AS (SELECT user_id, 1.0::DOUBLE / (count(*) + 1) AS w FROM e GROUP BY 1), x AS (SELECT user_id, i, sum(w * embedding[i]::DOUBLE) AS s FROM e JOIN d USING (user_id) JOIN embeddings ON vec_id = item_id, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2)
+SELECT user_id, list(round(s, 5) ORDER BY i) AS vector FROM x GROUP BY 1"""))
 def convolution(v: Views):
-    edges = v.train.where("user_id < 50").select("user_id", "item_id")
-    vectors = v.table("embeddings").select(F.col("vec_id").alias("item_id"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("vector"))
-    return G.graph_convolution(edges.join(G.degree_vector(edges, "user_id"), "user_id"), vectors, "user_id", "item_id", F.col("weight"))
+    edges = v.train.select("user_id", "item_id")
+    vectors = v.table("embeddings").select(F.col("vec_id").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    out = G.graph_convolution(edges.join(G.degree_vector(edges, "user_id"), "user_id"), vectors, "user_id", "item_id", F.col("weight"))
+    return out.withColumn("vector", F.transform("vector", lambda x: F.round(x, 5)))
 
 
 @query("G21_best_replicates", "SELECT c_nationkey AS block, arg_min(c_custkey, (c_acctbal, c_custkey)) AS best, round(min(c_acctbal), 2) AS loss FROM customer GROUP BY 1")
@@ -252,8 +252,9 @@ def ranking_loss(v: Views):
     return rows.where("hit = 1").join(soft, "user_id").agg(r6(F.avg(F.log1p(F.exp(-(F.col("score") - F.col("negative"))))), "loss"))
 
 
-@query("G11_least_squares_step")
+@query("G11_least_squares_step", sql("""+ s AS (SELECT item_id, count(*) + 0.5 AS n, sum(age / 50.0::DOUBLE) AS a, sum(pow(age / 50.0::DOUBLE, 2)) + 0.5 AS aa, sum(rating) AS r, sum(rating * age / 50.0::DOUBLE) AS ra FROM train JOIN users USING (user_id) GROUP BY 1)
+SELECT item_id, [round((r * aa - a * ra) / (n * aa - a * a), 6), round((n * ra - a * r) / (n * aa - a * a), 6)] AS vector FROM s"""))
 def least_squares(v: Views):
     """Item vectors from user vectors of ones by one exact half step."""
     users = v.users.select("user_id", F.array(F.lit(1.0), (F.col("age") / 50).cast("double")).alias("vector"))
-    return G.als_step(v.train, users, "item_id", "user_id", 2, 0.5)
+    return G.als_step(v.train, users, "item_id", "user_id", 2, 0.5).withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))

@@ -14,7 +14,7 @@ from evenkeel.plans import ranking as R
 from evenkeel.sources.views import Views
 
 from .registry import query, r6
-from .views_sql import PREDICTIONS, RANKED, SCORED, sql
+from .views_sql import PREDICTIONS, RANKED, SCORED, negatives_sql, sql
 
 _HASH = "((user_id * 7919 + item_id * 104729) % 1000003)"
 
@@ -27,9 +27,10 @@ def split_80_20(v: Views):
 @query("P11_random_split_truncated", sql(f"+ p AS (SELECT user_id, item_id, row_number() OVER (ORDER BY floor({_HASH} * 64 / 1000003), {_HASH}, user_id, item_id) - 1 AS i, count(*) OVER () AS n FROM interactions) SELECT user_id, item_id, CASE WHEN i < floor(n * 0.1::DOUBLE) THEN 'val' WHEN i < 2 * floor(n * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM p"))
 def split_truncated(v: Views):
     rows = v.interactions
-    part = int(rows.count() * 0.1)
+    n = rows.count()  # the sizes of the parts are counts of rows
+    part = int(n * 0.1)
     i = F.col("position")
-    return P.positions(rows, ["user_id", "item_id"]).select("user_id", "item_id", F.when(i < part, "val").when(i < 2 * part, "test").otherwise("train").alias("part"))
+    return P.positions(rows, ["user_id", "item_id"], ranges=P.ranges_for(n)).select("user_id", "item_id", F.when(i < part, "val").when(i < 2 * part, "test").otherwise("train").alias("part"))
 
 
 @query("P15_train_without_held", sql("SELECT i.user_id, i.item_id FROM interactions i ANTI JOIN test t ON i.user_id = t.user_id AND i.item_id = t.item_id"))
@@ -37,7 +38,7 @@ def without_held(v: Views):
     return v.interactions.join(v.test, ["user_id", "item_id"], "left_anti").select("user_id", "item_id")
 
 
-@query("P23_evaluation_negatives")
+@query("P23_evaluation_negatives", sql(negatives_sql("test", "interactions", 5) + " SELECT user_id, item_id, negative_id FROM negatives"))
 def evaluation_negatives(v: Views):
     """Up to five items for each test row that the user has met in no part."""
     return N.negatives(v.test, v.interactions, v.interactions, 5)
@@ -129,12 +130,12 @@ def factor_loss(v: Views):
     return X.factor_loss(v.train, users, items, 2.5, 0.1).select(F.round("loss", 4).alias("loss"))
 
 
-@query("G9_topic_step", sql("""+ ev AS (SELECT user_id, item_id, 1.0::DOUBLE AS n FROM train WHERE user_id < 40), z AS (SELECT unnest([0, 1])::INT AS z),
+@query("G9_topic_step", sql("""+ ev AS (SELECT user_id, item_id, 1.0::DOUBLE AS n FROM train), z AS (SELECT unnest([0, 1])::INT AS z),
 ut AS (SELECT user_id, z, (1 + (user_id + z) % 2) / 3.0::DOUBLE AS p FROM (SELECT DISTINCT user_id FROM ev), z), it AS (SELECT item_id, z, (1 + (item_id + z) % 3) / 100.0::DOUBLE AS q FROM (SELECT DISTINCT item_id FROM ev), z),
 w AS (SELECT user_id, item_id, z, n * p * q / sum(p * q) OVER (PARTITION BY user_id, item_id) AS m FROM ev JOIN ut USING (user_id) JOIN it USING (item_id, z))
 SELECT user_id, z, round(sum(m) / sum(sum(m)) OVER (PARTITION BY user_id), 6) AS p FROM w GROUP BY user_id, z"""))
 def topic_step(v: Views):
-    events = v.train.where("user_id < 40").select("user_id", "item_id", F.lit(1.0).alias("n"))
+    events = v.train.select("user_id", "item_id", F.lit(1.0).alias("n"))
     z = F.explode(F.array(F.lit(0), F.lit(1))).alias("z")
     users = events.select("user_id").distinct().select("user_id", z).withColumn("p", (1 + (F.col("user_id") + F.col("z")) % 2) / 3.0)
     items = events.select("item_id").distinct().select("item_id", z).withColumn("q", (1 + (F.col("item_id") + F.col("z")) % 3) / 100.0)
@@ -160,15 +161,13 @@ def added_users(v: Views):
 
 @query("M35_protected_precision", sql("SELECT gender, round(avg(tp / k::DOUBLE), 6) AS precision, round(avg(CASE WHEN n_test > 0 THEN gain / (SELECT best FROM ideal WHERE m = least(n_test, 10)) ELSE 0 END), 6) AS ndcg FROM counts JOIN users USING (user_id) WHERE k = 10 GROUP BY 1", RANKED))
 def protected_precision(v: Views):
-    counts = R.user_counts(R.with_hits(R.ranked(v.predictions), v.test), v.users, v.train, v.test, 0, (10,))
+    counts = R.user_counts(R.with_hits(R.ranked(v.predictions, most=10), v.test), v.users, v.train, v.test, 0, (10,))
     rows = R.user_metrics(counts, ["precision", "ndcg"], (10,)).join(v.users, "user_id")
     return rows.groupBy("gender").agg(r6(F.avg(F.when(F.col("metric") == "precision", F.col("value"))), "precision"), r6(F.avg(F.when(F.col("metric") == "ndcg", F.col("value"))), "ndcg"))
 
 
-@query("S30_stored_matrix", sql("SELECT user_id, item_id, score FROM predictions WHERE user_id < 30", PREDICTIONS))
+@query("S30_stored_matrix", sql("SELECT user_id, item_id, score FROM predictions", PREDICTIONS))
 def stored_matrix(v: Views):
-    """A wide matrix of a few users, long again: missing cells stay missing."""
-    few = v.predictions.where("user_id < 30")
-    names = [str(r["item_id"]) for r in few.select("item_id").distinct().orderBy("item_id").limit(2000).collect()]
-    wide = few.groupBy("user_id").pivot("item_id", [int(n) for n in names]).agg(F.first("score"))
-    return wide.unpivot(["user_id"], names, "item_id", "score").where("score IS NOT NULL").select("user_id", F.col("item_id").cast("long").alias("item_id"), "score")
+    """The matrix of scores as rows (user, item, score), through its map form: missing cells stay missing."""
+    rows = v.predictions.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("item_id", "score"))).alias("cells"))
+    return rows.select("user_id", F.explode("cells").alias("item_id", "score"))

@@ -13,7 +13,7 @@ from evenkeel.sources import readers, sinks
 from evenkeel.sources.views import Views
 
 from .registry import query, r6
-from .views_sql import PREDICTIONS, SCORED, sql
+from .views_sql import PREDICTIONS, SCORED, negatives_sql, sql
 
 _HASH = "((user_id * 7919 + item_id * 104729) % 1000003)"
 
@@ -83,14 +83,15 @@ def zipped(v: Views):
     return v.table("embeddings").select("vec_id", F.posexplode(z).alias("i", "z")).select("vec_id", "i", F.col("z.x").cast("double").alias("x"), F.col("z.y").cast("double").alias("y"))
 
 
-@query("S23_block_reconstruction", """WITH t AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings WHERE vec_id < 20)
-SELECT u.vec_id AS user_id, i.vec_id AS item_id, round(0.5 * u.a * i.a + 0.25 * u.a * i.b + 0.125 * u.b * i.a + u.b * i.b + u.a + i.b + 1, 6) AS score FROM t u, t i""")
+@query("S23_block_reconstruction", sql("""+ t AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings)
+SELECT x.user_id, x.item_id, round(0.5 * u.a * i.a + 0.25 * u.a * i.b + 0.125 * u.b * i.a + u.b * i.b + u.a + i.b + 1, 6) AS score FROM test x JOIN t u ON u.vec_id = x.user_id JOIN t i ON i.vec_id = x.item_id"""))
 def block_reconstruction(v: Views):
-    """Scores from block memberships of users and items, a block matrix and row effects; 20 x 20 vectors."""
-    t = v.table("embeddings").where("vec_id < 20").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b"))
+    """Scores of the test pairs from block memberships of users and items, a block matrix and row effects."""
+    t = v.table("embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b"))
     u, i = t.alias("u"), t.alias("i")
     s = 0.5 * F.col("u.a") * F.col("i.a") + 0.25 * F.col("u.a") * F.col("i.b") + 0.125 * F.col("u.b") * F.col("i.a") + F.col("u.b") * F.col("i.b") + F.col("u.a") + F.col("i.b") + 1
-    return u.crossJoin(i).select(F.col("u.vec_id").alias("user_id"), F.col("i.vec_id").alias("item_id"), r6(s, "score"))
+    pairs = v.test.select("user_id", "item_id").join(u, F.col("user_id") == F.col("u.vec_id")).join(i, F.col("item_id") == F.col("i.vec_id"))
+    return pairs.select("user_id", "item_id", r6(s, "score"))
 
 
 @query("S25_X2_melt_wide", """SELECT p_partkey, 'size' AS name, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part""")
@@ -105,11 +106,11 @@ def positive(v: Views):
 
 
 @query("S31_completed_scores", sql("""+ m AS (SELECT user_id, avg(score) AS mean FROM predictions GROUP BY 1)
-SELECT u.user_id, i.item_id, round(coalesce(p.score, m.mean), 4) AS score FROM (SELECT user_id FROM users WHERE user_id < 20) u CROSS JOIN (SELECT item_id FROM items WHERE item_id < 50) i
-LEFT JOIN predictions p ON p.user_id = u.user_id AND p.item_id = i.item_id LEFT JOIN m ON m.user_id = u.user_id""", PREDICTIONS))
+SELECT u.user_id, count(*)::BIGINT AS n, round(sum(coalesce(p.score, m.mean)), 3) AS total FROM users u CROSS JOIN items i
+LEFT JOIN predictions p ON p.user_id = u.user_id AND p.item_id = i.item_id LEFT JOIN m ON m.user_id = u.user_id GROUP BY 1""", PREDICTIONS))
 def completed(v: Views):
-    out = X.complete(v.users.where("user_id < 20"), v.items.where("item_id < 50"), v.predictions)
-    return out.select("user_id", "item_id", F.round("score", 4).alias("score"))
+    """Sizes and sums of the completed rows: missing cells are the user's mean."""
+    return X.completed_sums(v.users, v.items, v.predictions).withColumn("total", F.round("total", 3))
 
 
 @query("S33_group_files", sql("SELECT user_id AS uid, item_id AS iid, score, 1 AS q FROM scored WHERE sensitive", SCORED))
@@ -221,9 +222,10 @@ def bins(v: Views):
     return v.predictions.select("user_id", "item_id", T.score_bin(F.col("score"), 1.0, 5.0, 0.5).alias("bin"), T.binarize(F.col("score"), 3.0).alias("positive"))
 
 
-@query("T20_complement_pairs", sql("SELECT u.user_id, i.item_id FROM (SELECT user_id FROM users WHERE user_id < 10) u CROSS JOIN items i ANTI JOIN interactions x ON x.user_id = u.user_id AND x.item_id = i.item_id"))
+@query("T20_complement_pairs", sql("SELECT user_id, count(*)::BIGINT AS n, sum(item_id)::BIGINT AS id_sum FROM (SELECT u.user_id, i.item_id FROM users u CROSS JOIN items i ANTI JOIN interactions x ON x.user_id = u.user_id AND x.item_id = i.item_id) GROUP BY 1"))
 def complement(v: Views):
-    return T.complement_pairs(v.users.where("user_id < 10"), v.items, v.interactions)
+    """How many items each user has not met, and the sum of their ids: the pairs themselves are users x items."""
+    return T.complement_sums(v.users, v.items, v.interactions)
 
 
 @query("T21_age_bins", sql("SELECT user_id, CASE WHEN age >= 56 THEN 56 WHEN age >= 50 THEN 50 WHEN age >= 45 THEN 45 WHEN age >= 35 THEN 35 WHEN age >= 25 THEN 25 WHEN age >= 18 THEN 18 WHEN age >= 1 THEN 1 END::INT AS age_bin FROM users"))
@@ -317,13 +319,13 @@ def observed(v: Views):
     return T.observed(v.train, "user_id", "item_id")
 
 
-@query("P20_triplets")
+@query("P20_triplets", sql(negatives_sql("train", "train", 1) + " SELECT user_id, item_id AS positive_id, negative_id FROM negatives"))
 def triplets(v: Views):
     """Rows (user, positive, negative); the invariants are a query of their own."""
     return N.triplets(v.train, v.interactions, 1)
 
 
-@query("P21_binary_samples")
+@query("P21_binary_samples", sql(negatives_sql("train", "train", 1) + " SELECT user_id, item_id, 1 AS label FROM train UNION ALL SELECT user_id, negative_id, 0 FROM negatives"))
 def binary(v: Views):
     return N.binary_samples(v.train, v.interactions, 1)
 
@@ -421,12 +423,11 @@ def zipped_rows(v: Views):
     return by_place.union(v.table("region").crossJoin(v.table("nation")).select("r_name", "n_name"))
 
 
-@query("J8_item_pairs", sql("SELECT a.item_id AS i1, b.item_id AS i2, count(*)::BIGINT AS n FROM interactions a JOIN interactions b ON a.user_id = b.user_id AND a.item_id < b.item_id WHERE a.item_id < 100 AND b.item_id < 100 GROUP BY 1, 2"))
+@query("J8_item_pairs", sql("SELECT a.item_id AS i1, b.item_id AS i2, count(*)::BIGINT AS n FROM interactions a JOIN interactions b ON a.user_id = b.user_id AND a.item_id < b.item_id GROUP BY 1, 2 HAVING count(*) > 1"))
 def item_pairs(v: Views):
-    """Pairs of head items by the users they share; the pairs begin with a stated range of items."""
-    few = v.interactions.where("item_id < 100").select("user_id", "item_id")
-    b = few.withColumnRenamed("item_id", "i2")
-    return few.withColumnRenamed("item_id", "i1").join(b, "user_id").where("i1 < i2").groupBy("i1", "i2").agg(F.count("*").alias("n"))
+    """Pairs of items that two users or more share, with how many do."""
+    pairs = T.profile_pairs(v.interactions.select("user_id", "item_id"), "user_id", "item_id")
+    return pairs.groupBy("i1", "i2").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("J10_outer_filled", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.n::VARCHAR, '-') AS suppliers, coalesce(b.n::VARCHAR, '-') AS customers FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) a FULL JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) b ON a.k = b.k")

@@ -18,9 +18,13 @@ def _hits(v: Views):
     return R.with_hits(R.ranked(v.predictions), v.test)
 
 
+def _top(v: Views):
+    """The ranks that the largest cutoff reads."""
+    return R.with_hits(R.ranked(v.predictions, most=max(K)), v.test)
+
+
 def _counts(v: Views):
-    n = v.parts.agg(F.countDistinct("item_id").alias("n")).first()["n"]
-    return R.user_counts(_hits(v), v.users, v.train, v.test, n, K)
+    return R.user_counts(_top(v), v.users, v.train, v.test, v.n_items, K)
 
 
 #: Metric -> SQL over counts and ideal gains.
@@ -94,17 +98,17 @@ _POP = "+ pop AS (SELECT item_id, count(*) AS n FROM train GROUP BY 1), top AS (
 
 @query("M16_mean_popularity", sql(f"{_POP} SELECT user_id, round(avg(n), 6) AS value FROM top GROUP BY 1", RANKED))
 def mean_popularity(v: Views):
-    return R.mean_popularity(R.ranked(v.predictions), v.train, 10).select("user_id", r6("value"))
+    return R.mean_popularity(R.ranked(v.predictions, most=10), v.train, 10).select("user_id", r6("value"))
 
 
 @query("M17_novelty", sql(f"{_POP} SELECT user_id, round(sum(1 - n::DOUBLE / (SELECT count(*) FROM users)) / 10, 6) AS value FROM top GROUP BY 1", RANKED))
 def novelty(v: Views):
-    return R.novelty(R.ranked(v.predictions), v.train, v.users.count(), 10).select("user_id", r6("value"))
+    return R.novelty(R.ranked(v.predictions, most=10), v.train, v.users, 10).select("user_id", r6("value"))
 
 
 @query("M18_item_coverage", sql("SELECT round(count(DISTINCT item_id)::DOUBLE / (SELECT n_items FROM n_items), 2) AS item_coverage FROM ranked WHERE rank <= 10", RANKED))
 def item_coverage(v: Views):
-    return R.item_coverage(R.ranked(v.predictions), v.parts.agg(F.countDistinct("item_id")).first()[0], 10)
+    return R.item_coverage(R.ranked(v.predictions, most=10), v.n_items, 10)
 
 
 @query("M19_user_coverage", sql("SELECT count(*) FILTER (gain > 0)::BIGINT AS user_coverage FROM counts WHERE k = 10", RANKED))
@@ -114,7 +118,7 @@ def user_coverage(v: Views):
 
 @query("M20_item_hits", sql("SELECT item_id, count(*)::BIGINT AS hits FROM ranked WHERE rank <= 10 AND hit = 1 GROUP BY 1", RANKED))
 def item_hits(v: Views):
-    return R.item_hits(_hits(v), 10)
+    return R.item_hits(_top(v), 10)
 
 
 @query("M23_confusion", sql("SELECT round(avg(tp), 4) AS tp, round(avg(k - tp), 4) AS fp, round(avg(n_test - tp), 4) AS fn, round(avg(n_items - n_train - n_test - (k - tp)), 4) AS tn FROM counts WHERE k = 10", RANKED))

@@ -99,6 +99,30 @@ def complement_pairs(users: DataFrame, items: DataFrame, known: DataFrame) -> Da
     return users.select("user_id").crossJoin(items.select("item_id")).join(known.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
+def complement_sums(users: DataFrame, items: DataFrame, known: DataFrame) -> DataFrame:
+    """Of ``complement_pairs`` each user's number ``n`` of items and the sum ``id_sum`` of their ids, without the product; users who know all are left out."""
+    met = known.join(items.select("item_id"), "item_id", "left_semi").select("user_id", "item_id").distinct().groupBy("user_id").agg(F.count("*").alias("_n"), F.sum("item_id").alias("_ids"))
+    every = items.agg(F.count("*").alias("_items"), F.sum("item_id").alias("_sum"))
+    rows = users.select("user_id").join(met, "user_id", "left").join(F.broadcast(every), F.lit(True))
+    out = rows.select("user_id", (F.col("_items") - F.coalesce("_n", F.lit(0))).alias("n"), (F.col("_sum") - F.coalesce("_ids", F.lit(0))).alias("id_sum"))
+    return out.where("n > 0")
+
+
+def profile_pairs(rows: DataFrame, user: str, item: str, weight: str | None = None, block: int = 1000) -> DataFrame:
+    """All pairs (i1 < i2) of items in a user's profile, with ``w1`` and ``w2`` if there is a weight.
+
+    Profiles of more than ``block`` rows are cut into blocks, and each pair of blocks is a join key of
+    its own: no task has more than block * block pairs of a user to make.
+    """
+    sizes = rows.groupBy(user).agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("_blocks"))
+    cut = rows.join(sizes, user).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    weights = [[F.col(weight).alias(f"w{k}")] if weight else [] for k in (1, 2)]
+    left = cut.select(user, F.col(item).alias("i1"), *weights[0], F.col("_own").alias("_a"), other.alias("_b"))
+    right = cut.select(user, F.col(item).alias("i2"), *weights[1], other.alias("_a"), F.col("_own").alias("_b"))
+    return left.join(right, [user, "_a", "_b"]).where("i1 < i2").drop("_a", "_b")
+
+
 def short_head(counts: DataFrame, share: float) -> DataFrame:
     """Adds ``short_head``: whether an item is among the most popular ``share`` of all, by rank."""
     ranked = numbered(counts, [F.desc("n"), F.col("item_id")], "rank", start=1)

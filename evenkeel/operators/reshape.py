@@ -28,6 +28,16 @@ def complete(users: DataFrame, items: DataFrame, scores: DataFrame) -> DataFrame
     return grid.join(scores, ["user_id", "item_id"], "left").join(means, "user_id", "left").withColumn("score", F.coalesce("score", "_mean")).drop("_mean")
 
 
+def completed_sums(users: DataFrame, items: DataFrame, scores: DataFrame) -> DataFrame:
+    """Of ``complete`` each user's number of cells ``n`` and their sum ``total``, without the product; users without scores have no total."""
+    known = scores.join(items.select("item_id"), "item_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("_known"), F.sum("score").alias("_sum"))
+    means = scores.groupBy("user_id").agg(F.avg("score").alias("_mean"))
+    size = items.agg(F.count("*").alias("n"))
+    rows = users.select("user_id").join(known, "user_id", "left").join(means, "user_id", "left").join(F.broadcast(size), F.lit(True))
+    filled = (F.col("n") - F.coalesce("_known", F.lit(0))) * F.col("_mean")
+    return rows.select("user_id", "n", (F.coalesce("_sum", F.lit(0.0)) + filled).alias("total"))
+
+
 def union_parts(parts: dict[str, DataFrame], tag: str) -> DataFrame:
     """All rows of several tables with a tag; columns that one lacks are null."""
     out = None

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .numbering import numbered
 
+MODULUS = 2147483647
+
+
+def drawn(draw, seed: int) -> Column:
+    """A number that looks random, from user, item and draw: a step of a multiplicative congruential generator."""
+    mixed = (F.col("user_id") * 7919 + F.col("item_id") * 104729 + draw * 1299709 + F.lit(seed).cast("long")) % MODULUS
+    return F.pmod(mixed * 48271 % MODULUS, F.lit(MODULUS))
+
 
 def item_numbers(items: DataFrame) -> DataFrame:
     """Items numbered from 0, for choice by number."""
     return numbered(items.select("item_id").distinct(), ["item_id"], "number")
 
 
-def negatives(positives: DataFrame, items: DataFrame, known: DataFrame, per_positive: int, tries: int = 4, seed: int = 0) -> DataFrame:
+def negatives(positives: DataFrame, items: DataFrame, known: DataFrame, per_positive: int, tries: int = 2, seed: int = 0) -> DataFrame:
     """Items that a user has not met: (user_id, item_id, negative_id).
 
     Each positive gets ``per_positive`` different ones, or all that the user has not met if these are
@@ -25,7 +33,7 @@ def negatives(positives: DataFrame, items: DataFrame, known: DataFrame, per_posi
     numbered = item_numbers(items)
     total = numbered.agg(F.count("*").alias("n_items"))
     draws = positives.select("user_id", "item_id").join(F.broadcast(total), F.lit(True)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(tries * per_positive))))
-    draws = draws.withColumn("number", F.pmod(F.xxhash64("user_id", "item_id", "draw", F.lit(seed)), F.col("n_items")))
+    draws = draws.withColumn("number", drawn(F.col("draw"), seed) % F.col("n_items"))
     found = draws.join(numbered.withColumnRenamed("item_id", "negative_id"), "number").select("user_id", "item_id", "negative_id", "draw")
     fresh = found.join(known.select("user_id", F.col("item_id").alias("negative_id")), ["user_id", "negative_id"], "left_anti")
     once = fresh.groupBy("user_id", "item_id", "negative_id").agg(F.min("draw").alias("draw"))
@@ -50,7 +58,7 @@ def _by_rank(short: DataFrame, numbered: DataFrame, total: DataFrame, known: Dat
     free = F.col("n_items") - F.coalesce("n_known", F.lit(0))
     ranks = short.join(sizes, "user_id", "left").join(F.broadcast(total), F.lit(True)).withColumn("free", free).where("free > 0")
     ranks = ranks.withColumn("draw", F.explode(F.sequence(F.lit(1), F.least(F.col("free"), F.lit(per_positive)).cast("int"))))
-    at = F.pmod(F.pmod(F.xxhash64("user_id", "item_id", F.lit(seed)), F.col("free")) + F.col("draw"), F.col("free"))
+    at = F.pmod((drawn(F.lit(0), seed) % F.col("free")) + F.col("draw"), F.col("free"))
     ranks = ranks.select("user_id", at.alias("at"), F.lit(0).alias("met"), "item_id", "draw")
     j = F.row_number().over(Window.partitionBy("user_id").orderBy("number")) - 1
     gaps = met.select("user_id", (F.col("number") - j).alias("at"), F.lit(1).alias("met"), F.lit(None).alias("item_id"), F.lit(None).alias("draw"))

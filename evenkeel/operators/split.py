@@ -46,7 +46,7 @@ def random_split(rows: DataFrame, keys: list[str], shares: dict[str, float], tot
 
     Positions within hash ranges come from counts of the ranges before, so no task sorts all rows.
     """
-    placed = positions(rows, keys, seed)
+    placed = positions(rows, keys, seed, ranges_for(total))
     sizes, out, start = part_sizes(total, list(shares.values())), F.lit(None).cast("string"), 0
     for name, size in zip(shares, sizes):
         out = F.when((F.col("position") >= start) & (F.col("position") < start + size), name).otherwise(out)
@@ -54,6 +54,11 @@ def random_split(rows: DataFrame, keys: list[str], shares: dict[str, float], tot
     return placed.withColumn(PART, out).drop("position")
 
 
+def ranges_for(total: int, rows: int = 100_000) -> int:
+    """Hash ranges of about so many rows; the hash has a million values."""
+    return min(1000003, max(64, total // rows))
+
+
 def positions(rows: DataFrame, keys: list[str], seed: int = 0, ranges: int = 64) -> DataFrame:
     """Adds ``position`` (from 0) in hash order: rank within a hash range plus the ranges before it."""
     order = hash_order(*keys, seed=seed)
@@ -69,7 +74,7 @@ def k_fold(rows: DataFrame, keys: list[str], folds: int, total: int, seed: int =
     """Adds ``fold`` by position in hash order; trailing rows beyond ``folds * floor(n / folds)`` get null: they are tested in no fold."""
     size = total // folds
     fold = F.floor(F.col("position") / size).cast("int")
-    return positions(rows, keys, seed).withColumn("fold", F.when(F.col("position") < size * folds, fold)).drop("position")
+    return positions(rows, keys, seed, ranges_for(total)).withColumn("fold", F.when(F.col("position") < size * folds, fold)).drop("position")
 
 
 def k_fold_within_groups(rows: DataFrame, group: str, order: list[str], folds: int) -> DataFrame:

@@ -6,10 +6,14 @@ needed, rating. Each function returns one row unless it says otherwise.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evenkeel.operators.numbering import kept, numbered
+
 
 def _g1(x: Column) -> Column:
     return F.when(F.col("sensitive"), x)
@@ -215,20 +219,29 @@ def equalise_scores(scored: DataFrame) -> DataFrame:
 def fair_rerank(candidates: DataFrame, k: int, epsilon: float, metric: str = "label") -> DataFrame:
     """Chooses k candidates of each user so that the groups' mean metric differs by at most ``epsilon``, if swaps allow.
 
-    A heuristic for the integer program: from the top k by score, the better group gives up its
-    hits at the lowest loss of score first, hit for non-hit, one swap a user. Swaps are ranked by loss in both
-    numbers of users, so the number to take comes from one aggregation.
+    A heuristic for the integer program: from the top k by score, the better group gives up its hits
+    at the lowest loss of score first, hit for non-hit. A round swaps one pair a user at most; rounds
+    go on until the difference is small enough or no swap is left, at most ``k`` times.
     """
     w = Window.partitionBy("user_id")
-    top = candidates.withColumn("_r", F.row_number().over(w.orderBy(F.desc("score"), "item_id")))
-    top = top.withColumn("chosen", F.col("_r") <= k)
-    rate = F.sum(F.when(F.col("chosen"), F.col(metric)).otherwise(0))
-    users = top.groupBy("user_id", "sensitive").agg(rate.alias("value"), F.min_by(F.struct("item_id", "score"), F.when(F.col("chosen") & (F.col(metric) > 0), F.struct("score", "item_id"))).alias("out"), F.max_by(F.struct("item_id", "score"), F.when(~F.col("chosen") & (F.col(metric) <= 0), F.struct("score", "item_id"))).alias("in"))
-    means = users.agg(F.avg(_g1(F.col("value"))).alias("m1"), F.avg(_g2(F.col("value"))).alias("m2"), F.count(_g1(F.lit(1))).alias("n1"), F.count(_g2(F.lit(1))).alias("n2"))
-    better = users.join(F.broadcast(means), F.lit(True)).where((F.col("sensitive") == (F.col("m1") > F.col("m2"))) & F.col("out").isNotNull() & F.col("in").isNotNull())
-    need = F.ceil(F.greatest(F.abs(F.col("m1") - F.col("m2")) - F.lit(epsilon), F.lit(0.0)) * F.when(F.col("m1") > F.col("m2"), F.col("n1")).otherwise(F.col("n2")))
-    order = Window.orderBy(F.col("out.score") - F.col("in.score"), "user_id")
-    swaps = better.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= need).select("user_id", F.col("out.item_id").alias("_out"), F.col("in.item_id").alias("_in"))
-    joined = top.join(swaps, "user_id", "left")
-    chosen = (F.col("chosen") & ~F.coalesce(F.col("item_id") == F.col("_out"), F.lit(False))) | F.coalesce(F.col("item_id") == F.col("_in"), F.lit(False))
-    return joined.where(chosen).select("user_id", "item_id", "score", "sensitive", metric)
+    state = candidates.withColumn("chosen", F.row_number().over(w.orderBy(F.desc("score"), "item_id")) <= k)
+    for _ in range(k):
+        state = kept(state)
+        rate = F.sum(F.when(F.col("chosen"), F.col(metric)).otherwise(0))
+        out = F.min_by(F.struct("item_id", "score"), F.when(F.col("chosen") & (F.col(metric) > 0), F.struct("score", "item_id")))
+        into = F.max_by(F.struct("item_id", "score"), F.when(~F.col("chosen") & (F.col(metric) <= 0), F.struct("score", "item_id")))
+        users = state.groupBy("user_id", "sensitive").agg(rate.alias("value"), out.alias("out"), into.alias("in"))
+        m = users.agg(F.avg(_g1(F.col("value"))).alias("m1"), F.avg(_g2(F.col("value"))).alias("m2"), F.count(_g1(F.lit(1))).alias("n1"), F.count(_g2(F.lit(1))).alias("n2")).first()
+        if m["m1"] is None or m["m2"] is None or abs(m["m1"] - m["m2"]) <= epsilon:
+            break
+        first = m["m1"] > m["m2"]
+        need = math.ceil((abs(m["m1"] - m["m2"]) - epsilon) * (m["n1"] if first else m["n2"]) - 1e-9)
+        better = users.where((F.col("sensitive") == first) & F.col("out").isNotNull() & F.col("in").isNotNull())
+        order = better.select("user_id", (F.col("out.score") - F.col("in.score")).alias("loss"), F.col("out.item_id").alias("_out"), F.col("in.item_id").alias("_in"))
+        swaps = numbered(order, ["loss", "user_id"], "_turn").where(F.col("_turn") < need).select("user_id", "_out", "_in")
+        if swaps.isEmpty():
+            break
+        joined = state.join(swaps, "user_id", "left")
+        chosen = (F.col("chosen") & ~F.coalesce(F.col("item_id") == F.col("_out"), F.lit(False))) | F.coalesce(F.col("item_id") == F.col("_in"), F.lit(False))
+        state = joined.withColumn("chosen", chosen).drop("_out", "_in")
+    return state.where("chosen").select("user_id", "item_id", "score", "sensitive", metric)

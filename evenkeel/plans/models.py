@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from evenkeel.functions.scalars import dot, safe_sigmoid  # noqa: F401
 from evenkeel.operators.numbering import numbered
+from evenkeel.operators.prepare import profile_pairs
 
 
 def biases(train: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -46,13 +47,13 @@ def stratified_scores(pairs: DataFrame, users: DataFrame, shares: DataFrame, *st
 def item_neighbours(train: DataFrame, k: int) -> DataFrame:
     """The ``k`` items most similar by cosine of their rating vectors: (item_id, other_id, similarity, rank).
 
-    Pairs come from a self-join on users with a partial sum for each pair.
+    Each pair of a user's items is made once and summed; the sums are mirrored.
     """
     norms = train.groupBy("item_id").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("norm"))
     unit = train.join(norms, "item_id").select("user_id", "item_id", (F.col("rating") / F.col("norm")).alias("w"))
-    a, b = unit.alias("a"), unit.alias("b")
-    pairs = a.join(b, F.col("a.user_id") == F.col("b.user_id")).where(F.col("a.item_id") != F.col("b.item_id"))
-    similar = pairs.groupBy(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other_id")).agg(F.round(F.sum(F.col("a.w") * F.col("b.w")), 6).alias("similarity"))
+    sums = profile_pairs(unit, "user_id", "item_id", "w").groupBy("i1", "i2").agg(F.round(F.sum(F.col("w1") * F.col("w2")), 6).alias("similarity"))
+    both = F.explode(F.array(F.struct(F.col("i1").alias("item_id"), F.col("i2").alias("other_id")), F.struct(F.col("i2").alias("item_id"), F.col("i1").alias("other_id"))))
+    similar = sums.select(both.alias("p"), "similarity").select("p.item_id", "p.other_id", "similarity")
     order = Window.partitionBy("item_id").orderBy(F.desc("similarity"), "other_id")
     return similar.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -81,16 +82,26 @@ def graph_convolution(edges: DataFrame, vectors: DataFrame, to: str, of: str, we
     """
     rows = edges.join(vectors, of).select(to, weight.alias("w"), F.posexplode("vector").alias("pos", "x"))
     sums = rows.groupBy(to, "pos").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-    return sums.groupBy(to).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: F.round(s["x"], 6)).alias("vector"))
+    return sums.groupBy(to).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vector"))
 
 
-def dot_product_top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def dot_product_top_k(queries: DataFrame, items: DataFrame, k: int, query_blocks: int = 4, item_blocks: int | None = None) -> DataFrame:
     """Exact top k items of each query by dot product: (query_id, item_id, score, rank).
 
-    The queries are a stated set against all items; partial top-k keeps what is shuffled small.
+    The queries are a stated set against all items, in blocks: each pair of a block of queries and one
+    of items is a join key. A block gives its own top k of a query, from which the top k of all come.
     """
-    scored = items.crossJoin(F.broadcast(queries)).select("query_id", "item_id", F.round(dot("q", "v"), 5).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))).where(F.col("rank") <= k)
+    item_blocks = item_blocks or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    left = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("_a"), every(item_blocks).alias("_b"))
+    right = items.select("item_id", "v", every(query_blocks).alias("_a"), F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).alias("_b"))
+    scored = left.join(right, ["_a", "_b"]).select("query_id", "item_id", "_b", F.round(dot("q", "v"), 5).alias("score"))
+    order = [F.desc("score"), F.col("item_id")]
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "_b").orderBy(*order))).where(F.col("rank") <= k).drop("_b")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
 def als_step(ratings: DataFrame, fixed: DataFrame, solve_for: str, given: str, rank: int, ridge: float) -> DataFrame:

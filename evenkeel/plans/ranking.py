@@ -16,12 +16,16 @@ from pyspark.sql.window import Window
 CUTOFFS = (1, 5, 10, 50, 100)
 
 
-def ranked(predictions: DataFrame, train: DataFrame | None = None) -> DataFrame:
-    """Adds ``rank`` by score, ties by item; NaN scores count as missing, and train items are left out."""
+def ranked(predictions: DataFrame, train: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Adds ``rank`` by score, ties by item; NaN scores count as missing, and train items are left out.
+
+    With ``most`` only so many ranks come back, which limits what each task hands on.
+    """
     rows = predictions.where(F.col("score").isNotNull() & ~F.isnan("score"))
     if train is not None:
         rows = rows.join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")))
+    return rows if most is None else rows.where(F.col("rank") <= most)
 
 
 def with_hits(top: DataFrame, test: DataFrame) -> DataFrame:
@@ -30,11 +34,11 @@ def with_hits(top: DataFrame, test: DataFrame) -> DataFrame:
     return top.join(wanted, ["user_id", "item_id"], "left").fillna({"hit": 0})
 
 
-def user_counts(hits: DataFrame, users: DataFrame, train: DataFrame, test: DataFrame, n_items: Column | int, cutoffs: tuple[int, ...] = (10,)) -> DataFrame:
+def user_counts(hits: DataFrame, users: DataFrame, train: DataFrame, test: DataFrame, n_items: DataFrame | int, cutoffs: tuple[int, ...] = (10,)) -> DataFrame:
     """One row for each user and cutoff ``k`` with what the metrics need.
 
     ``tp`` hits in the top k; ``gain`` and ``reciprocal`` the sums of 1/log2(rank + 1) and 1/rank over
-    the hits; ``n_train`` and ``n_test``. Users of ``users`` without predictions have zeros.
+    the hits; ``n_train`` and ``n_test``. ``n_items`` is a number or a table of one row. Users of ``users`` without predictions have zeros.
     """
     per = []
     for k in cutoffs:
@@ -45,7 +49,9 @@ def user_counts(hits: DataFrame, users: DataFrame, train: DataFrame, test: DataF
     base = base.join(train.groupBy("user_id").agg(F.count("*").alias("n_train")), "user_id", "left").join(test.groupBy("user_id").agg(F.count("*").alias("n_test")), "user_id", "left")
     zero = [F.coalesce(F.col(f"at_{k}"), F.struct(F.lit(k).alias("k"), F.lit(0).cast("long").alias("tp"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("reciprocal"), F.lit(0).cast("long").alias("n_top"))) for k in cutoffs]
     wide = base.select("user_id", F.coalesce("n_train", F.lit(0)).alias("n_train"), F.coalesce("n_test", F.lit(0)).alias("n_test"), F.inline(F.array(*zero)))
-    return wide.withColumn("n_items", n_items if isinstance(n_items, Column) else F.lit(n_items).cast("long"))
+    if isinstance(n_items, DataFrame):
+        return wide.join(F.broadcast(n_items.toDF("n_items")), F.lit(True))
+    return wide.withColumn("n_items", F.lit(n_items).cast("long"))
 
 
 def _ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -133,16 +139,17 @@ def mean_popularity(top: DataFrame, train: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("user_id").agg(F.avg("n").alias("value"))
 
 
-def novelty(top: DataFrame, train: DataFrame, n_users: Column | int, k: int) -> DataFrame:
+def novelty(top: DataFrame, train: DataFrame, users: DataFrame, k: int) -> DataFrame:
     """Per user the sum over the top k of 1 - n/users, divided by k."""
-    users = n_users if isinstance(n_users, Column) else F.lit(n_users)
-    rows = top.where(F.col("rank") <= k).join(popularity(train), "item_id", "left").fillna({"n": 0}).withColumn("share", 1 - F.col("n") / users)
+    total = users.agg(F.count("*").alias("users"))
+    rows = top.where(F.col("rank") <= k).join(popularity(train), "item_id", "left").fillna({"n": 0}).join(F.broadcast(total), F.lit(True)).withColumn("share", 1 - F.col("n") / F.col("users"))
     return rows.groupBy("user_id").agg((F.sum("share") / k).alias("value"))
 
 
-def item_coverage(top: DataFrame, n_items: int, k: int) -> DataFrame:
+def item_coverage(top: DataFrame, n_items: DataFrame, k: int) -> DataFrame:
     """Share of the items that are in any user's top k, rounded to 2 places."""
-    return top.where(F.col("rank") <= k).agg(F.round(F.countDistinct("item_id") / F.lit(n_items), 2).alias("item_coverage"))
+    found = top.where(F.col("rank") <= k).agg(F.countDistinct("item_id").alias("found"))
+    return found.join(F.broadcast(n_items), F.lit(True)).select(F.round(F.col("found") / F.col("n_items"), 2).alias("item_coverage"))
 
 
 def item_hits(hits: DataFrame, k: int) -> DataFrame:

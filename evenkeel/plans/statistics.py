@@ -1,7 +1,7 @@
 """Two-sample and categorical statistics as DataFrame plans.
 
-Values are reduced to their distinct values with counts before windows run over them. P-values are
-scalar functions of one-row results.
+Values are reduced to their distinct values with counts, and running sums over these are made in
+ranges. P-values are scalar functions of one-row results.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evenkeel.operators.numbering import running
+
 
 def value_counts(rows: DataFrame, value: str, group: str) -> DataFrame:
     """Distinct values ``x`` with the counts ``c1`` (group true) and ``c2`` (group false)."""
@@ -19,10 +21,9 @@ def value_counts(rows: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def _cumulative(counts: DataFrame) -> DataFrame:
-    w = Window.orderBy("x")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    return counts.withColumns({"f1": F.try_divide(F.sum("c1").over(upto), F.sum("c1").over(everything)), "f2": F.try_divide(F.sum("c2").over(upto), F.sum("c2").over(everything)), "next": F.lead("x").over(w)})
+    sizes = counts.agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))
+    upto = running(counts, "x", {"u1": "c1", "u2": "c2"}).join(F.broadcast(sizes), F.lit(True))
+    return upto.select("x", "c1", "c2", F.try_divide("u1", "n1").alias("f1"), F.try_divide("u2", "n2").alias("f2"), "next")
 
 
 def ks_statistic(rows: DataFrame, value: str, group: str) -> DataFrame:
@@ -43,8 +44,7 @@ def cdf_area(rows: DataFrame, value: str, group: str) -> DataFrame:
 def mann_whitney(rows: DataFrame, value: str, group: str) -> DataFrame:
     """U statistics from midranks, the smaller one, and the tie-corrected z with continuity correction."""
     counts = value_counts(rows, value, group).withColumn("c", F.col("c1") + F.col("c2"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("midrank", before + (F.col("c") + 1) / 2)
+    ranks = running(counts, "x", {"upto": "c"}).withColumn("midrank", F.col("upto") - F.col("c") + (F.col("c") + 1) / 2)
     sums = ranks.agg(F.sum(F.col("midrank") * F.col("c1")).alias("r1"), F.sum("c1").alias("n1"), F.sum("c2").alias("n2"), F.sum((F.pow("c", F.lit(3.0)) - F.col("c"))).alias("ties"))
     n = F.col("n1") + F.col("n2")
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
@@ -58,8 +58,7 @@ def kruskal_wallis(rows: DataFrame, value: str, group: str) -> DataFrame:
     """H statistic with the correction for ties, and its degrees of freedom."""
     cells = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x"), F.col(group).alias("g")).agg(F.count("*").alias("c"))
     values = cells.groupBy("x").agg(F.sum("c").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.withColumn("midrank", before + (F.col("t") + 1) / 2)
+    ranks = running(values, "x", {"upto": "t"}).withColumn("midrank", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2)
     ties = ranks.agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"), F.sum("t").alias("n"))
     groups = cells.join(ranks, "x").groupBy("g").agg(F.sum(F.col("c") * F.col("midrank")).alias("r"), F.sum("c").alias("ng"))
     h = groups.agg(F.sum(F.col("r") * F.col("r") / F.col("ng")).alias("s"), F.count("*").alias("k")).join(ties, F.lit(True))
@@ -113,8 +112,7 @@ def gini(rows: DataFrame, value: str, weight: str | None = None) -> DataFrame:
     """Gini coefficient, by weights if given; equal values are one step of the curve."""
     w = F.col(weight) if weight else F.lit(1.0)
     steps = rows.groupBy(F.col(value).alias("x")).agg(F.sum(w).alias("w")).withColumn("xw", F.col("x") * F.col("w"))
-    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    c = steps.withColumns({"cw": F.sum("w").over(upto), "cxw": F.sum("xw").over(upto)})
+    c = running(steps, "x", {"cw": "w", "cxw": "xw"})
     # Twice the area between the curve and the diagonal, by trapezia.
     area = F.sum((2 * F.col("cxw") - F.col("xw")) * F.col("w"))
     return c.agg((1 - area / (F.max("cw") * F.max("cxw"))).alias("gini"))

@@ -11,21 +11,16 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators.split import per_user_timestamp_split
 
-#: Candidate items of a user: those whose id falls in the user's one of so many residue classes.
-CANDIDATE_CLASSES = 100
+#: Candidate items of a user: one in so many, by a modular hash of both ids.
+CANDIDATE_SHARE = 20
+PRIME = 1000003
 
 
 class Views:
-    """The views of one folder of tables. Each property is a lazy DataFrame.
-
-    The split is what most views begin with, several times over in one plan: it is kept in the
-    executors (memory, then disk; computed again if lost) when first used, and other queries of the
-    session find it there. ``release`` gives it up.
-    """
+    """The views of one folder of tables. Each property is a lazy DataFrame; nothing is cached."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self._parts: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -49,14 +44,12 @@ class Views:
     @property
     def parts(self) -> DataFrame:
         """Interactions with ``part`` (train, val or test), 70/10/20 by time within each user."""
-        if self._parts is None:
-            self._parts = per_user_timestamp_split(self.interactions, "user_id", ["ts", "item_id"], val=0.1, test=0.2).persist()
-        return self._parts
+        return per_user_timestamp_split(self.interactions, "user_id", ["ts", "item_id"], val=0.1, test=0.2)
 
-    def release(self) -> None:
-        if self._parts is not None:
-            self._parts.unpersist()
-            self._parts = None
+    @property
+    def n_items(self) -> DataFrame:
+        """One row: ``n_items``, the different items of all interactions."""
+        return self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).agg(F.countDistinct("l_partkey").alias("n_items"))
 
     def part(self, name: str) -> DataFrame:
         return self.parts.where(F.col("part") == name).drop("part")
@@ -76,17 +69,30 @@ class Views:
 
         parts = self.parts
         train = parts.where("part = 'train'")
-        users = parts.select("user_id").distinct()
-        items = parts.select("item_id").distinct()
-        # Candidates are an equi-join on the residue class, not a product of users and items. Test
-        # items of another class are added: the two sets are disjoint and need no distinct.
-        own = F.col("user_id") * 7919 % CANDIDATE_CLASSES
-        mine = users.withColumn("class", own).join(items.withColumn("class", F.col("item_id") % CANDIDATE_CLASSES), "class").select("user_id", "item_id")
+        mine = self.candidates(parts.select("user_id").distinct(), parts.select("item_id").distinct())
         fresh = mine.join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-        others = parts.where((F.col("part") == "test") & (own != F.col("item_id") % CANDIDATE_CLASSES)).select("user_id", "item_id")
-        wanted = fresh.union(others)
+        # Test items that are no candidates are added: the two sets are disjoint and need no distinct.
+        both = (F.col("user_id") * 7919 + F.col("item_id") * 104729) % PRIME % CANDIDATE_SHARE
+        wanted = fresh.union(parts.where((F.col("part") == "test") & (both != 0)).select("user_id", "item_id"))
         return bias_scores(train, wanted)
 
+    def candidates(self, users: DataFrame, items: DataFrame) -> DataFrame:
+        """The pairs with (user_id * 7919 + item_id * 104729) % 1000003 % 20 = 0, without a product.
+
+        With both terms taken modulo the prime, their sum is below it or exceeds it once. In either
+        case the item's residue modulo 20 follows from the user's term, so there are two equi-joins
+        with a condition on the sum, of a row for each user and case. Users are dealt to parts, to
+        each of which the items come, so that there are more keys than 20.
+        """
+        deal = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // CANDIDATE_SHARE)
+        h, g = F.col("user_id") * 7919 % PRIME, F.col("item_id") * 104729 % PRIME
+        part = F.pmod(F.xxhash64("user_id"), F.lit(deal)).alias("part")
+        cases = F.explode(F.array(*[F.struct(F.lit(over).alias("over"), F.pmod(F.lit(over * PRIME) - h, F.lit(CANDIDATE_SHARE)).alias("class")) for over in (0, 1)]))
+        left = users.select("user_id", h.alias("h"), part, cases.alias("c")).select("user_id", "h", "part", "c.*")
+        right = items.select("item_id", g.alias("g"), (g % CANDIDATE_SHARE).alias("class"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))).alias("part"))
+        fits = F.when(F.col("over") == 1, F.col("h") + F.col("g") >= PRIME).otherwise(F.col("h") + F.col("g") < PRIME)
+        return left.join(right, ["class", "part"]).where(fits).select("user_id", "item_id")
+
     @property
     def events(self) -> DataFrame:
         return self.table("events")
