@@ -1,6 +1,6 @@
 """The registered queries: each a Spark function with the SQL that gives the same rows."""
 
-from . import description, experiments, fairness, preparation, ranking  # noqa: F401
+from . import description, experiments, fairness, files, preparation, ranking  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,6 +42,42 @@ def balanced_sizes(size_a: int, size_b: int, ratio_a: float, ratio_b: float) ->
     return int(unit * ratio_a), int(unit * ratio_b)
 
 
+def balance_groups_by_ratio(rows: DataFrame, users: DataFrame, user: str, group: str, ratio: dict[object, float], seed: int = 0) -> DataFrame:
+    """Rows of as many users of each of two groups as the ratio allows, chosen by a hash."""
+    (a, ra), (b, rb) = ratio.items()
+    n = {r[group]: r["count"] for r in users.where(F.col(group).isin(a, b)).groupBy(group).count().collect()}
+    sizes = balanced_sizes(n.get(a, 0), n.get(b, 0), ra, rb)
+    return balance_groups(rows, users.where(F.col(group).isin(a, b)), user, group, {a: sizes[0], b: sizes[1]}, seed)
+
+
+def drop_negatives(rows: DataFrame, label: str = "label") -> DataFrame:
+    """Rows with a positive label, for training on these alone."""
+    return rows.where(F.col(label) > 0)
+
+
+def synthetic_ratings(spark: SparkSession, n_users: int, n_items: int, shares: dict[tuple[str, str], tuple[float, float]], seed: int = 0) -> DataFrame:
+    """Made-up ratings: (user, user_type, item, item_type, gender, rating).
+
+    Users and items take the types of ``shares`` in turn. A pair of types has a share of observed
+    pairs and, of these, a share that is liked (rating 2, else 1). Users of types that begin with W are F.
+    Choices are hashes; each user draws from the items, so the work is that of the result's full matrix.
+    """
+    user_types, item_types = sorted({a for a, _ in shares}), sorted({b for _, b in shares})
+    users = spark.range(n_users).select(F.col("id").alias("user"), F.element_at(F.array(*[F.lit(t) for t in user_types]), (F.col("id") % len(user_types) + 1).cast("int")).alias("user_type"))
+    pairs = users.withColumn("item", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_items - 1).cast("long"))))
+    pairs = pairs.withColumn("item_type", F.element_at(F.array(*[F.lit(t) for t in item_types]), (F.col("item") % len(item_types) + 1).cast("int")))
+    key = F.concat("user_type", F.lit("|"), "item_type")
+
+    def chance(k: int):
+        return F.create_map(*[F.lit(x) for (a, b), v in shares.items() for x in (f"{a}|{b}", float(v[k]))])[key]
+
+    def dice(k: int):
+        return F.pmod(F.xxhash64("user", "item", F.lit(seed), F.lit(k)), F.lit(1000000)) / 1000000.0
+
+    seen = pairs.where(dice(0) < chance(0)).withColumn("rating", F.when(dice(1) < chance(1), 2.0).otherwise(1.0))
+    return seen.select("user", "user_type", "item", "item_type", F.when(F.col("user_type").startswith("W"), "F").otherwise("M").alias("gender"), "rating")
+
+
 def sample_values(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Rows of ``n`` distinct values of a key, chosen by a hash."""
     chosen = rows.select(key).distinct().orderBy(*hash_order(key, seed=seed)).limit(n)

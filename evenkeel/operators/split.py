@@ -70,6 +70,49 @@ def positions(rows: DataFrame, keys: list[str], seed: int = 0, ranges: int = 64)
     return placed.withColumn("position", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1).drop("_range", "_before")
 
 
+def shares_of(split: list) -> list[float | int | None]:
+    """Parts as percent strings ("70%"), shares (floats), counts (integers) or None, all of one kind, as numbers."""
+    given = [x for x in split if x is not None]
+    if not given:
+        raise ValueError("all parts are None")
+    kinds = {type(x) for x in given}
+    if len(kinds) > 1 or len(split) not in (2, 3):
+        raise ValueError("two or three parts of one kind")
+    if kinds == {str}:
+        if not all(x.endswith("%") for x in given):
+            raise ValueError("parts given as text need a %")
+        return [None if x is None else float(x[:-1]) / 100 for x in split]
+    return list(split)
+
+
+def train_test(rows: DataFrame, split: list, kind: str = "per_user_timestamp", user: str = "user_id", item: str = "item_id", time: str = "ts", seed: int = 0, folds: int = 5) -> DataFrame:
+    """Adds ``part`` (train, val, test) by one of the ways to split.
+
+    ``split`` gives train and test, or train, val and test. ``random`` takes percents, shares or counts
+    of all rows; ``per_user_timestamp`` and ``per_user_random`` percents or shares of each user's;
+    a part that is None gets the rest. ``k_fold`` adds ``fold`` instead: rows of fold f are test in
+    round f, the others train.
+    """
+    if kind == "k_fold":
+        return k_fold(rows, [user, item], folds, rows.count(), seed)
+    given = shares_of(split)
+    train, val, test = given if len(given) == 3 else (given[0], 0 if isinstance(given[0], int) else 0.0, given[1])
+    if kind == "random":
+        n = rows.count()
+        whole = n if any(isinstance(x, int) and x for x in given) else 1.0
+        known = sum(x for x in (train, val, test) if x is not None)
+        train, val, test = (whole - known if x is None else x for x in (train, val, test))
+        return random_split(rows, [user, item], {"train": train / whole, "val": val / whole, "test": test / whole}, n, seed)
+    if kind not in ("per_user_timestamp", "per_user_random"):
+        raise ValueError(f"no split of kind {kind}")
+    if any(isinstance(x, int) and x for x in given):
+        raise ValueError("parts of each user are shares")
+    val, test = val if val is not None else 1 - train - test, test if test is not None else 1 - train - (val or 0.0)
+    if kind == "per_user_timestamp":
+        return per_user_timestamp_split(rows, user, [time, item], val, test)
+    return per_user_random_split(rows, user, item, val, test, seed)
+
+
 def k_fold(rows: DataFrame, keys: list[str], folds: int, total: int, seed: int = 0) -> DataFrame:
     """Adds ``fold`` by position in hash order; trailing rows beyond ``folds * floor(n / folds)`` get null: they are tested in no fold."""
     size = total // folds

@@ -32,9 +32,9 @@ def popularity_scores(train: DataFrame) -> DataFrame:
     return numbered(counts, [F.desc("n"), F.col("item_id")], "rank", start=1).withColumn("rank", F.col("rank").cast("int"))
 
 
-def stratified_popularity(train: DataFrame, users: DataFrame, *strata: str) -> DataFrame:
-    """Share of each item among the interactions of its stratum (gender, age or both)."""
-    counts = train.join(users, "user_id").groupBy(*strata, "item_id").agg(F.count("*").alias("n"))
+def stratified_popularity(train: DataFrame, users: DataFrame, *strata: str, weight: str | None = None) -> DataFrame:
+    """Share of each item among the interactions of its stratum (gender, age or both), or among the sums of ``weight``."""
+    counts = train.join(users, "user_id").groupBy(*strata, "item_id").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*strata)))
 
 
