@@ -218,7 +218,7 @@ def widest(n_a: Column, n_b: Column, bits: int = 64 * LONGS, similarity: float =
     return F.acos(F.least(F.lit(1.0), shared / F.sqrt(n_a * n_b))) / math.pi * bits
 
 
-def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", distance: int = RADIUS, bucket_limit: int = 100) -> DataFrame:
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", distance: int = RADIUS) -> DataFrame:
     """Groups texts whose sets of five-word shingles are similar (Jaccard) by 0.8 or more, directly or through others.
 
     Returns for each row ``id_column, row_digest long, set_key long, root long``: a hash of the text's
@@ -240,30 +240,80 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = docs.select(F.col(id_column), row_key(id_column, text_of(text_column)).alias("row_digest"), udf(text_of(text_column)).alias("p"))
     rows = materialize(rows.select(id_column, "row_digest", F.inline(F.array("p"))).withColumnRenamed("key", "set_key"), "set-prints")
     sets = materialize(rows.groupBy("set_key").agg(F.first("short").alias("short"), F.first("prints").alias("prints"), F.first("n").alias("n")), "shingle-sets")
-    shorts = materialize(sets.groupBy("short").agg(F.count("*").alias("held")), "short-prints")
-    near = similar_pairs(shorts.select(F.col("short").alias("fp")), distance, blocks_for(shorts.count(), distance), bucket_limit, depth=2)
-    same = shorts.where("held > 1").select(F.col("short").alias("a"), F.col("short").alias("b"))
-    left, right = (sets.select(F.col("short").alias(x), F.col("set_key").alias(f"key_{x}"), F.col("prints").alias(f"prints_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = near.union(same).join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("key_a") < F.col("key_b")))
-    lengths = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
-    far = sum((F.bit_count(F.get("prints_a", F.lit(i)).bitwiseXOR(F.get("prints_b", F.lit(i)))) for i in range(LONGS)), F.lit(0))
-    edge = widest(F.col("n_a").cast("double"), F.col("n_b").cast("double"))
-    margin = 3 * F.sqrt(edge * (1 - edge / (64 * LONGS)))
-    judged = materialize(pairs.where(lengths & (far <= edge + margin)).select("key_a", "key_b", (far <= edge - margin).alias("sure")), "similar-sets")
-    first = connected_components(judged.where("sure").select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
-    # Pairs near the edge that sure links don't join already are counted exactly.
-    open_pairs = judged.where("NOT sure")
+    shorts = materialize(sets.groupBy("short").agg(F.min("set_key").alias("first")), "short-prints")
+    buckets = _buckets(shorts.select("short"), distance, blocks_for(shorts.count(), distance))
+    # First every text is compared with two hubs of its buckets: large groups become one component
+    # by as many pairs as they have texts.
+    stars = None
+    for hub in ("hub", "other_hub"):
+        own = buckets.where(F.col("short") != F.col(hub)).select(F.least("short", hub).alias("a"), F.greatest("short", hub).alias("b"))
+        stars = own if stars is None else stars.union(own)
+    stars = stars.where(_apart("a", "b") <= distance).distinct()
+    for x in "ab":
+        stars = stars.join(shorts.select(F.col("short").alias(x), F.col("first").alias(f"key_{x}")), x)
+    again = sets.join(shorts, "short").where("set_key <> first").select(F.col("first").alias("key_a"), F.col("set_key").alias("key_b"))
+    judged = _judged(stars.select("key_a", "key_b").union(again), sets)
+    first = materialize(connected_components(_edges(judged.where("sure"))), "first-components")
+    rooted = materialize(sets.select("set_key", "short").join(first.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key")), "rooted-sets")
+    # Then pairs of a bucket in different components, one of the two outside the hub's component.
+    tops = rooted.groupBy("short").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed"))
+    placed = buckets.join(tops, "short").join(tops.select(F.col("short").alias("hub"), F.col("root").alias("hub_root")), "hub")
+    left = placed.where((F.col("root") != F.col("hub_root")) | F.col("mixed")).select("bucket", F.col("short").alias("a"), F.col("root").alias("root_a"), F.col("mixed").alias("mixed_a"))
+    right = placed.select("bucket", F.col("short").alias("b"), F.col("root").alias("root_b"), F.col("mixed").alias("mixed_b"))
+    apart = (F.col("root_a") != F.col("root_b")) | F.col("mixed_a") | F.col("mixed_b")
+    near = left.join(right, "bucket").where(apart & (F.col("a") != F.col("b")) & (_apart("a", "b") <= distance)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = near.union(tops.where("mixed").select(F.col("short").alias("a"), F.col("short").alias("b")))
+    for x in "ab":
+        near = near.join(rooted.select(F.col("short").alias(x), F.col("set_key").alias(f"key_{x}"), F.col("root").alias(f"root_{x}")), x)
+    near = near.where((F.col("root_a") != F.col("root_b")) & ((F.col("a") != F.col("b")) | (F.col("key_a") < F.col("key_b")))).select("key_a", "key_b")
+    second = _judged(near, sets)
+    sure = connected_components(_edges(judged.where("sure").union(second.where("sure"))))
+    # Pairs near the edge that sure links don't join are counted exactly.
+    open_pairs = judged.union(second).where("NOT sure")
     for x in "ab":
-        own = first.select(F.col("node").alias(f"key_{x}"), F.col("root").alias(f"root_{x}"))
+        own = sure.select(F.col("node").alias(f"key_{x}"), F.col("root").alias(f"root_{x}"))
         open_pairs = open_pairs.join(own, f"key_{x}", "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", f"key_{x}"))
-    open_pairs = materialize(open_pairs.where("root_a <> root_b"), "open-pairs")
+    open_pairs = materialize(open_pairs.where("root_a <> root_b").select("key_a", "key_b", "root_a", "root_b"), "open-pairs")
     more = _verified(docs, rows, open_pairs, id_column, text_column)
-    links = first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("root_a", "root_b"))
+    links = sure.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("root_a", "root_b"))
     roots = connected_components(links)
     found = rows.select(id_column, "row_digest", "set_key").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
     return found.select(id_column, "row_digest", "set_key", F.coalesce("root", "set_key").alias("root"))
 
 
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+
+
+def _buckets(shorts: DataFrame, distance: int, n_blocks: int) -> DataFrame:
+    """The buckets that several fingerprints share: (bucket, short, hub, other_hub).
+
+    The hubs of a bucket are its first members in two orders that hold for all buckets.
+    """
+    masks = [_signed(m) for _, m in block_masks(n_blocks, distance, 1)[0]]
+    made = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("short").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("bucket")
+    keyed = shorts.select("short", made)
+    flips = (F.lit(_signed(0x5555555555555555)), F.lit(_signed(0xCCCCCCCCCCCCCCCC)))
+    least = [F.min(F.col("short").bitwiseXOR(x)).bitwiseXOR(x) for x in flips]
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("held"), least[0].alias("hub"), least[1].alias("other_hub")).where("held > 1").drop("held")
+    return materialize(keyed.join(sizes, "bucket"), "simhash-buckets")
+
+
+def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (key_a, key_b) that may be similar, with ``sure`` where the long fingerprints leave no doubt."""
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("set_key").alias(f"key_{x}"), F.col("prints").alias(f"prints_{x}"), F.col("n").alias(f"n_{x}")), f"key_{x}")
+    lengths = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
+    far = sum((F.bit_count(F.get("prints_a", F.lit(i)).bitwiseXOR(F.get("prints_b", F.lit(i)))) for i in range(LONGS)), F.lit(0))
+    edge = widest(F.col("n_a").cast("double"), F.col("n_b").cast("double"))
+    margin = 3 * F.sqrt(edge * (1 - edge / (64 * LONGS)))
+    return materialize(pairs.where(lengths & (far <= edge + margin)).select("key_a", "key_b", (far <= edge - margin).alias("sure")), "similar-sets")
+
+
 def _shingle_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         sets = []
