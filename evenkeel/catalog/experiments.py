@@ -9,6 +9,7 @@ from evenkeel.operators import prepare as T
 from evenkeel.operators import sampling as N
 from evenkeel.operators import split as P
 from evenkeel.plans import factors as X
+from evenkeel.plans import fairness as F_
 from evenkeel.plans import models as G
 from evenkeel.plans import ranking as R
 from evenkeel.sources.views import Views
@@ -171,3 +172,33 @@ def stored_matrix(v: Views):
     """The matrix of scores as rows (user, item, score), through its map form: missing cells stay missing."""
     rows = v.predictions.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("item_id", "score"))).alias("cells"))
     return rows.select("user_id", F.explode("cells").alias("item_id", "score"))
+
+
+@query("G11_fitted_errors", "SELECT true AS falls")
+def fitted_errors(v: Views):
+    """Alternating least squares until the error hardly sinks: whether it sank in every round."""
+    errors = X.fit_als(v.train, 2, 0.5, rounds=4)[2]
+    return v.spark.createDataFrame([(all(a >= b - 1e-9 for a, b in zip(errors, errors[1:])),)], "falls boolean")
+
+
+@query("G9_fitted_likelihood", "SELECT true AS grows")
+def fitted_likelihood(v: Views):
+    """Topics by EM until the likelihood hardly grows: whether it grew in every round."""
+    history = X.fit_plsa(v.train.select("user_id", "item_id", F.lit(1.0).alias("n")), 2, rounds=4)[2]
+    return v.spark.createDataFrame([(all(b >= a - 1e-6 * abs(a) for a, b in zip(history, history[1:])),)], "grows boolean")
+
+
+@query("G15_reranking_invariants", sql("SELECT 0::BIGINT AS wrong_sizes, true AS closer", PREDICTIONS))
+def reranking_invariants(v: Views):
+    """No user's list changes its length, and the groups are no further apart than without swaps."""
+    rows = v.predictions.join(v.users.select("user_id", "sensitive"), "user_id").join(v.test.select("user_id", "item_id", F.lit(1).alias("label")), ["user_id", "item_id"], "left").fillna({"label": 0})
+    swapped, plain = F_.fair_rerank(rows, 10, 0.0), F_.fair_rerank(rows, 10, float("inf"))
+
+    def summary(lists, name):
+        users = lists.groupBy("user_id", "sensitive").agg(F.count("*").alias(f"n_{name}"), F.sum("label").alias("hits"))
+        gap = users.agg(F.abs(F.avg(F.when(F.col("sensitive"), F.col("hits"))) - F.avg(F.when(~F.col("sensitive"), F.col("hits")))).alias(f"gap_{name}"))
+        return users.select("user_id", f"n_{name}"), gap
+
+    (own, gap), (base, gap_base) = summary(swapped, "a"), summary(plain, "b")
+    sizes = own.join(base, "user_id", "full").agg(F.sum(F.when(F.col("n_a").eqNullSafe(F.col("n_b")), 0).otherwise(1)).alias("wrong_sizes"))
+    return sizes.join(gap, F.lit(True)).join(gap_base, F.lit(True)).select("wrong_sizes", (F.col("gap_a") <= F.col("gap_b") + 1e-9).alias("closer"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evenkeel.functions.scalars import dot
+from evenkeel.operators.numbering import kept
+from evenkeel.plans.models import als_step
 
 
 def factor_scores(pairs: DataFrame, users: DataFrame, items: DataFrame, mu: float) -> DataFrame:
@@ -34,8 +37,6 @@ def plsa_step(events: DataFrame, user_topics: DataFrame, item_topics: DataFrame)
     ``events`` (user_id, item_id, n), ``user_topics`` (user_id, z, p) and ``item_topics`` (item_id, z, q);
     returns both tables anew. Posteriors are normalised within each event by a window.
     """
-    from pyspark.sql.window import Window
-
     joined = events.join(user_topics, "user_id").join(item_topics, ["item_id", "z"]).withColumn("w", F.col("p") * F.col("q"))
     total = F.sum("w").over(Window.partitionBy("user_id", "item_id"))
     mass = joined.withColumn("m", F.when(total > 0, F.col("n") * F.col("w") / total).otherwise(0.0))
@@ -46,6 +47,50 @@ def plsa_step(events: DataFrame, user_topics: DataFrame, item_topics: DataFrame)
     return users, items
 
 
+def fit_plsa(events: DataFrame, topics: int, rounds: int = 50, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Both tables of topics by EM, and the likelihood after each round.
+
+    Rounds end when the likelihood grows by less than ``tolerance`` of its size. Topics begin unlike
+    each other by a hash. The tables of a round are kept, so the plan doesn't grow with the rounds.
+    """
+    z = F.explode(F.sequence(F.lit(0), F.lit(topics - 1))).alias("z")
+
+    def begin(column: str, name: str, whole: str) -> DataFrame:
+        weights = events.select(column).distinct().select(column, z).withColumn("w", 1 + F.pmod(F.xxhash64(column, "z"), F.lit(1000)) / 1000)
+        return weights.withColumn(name, F.col("w") / F.sum("w").over(Window.partitionBy(whole))).drop("w")
+
+    users, items = begin("user_id", "p", "user_id"), begin("item_id", "q", "z")
+    history: list[float] = []
+    for _ in range(rounds):
+        made = plsa_step(events, users, items)
+        users, items = kept(made[0]), kept(made[1])
+        now = plsa_likelihood(events, users, items).first()[0]
+        history.append(now)
+        if now is None or (len(history) > 1 and now - history[-2] < tolerance * abs(now)):
+            break
+    return users, items, history
+
+
+def fit_als(ratings: DataFrame, rank: int, ridge: float, rounds: int = 20, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame, list[float]]:
+    """User and item vectors by alternating least squares, and the training RMSE after each round.
+
+    Item vectors begin as ones, with the first element of each moved by a hash of the item. Rounds end
+    when the RMSE sinks by less than ``tolerance``.
+    """
+    start = F.concat(F.array(1 + F.pmod(F.xxhash64("item_id"), F.lit(1000)) / 1000), F.array_repeat(F.lit(1.0), rank - 1))
+    items = ratings.select("item_id").distinct().withColumn("vector", start)
+    history: list[float] = []
+    users = None
+    for _ in range(rounds):
+        users = kept(als_step(ratings, items, "user_id", "item_id", rank, ridge))
+        items = kept(als_step(ratings, users, "item_id", "user_id", rank, ridge))
+        scored = ratings.join(users.withColumnRenamed("vector", "p"), "user_id").join(items.withColumnRenamed("vector", "q"), "item_id")
+        history.append(scored.agg(F.sqrt(F.avg(F.pow(dot("p", "q") - F.col("rating"), F.lit(2.0))))).first()[0])
+        if history[-1] is None or (len(history) > 1 and history[-2] - history[-1] < tolerance):
+            break
+    return users, items, history
+
+
 def plsa_likelihood(events: DataFrame, user_topics: DataFrame, item_topics: DataFrame) -> DataFrame:
     """Sum of n log P(item | user)."""
     joined = events.join(user_topics, "user_id").join(item_topics, ["item_id", "z"])
