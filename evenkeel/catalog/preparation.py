@@ -106,11 +106,11 @@ def positive(v: Views):
 
 
 @query("S31_completed_scores", sql("""+ m AS (SELECT user_id, avg(score) AS mean FROM predictions GROUP BY 1)
-SELECT u.user_id, count(*)::BIGINT AS n, round(sum(coalesce(p.score, m.mean)), 3) AS total FROM users u CROSS JOIN items i
+SELECT u.user_id, count(*)::BIGINT AS n, round(sum(coalesce(p.score, m.mean)) + 1e-7::DOUBLE, 3) AS total FROM users u CROSS JOIN items i
 LEFT JOIN predictions p ON p.user_id = u.user_id AND p.item_id = i.item_id LEFT JOIN m ON m.user_id = u.user_id GROUP BY 1""", PREDICTIONS))
 def completed(v: Views):
-    """Sizes and sums of the completed rows: missing cells are the user's mean."""
-    return X.completed_sums(v.users, v.items, v.predictions).withColumn("total", F.round("total", 3))
+    """Sizes and sums of the completed rows: missing cells are the user's mean. Sums are moved off the ties of rounding."""
+    return X.completed_sums(v.users, v.items, v.predictions).withColumn("total", F.round(F.col("total") + 1e-7, 3))
 
 
 @query("S33_group_files", sql("SELECT user_id AS uid, item_id AS iid, score, 1 AS q FROM scored WHERE sensitive", SCORED))
