@@ -227,15 +227,15 @@ def apply_edits(docs: DataFrame, ranks: str, pattern: str, text_column: str = "t
     exclusive, applied in order, each to the text that the one before left. Null arrays, null
     replacements (empty) and null places (0) are allowed; places outside are moved to the nearest end.
 
-    The text and the tree are replaced by the edited ones, and ``n_tokens, n_edits,
+    The text and the tree are replaced by the edited ones, and ``n_tokens, n_tokens_before, n_edits,
     chars_encoded_again`` (long) added; columns of these names are replaced and all others stay. Only
-    what the edits touch is encoded: rows without edits take no part in Python at all. A null tree is
-    built. Repeated rows stay; empty tables give empty results.
+    what the edits touch is encoded: of rows without edits nothing goes to Python. A null tree is built
+    first, which ``chars_encoded_again`` does not count. Repeated rows stay; empty tables give empty results.
     """
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast((ranks, pattern))
-    names = ["edited", "leaves", "n", "again"]
+    names = ["edited", "leaves", "n", "before", "again"]
 
     def applied(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         counter = _counter(*sent.value)
@@ -243,21 +243,23 @@ def apply_edits(docs: DataFrame, ranks: str, pattern: str, text_column: str = "t
             rows = []
             for text, tree, own in zip(texts, trees, all_edits):
                 doc = EditableDocument(counter, text, None if tree is None else [(x["chars"], x["tokens"]) for x in tree])
+                before, again = doc.n_tokens, 0
                 for e in own:
-                    doc.edit(int(e["start"] or 0), int(e["end"] or 0), e["text"] or "")
-                rows.append((doc.text, [{"chars": c, "tokens": t} for c, t in doc.leaves()], len(own), doc.encoded))
+                    again += doc.edit(int(e["start"] or 0), int(e["end"] or 0), e["text"] or "")
+                rows.append((doc.text, [{"chars": c, "tokens": t} for c, t in doc.leaves()], len(own), before, again))
             yield pd.DataFrame(rows, columns=names)
 
     c = own_columns(docs, "done")
     changed = F.coalesce(F.size(edits_column) > 0, F.lit(False)) | F.col(tree_column).isNull()
     none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    udf = F.pandas_udf(applied, f"edited string, leaves {LEAVES}, n long, again long")
+    udf = F.pandas_udf(applied, f"edited string, leaves {LEAVES}, n long, before long, again long")
     # Rows without edits are handed in empty: an expression's condition doesn't keep rows out of Python.
     empty = F.array().cast(LEAVES)
     done = udf(F.when(changed, text_of(text_column)).otherwise(""), F.when(changed, F.col(tree_column)).otherwise(empty), F.when(changed, F.coalesce(F.col(edits_column), none)).otherwise(none))
     out = docs.withColumn(c["done"], done)
     got = F.col(c["done"])
-    counted = {"n_edits": got["n"], "chars_encoded_again": got["again"]}
+    before = F.when(changed, got["before"]).otherwise(tokens_of(tree_column))
+    counted = {"n_tokens_before": before, "n_edits": got["n"], "chars_encoded_again": got["again"]}
     new = {text_column: F.when(changed, got["edited"]).otherwise(F.col(text_column)), tree_column: F.when(changed, got["leaves"]).otherwise(F.col(tree_column))}
     kept = [x for x in docs.columns if x not in (*new, *counted, "n_tokens")]
     rows = out.select(*kept, F.inline(F.array(F.struct(*[x.alias(k) for k, x in (new | counted).items()]))))
@@ -268,9 +270,9 @@ def count_with_edits(docs: DataFrame, ranks: str, pattern: str, id_column: str =
     """Builds the trees of whole texts, applies each row's edits to them and counts from both.
 
     Returns ``id_column, n_tokens, n_tokens_edited, n_edits, chars_encoded_again`` (long) and
-    ``edited_text``. Nulls, edges and edits are as in ``build_trees`` and ``apply_edits``; other
-    columns are not read.
+    ``edited_text``. Nulls, edges and edits are as in ``apply_edits``, which builds the trees in the
+    same pass; other columns are not read.
     """
-    built = build_trees(docs.select(F.col(id_column), F.col(text_column), F.col(edits_column)), ranks, pattern, text_column)
-    edited = apply_edits(built.withColumnRenamed("n_tokens", "n_tokens_before"), ranks, pattern, text_column, "tree", edits_column)
+    whole = docs.select(F.col(id_column), F.col(text_column), F.col(edits_column), F.lit(None).cast(LEAVES).alias("tree"))
+    edited = apply_edits(whole, ranks, pattern, text_column, "tree", edits_column)
     return edited.select(id_column, F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_edits", "chars_encoded_again", text_of(text_column).alias("edited_text"))
