@@ -61,6 +61,7 @@ def epsilon_fairness(scored: DataFrame, max_pairs: int = 5000) -> DataFrame:
     part of the measure. With the items sorted, the first pairs begin with the first few items: users
     are joined for these, and for twice as many until the pairs suffice or no item is left.
     """
+    scored = kept(scored.select("user_id", "sensitive", "item_id", "score"))  # read several times
     items = scored.select("item_id").distinct()
     n_items, n_first = items.count(), max(2, max_pairs // 100)
     b = scored.select("user_id", F.col("item_id").alias("i2"), F.col("score").alias("s2"))
