@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The white space of every contract: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
@@ -174,3 +175,22 @@ def dense_rank_positions(df: DataFrame, order: list[Column], name: str, position
         total += n
     starts = spark.createDataFrame(offsets, "_part int, _start long")
     return numbered.join(F.broadcast(starts), "_part").withColumn(position, F.col("_start") + F.col("_row")).drop("_part", "_row", "_start")
+
+
+def positions_within(df: DataFrame, group: list[str], order: list[Column], position: str, name: str) -> DataFrame:
+    """Numbers the rows of each group from 1 in ``order``, however many rows one group has.
+
+    All rows are range-partitioned by group and order and sorted, rows that tie in the order they
+    are read, so a large group lies in many partitions. Each partition counts the rows that it has
+    of a group; a row's number is its place among them and the counts of the partitions before.
+    """
+    keys = [F.col(g) for g in group]
+    spread = df.withColumn("_tie", F.monotonically_increasing_id())
+    order = [*keys, *order, F.col("_tie")]
+    ordered = spread.repartitionByRange(*order).sortWithinPartitions(*order)
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = materialize(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", row).drop("_tie"), name)
+    held = placed.groupBy(*group, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select(*group, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return placed.join(starts, [*group, "_part"]).withColumn(position, F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")

@@ -106,9 +106,80 @@ SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM texts t LEFT JOIN of_doc f ON t.doc_id = f.doc_id
 """
 
+_STEP = "lambda x, i: xor(x >> 1, 3988292384 * (x & 1))"
+_CRC32 = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(c) + 1), lambda i: ascii(c[i])::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), {_STEP})), 4294967295)"
+
+OP12 = rf"""
+WITH turns AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role)) || ':' || role || text)) AS pos
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+    SELECT conv_id, n, conv_id - conv_id % 20 AS base, {_CRC32} % 4 AS h
+    FROM (SELECT conv_id, conv_id::VARCHAR AS c, count(*) AS n FROM turns GROUP BY conv_id)
+), rebuilt AS (
+    SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+    UNION ALL
+    SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) + t.pos - c.h, t.role, t.text
+    FROM convs c LEFT JOIN convs b ON b.conv_id = c.base JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+), paths AS (
+    SELECT conv_id, pos AS depth, len(regexp_extract_all(text, '[^ \t-\r]+')) AS words,
+           sha256(to_json(list({{'role': role, 'text': text}}) OVER (PARTITION BY conv_id ORDER BY pos))::VARCHAR) AS node
+    FROM rebuilt
+), steps AS (
+    SELECT conv_id, depth, words, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS parent FROM paths
+    UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM convs
+), nodes AS (
+    SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved FROM steps GROUP BY node
+), kids AS (
+    SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), below AS (
+    SELECT s.node, count(*) FILTER (k.node IS NULL) AS n_leaves, sum(u.saved) AS saved_tokens
+    FROM nodes u LEFT JOIN kids k ON k.node = u.node JOIN steps s ON s.conv_id = u.conv_id AND s.depth <= u.depth GROUP BY s.node
+), ends AS (
+    SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+    FROM (SELECT conv_id, arg_max(node, depth) AS node FROM steps GROUP BY conv_id) GROUP BY node
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+       b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN kids k ON k.node = n.node JOIN below b ON b.node = n.node LEFT JOIN ends e ON e.node = n.node
+"""
+
+OP13 = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents
+), words AS (
+    SELECT id, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), whole AS (
+    SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang
+), counts AS (
+    SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY w.lang, w.source, w.term
+), totals AS (
+    SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source
+), shares AS (
+    SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (t.n + 5 * w.v) AS p, 1 + (1000000000 * (k.n + 5)) // (w.n + 5 * w.v) AS q
+    FROM totals t JOIN whole w ON w.lang = t.lang JOIN kept k ON k.lang = t.lang
+    LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), apart AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), rows AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+    FROM totals a JOIN totals b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1,
     "op4_binary_topk": OP4,
     "op6_source_mixing": OP6,
     "op9_secret_scan": OP9,
+    "op12_prefix_trie": OP12,
+    "op13_source_divergence": OP13,
 }
