@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, drop_table, materialize, positions_within
+from .common import WORD, drop_table, materialize, positions_within, ship
 
 #: Turns whose running sums are made together; longer conversations are made of several such runs.
 RUN = 4096
@@ -95,6 +95,8 @@ def ends_digest(ends: DataFrame) -> DataFrame:
     Ids are sorted and joined to texts of bounded length in many tasks, whatever a key's share of
     them is; only the hash itself, which is one chain by definition, reads a key's texts in a row.
     """
+    ship(ends.sparkSession)
+    most = ENDS
     ordered = ends.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +104,7 @@ def ends_digest(ends: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if k != key or len(held) == ENDS:
+                if k != key or len(held) == most:
                     if held:
                         rows.append((key, first, ",".join(held)))
                     key, held, first = k, [], c

@@ -56,7 +56,10 @@ class Piece(NamedTuple):
 
     def cut(self, n: int) -> tuple[Piece, Piece]:
         """The first ``n`` ids and the others."""
-        return self._replace(ids=self.ids[: 4 * n]), self._replace(start=self.start + n, ids=self.ids[4 * n :])
+        return self.part(0, n), self.part(n, self.length)
+
+    def part(self, begin: int, end: int) -> Piece:
+        return self._replace(start=self.start + begin, ids=self.ids[4 * begin : 4 * end])
 
 
 class Packer:
@@ -69,9 +72,11 @@ class Packer:
         self.made = 0
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
-        while piece.length >= self.window:
-            whole, piece = piece.cut(self.window)
-            yield [whole]
+        cuts = range(0, piece.length - self.window + 1, self.window)
+        for at in cuts:
+            yield [piece.part(at, at + self.window)]
+        if cuts:
+            piece = piece.part(len(cuts) * self.window, piece.length)
         while piece.length:
             at = bisect_left(self.rooms, (piece.length, -1))
             if at < len(self.rooms):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, own_columns
+from .common import materialize, own_columns, ship
 
 #: Documents of a language that must hold a term, occurrences added to each count, the unit of p.
 MIN_DOCS, SMOOTHING, UNIT = 30, 5, 1_000_000_000
@@ -27,6 +27,8 @@ TOP_TERMS = 50
 TILE_TERMS, TILE_GROUPS = 256, 256
 #: Different terms that a task counts before it passes the counts on.
 COUNTED = 300_000
+#: Groups up to which the tables of a row for each group or language are broadcast.
+MOST_SENT = 100_000
 
 _SEPARATORS = bytes(0x20 if b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -45,6 +47,8 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     A task counts before rows move: it passes on at most a row for each term and group in every
     ``COUNTED`` counts, and Spark adds them.
     """
+    ship(docs.sparkSession)
+    most = COUNTED
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +64,7 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
                 for w in set(words):
                     in_docs[w] = in_docs.get(w, 0) + 1
                 size += len(n) - before
-                if size >= COUNTED:
+                if size >= most:
                     yield from _counts(held)
                     held, size = {}, 0
         yield from _counts(held)
@@ -105,9 +109,11 @@ class Shares:
         groups = groups.withColumn("g", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
         nothing = F.when(F.col("v") > 0, share(F.lit(0), F.col("n"), F.col("v"))).otherwise(0)
         self.groups = materialize(groups.select("lang", "source", "g", "v", "n", nothing.alias("p0")), "audit-groups")
+        few = self.groups.count() <= MOST_SENT
+        self.sent = F.broadcast if few else lambda table: table
         totals = self.groups.select("lang", "source", "g", "v", F.col("n").alias("total"), "p0")
-        self.counts = materialize(held.join(totals, ["lang", "source"]).select("lang", "source", "g", "term", "in_groups", share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "p0"), "audit-counts")
-        self.terms = kept.join(whole, "lang").select("lang", "term", "in_groups", share(F.col("all_n"), F.col("lang_n"), F.col("v")).alias("q"))
+        self.counts = materialize(held.join(self.sent(totals), ["lang", "source"]).select("lang", "source", "g", "term", "in_groups", share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "p0"), "audit-counts")
+        self.terms = kept.join(self.sent(whole), "lang").select("lang", "term", "in_groups", share(F.col("all_n"), F.col("lang_n"), F.col("v")).alias("q"))
 
 
 def light_limit(groups: Column) -> Column:
@@ -122,7 +128,7 @@ def pair_distances(shares: Shares) -> DataFrame:
     terms and two blocks of ``TILE_GROUPS`` groups, so a task's memory is bounded whatever the numbers
     of terms and groups are; its sums are added by Spark.
     """
-    sizes = shares.groups.groupBy("lang").agg(light_limit(F.count("*")).alias("limit"), F.count("*").alias("n_groups"))
+    sizes = shares.sent(shares.groups.groupBy("lang").agg(light_limit(F.count("*")).alias("limit"), F.count("*").alias("n_groups")))
     counts = shares.counts.join(sizes, "lang")
     light = counts.where("in_groups <= limit")
     # What a pair is if only one of its groups has a light term: the counts of p are enough.
@@ -135,7 +141,7 @@ def pair_distances(shares: Shares) -> DataFrame:
         return F.coalesce(F.aggregate(own, F.lit(0).cast("long"), lambda total, x: total + x["n"] * (F.abs(x["p"] - F.col(q0)) - apart)), F.lit(0))
 
     a, b = (groups.select("lang", *[F.col(c).alias(f"{c}_{x}") for c in ("source", "g", "p0", "own")]) for x in "ab")
-    pairs = a.join(b, "lang").where("g_a < g_b").join(n_light, "lang", "left")
+    pairs = a.join(b, "lang").where("g_a < g_b").join(shares.sent(n_light), "lang", "left")
     alone = pairs.select(
         "lang",
         "g_a",
@@ -151,15 +157,17 @@ def pair_distances(shares: Shares) -> DataFrame:
     parts = alone.union(shared.groupBy("lang", "g_a", "g_b").agg(F.sum("value").alias("value"))).union(_heavy(shares, counts.where("in_groups > limit"), sizes))
     one_way = parts.groupBy("lang", "g_a", "g_b").agg(F.sum("value").alias("value"))
     each = one_way.select("lang", F.explode(F.array(F.struct(F.col("g_a").alias("g"), F.col("g_b").alias("h")), F.struct(F.col("g_b").alias("g"), F.col("g_a").alias("h")))).alias("x"), "value").select("lang", "x.*", "value")
-    names = shares.groups.select("lang", "g", "source")
-    return each.join(names, ["lang", "g"]).join(names.select("lang", F.col("g").alias("h"), F.col("source").alias("other")), ["lang", "h"]).select("lang", "source", "other", "value")
+    names = shares.sent(shares.groups.select("lang", "g", "source"))
+    return each.join(names, ["lang", "g"]).join(shares.sent(names.select("lang", F.col("g").alias("h"), F.col("source").alias("other"))), ["lang", "h"]).select("lang", "source", "other", "value")
 
 
 def _heavy(shares: Shares, counts: DataFrame, sizes: DataFrame) -> DataFrame:
     """(lang, g_a, g_b, value): the heavy terms' sums for each pair of groups and tile."""
-    terms = counts.groupBy("lang").agg(F.count_distinct("term").alias("n_terms"))
-    tiles = terms.select("lang", F.ceil(F.col("n_terms") / TILE_TERMS).alias("n_tiles")).join(sizes.select("lang", F.ceil(F.col("n_groups") / TILE_GROUPS).alias("n_blocks")), "lang")
-    block = F.floor(F.col("g") / TILE_GROUPS)
+    heavy = shares.terms.join(sizes, "lang").where("in_groups > limit")
+    terms = heavy.groupBy("lang").agg(F.count("*").alias("n_terms"))
+    tiles = shares.sent(terms.select("lang", F.ceil(F.col("n_terms") / TILE_TERMS).alias("n_tiles")).join(sizes.select("lang", F.ceil(F.col("n_groups") / TILE_GROUPS).alias("n_blocks")), "lang"))
+    width = TILE_GROUPS
+    block = F.floor(F.col("g") / width)
     placed = counts.select("lang", "g", "p", "term").join(tiles, "lang").withColumn("tile", F.pmod(F.xxhash64("term"), "n_tiles"))
     # Every group is in every tile with its p of terms that it has not.
     bases = shares.groups.select("lang", "g", F.col("p0").alias("p"), F.lit(None).cast("string").alias("term")).join(tiles, "lang")
@@ -178,8 +186,8 @@ def _heavy(shares: Shares, counts: DataFrame, sizes: DataFrame) -> DataFrame:
         start[where[base]] = p[base]
         dense = np.repeat(start[:, None], int(codes.max(initial=-1)) + 1, axis=1)  # a row for each group
         dense[where[known], codes[known]] = p[known]
-        rows = members // TILE_GROUPS == block_a
-        columns = members // TILE_GROUPS == block_b
+        rows = members // width == block_a
+        columns = members // width == block_b
         left, right, right_rows = members[rows], members[columns], dense[columns]
         found = [np.abs(right_rows - dense[i]).sum(axis=1, dtype=np.int64) for i in np.flatnonzero(rows)]
         g_a, g_b = np.repeat(left, len(right)), np.tile(right, len(left))
