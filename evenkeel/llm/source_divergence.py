@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -171,9 +172,11 @@ def _heavy(shares: Shares, counts: DataFrame, sizes: DataFrame) -> DataFrame:
     placed = counts.select("lang", "g", "p", "term").join(tiles, "lang").withColumn("tile", F.pmod(F.xxhash64("term"), "n_tiles"))
     # Every group is in every tile with its p of terms that it has not.
     bases = shares.groups.select("lang", "g", F.col("p0").alias("p"), F.lit(None).cast("string").alias("term")).join(tiles, "lang")
-    bases = bases.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tiles") - 1)))
+    in_tile = heavy.join(tiles, "lang").groupBy("lang", F.pmod(F.xxhash64("term"), "n_tiles").alias("tile")).agg(F.count("*").alias("held"))
+    bases = bases.join(in_tile, "lang")
+    placed = placed.withColumn("held", F.lit(None).cast("long"))
     both = placed.unionByName(bases).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    keyed = both.select("lang", "tile", F.least(block, "other").alias("block_a"), F.greatest(block, "other").alias("block_b"), "g", "term", "p")
+    keyed = both.select("lang", "tile", F.least(block, "other").alias("block_a"), F.greatest(block, "other").alias("block_b"), "g", "term", "p", "held")
 
     def compared(key: tuple, table: pa.Table) -> pa.Table:
         lang, _, block_a, block_b = (k.as_py() for k in key)
@@ -189,7 +192,9 @@ def _heavy(shares: Shares, counts: DataFrame, sizes: DataFrame) -> DataFrame:
         rows = members // width == block_a
         columns = members // width == block_b
         left, right, right_rows = members[rows], members[columns], dense[columns]
-        found = [np.abs(right_rows - dense[i]).sum(axis=1, dtype=np.int64) for i in np.flatnonzero(rows)]
+        # Terms of the tile that none of these groups has are no columns of the array.
+        others = pc.max(table["held"]).as_py() - dense.shape[1]
+        found = [np.abs(right_rows - dense[i]).sum(axis=1, dtype=np.int64) + others * np.abs(start[columns] - start[i]) for i in np.flatnonzero(rows)]
         g_a, g_b = np.repeat(left, len(right)), np.tile(right, len(left))
         value = np.concatenate(found) if found else np.zeros(0, np.int64)
         once = g_a < g_b
