@@ -23,14 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_order, materialize, own_columns, row_key, ship, text_of
+from .common import drop_table, id_order, materialize, own_columns, row_key, ship, text_of
 from .components import connected_components
 
 SEED = 42
 #: Words of a shingle, similarity and 64-bit words of the long fingerprint of ``keep_similar_one``.
 SHINGLE, SIMILARITY, LONGS = 5, 0.8, 8
-#: Bits by which the short fingerprints of two similar texts may differ.
-RADIUS = 7
+#: Blocks of a set of shingles and the shingles that make one.
+BLOCKS, BLOCK_PIECES = 32, 5
+_SALTS = np.arange(1, BLOCKS * BLOCK_PIECES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -156,14 +157,6 @@ def _first_of_each(docs: DataFrame, groups: DataFrame, id_column: str, text_colu
     return found.dropDuplicates([c["order"], c["digest"]]).select(*docs.columns)
 
 
-def blocks_for(n: int, distance: int) -> int:
-    """The number of blocks with which a key has about as many bits as ``n`` fingerprints need to be told apart."""
-    blocks = distance + 2
-    while blocks < distance + 4 and 64 * (blocks - distance) / blocks < math.log2(max(2, n)) - 3:
-        blocks += 1
-    return blocks
-
-
 def _shingles(words: list[bytes], size: int) -> list[bytes]:
     """The shingles of some words, joined by blanks; all words if they are fewer."""
     whole = b" ".join(words)
@@ -184,28 +177,45 @@ def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _long_print(pieces: list[bytes], longs: int) -> tuple[list[int], int, int]:
-    """SimHash of 64 bits a seed over different pieces, their number, and a hash of the set they make."""
-    hashes = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in pieces), np.uint64, len(pieces))
-    hashes = np.unique(hashes)
+def _set_of(words: list[bytes]) -> np.ndarray:
+    """Hashes of the different shingles of five words, ascending."""
+    pieces = _shingles(words, SHINGLE)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in pieces), np.uint64, len(pieces)))
+
+
+def _long_print(hashes: np.ndarray) -> tuple[list[int], int]:
+    """SimHash of 64 bits for each of ``LONGS`` seeds, and a hash of the set."""
     out = []
-    for seed in range(longs):
+    for seed in range(LONGS):
         mixed = _mixed(hashes, seed)
         ones = np.zeros(64, np.int64)
         for at in range(0, len(mixed), 1 << 15):
             ones += np.unpackbits(mixed[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * ones > len(mixed)).view(">i8")[0]))
-    return out, len(hashes), xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+    return out, xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
+def _block_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each block: the least of the pieces in ``BLOCK_PIECES`` orders, hashed together."""
+    orders = BLOCKS * BLOCK_PIECES
+    least = np.full(orders, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[at : at + (1 << 12), None]
+        z = (part ^ _SALTS) * np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(29)
+        z *= np.uint64(0x94D049BB133111EB)
+        np.minimum(least, z.min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(BLOCKS, BLOCK_PIECES))]
 
 
 def _set_prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         rows = []
         for text in texts:
-            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            prints, n, key = _long_print(_shingles(words, SHINGLE), LONGS)
-            rows.append((_long_print(list(set(words)) or [b""], 1)[0][0], prints, n, key))
-        yield pd.DataFrame(rows, columns=["short", "prints", "n", "key"])
+            hashes = _set_of((text or "").encode("utf-8", "surrogatepass").lower().split())
+            prints, key = _long_print(hashes)
+            rows.append((_block_keys(hashes), prints, len(hashes), key))
+        yield pd.DataFrame(rows, columns=["blocks", "prints", "n", "key"])
 
 
 def widest(n_a: Column, n_b: Column, bits: int = 64 * LONGS, similarity: float = SIMILARITY) -> Column:
@@ -218,55 +228,57 @@ def widest(n_a: Column, n_b: Column, bits: int = 64 * LONGS, similarity: float =
     return F.acos(F.least(F.lit(1.0), shared / F.sqrt(n_a * n_b))) / math.pi * bits
 
 
-def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", distance: int = RADIUS) -> DataFrame:
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Groups texts whose sets of five-word shingles are similar (Jaccard) by 0.8 or more, directly or through others.
 
     Returns for each row ``id_column, row_digest long, set_key long, root long``: a hash of the text's
     set of shingles and the smallest ``set_key`` of its group.
 
-    SimHash of shingles is no good filter at 0.8: such pairs differ in about 10 of 64 bits. One of a
-    text's different words moves less when a word is edited, so texts are blocked on that: 64 bits,
-    differing in ``distance`` at most; the README says how many similar pairs that finds. Candidates
-    are verified by the Hamming distance of a second fingerprint, 512 bits of the five-word shingles,
-    against the distance that a similarity of 0.8 has. Within three standard errors of it the shingles
-    of both texts are compared, unless surer links join them. Texts of one set take part once.
-
-    A-Z is lower-cased. Shorter texts are one shingle; null, empty and blank texts are one group.
-    Rows without an id take part like others; other columns are not read; empty tables give empty
-    results.
+    Pairs at 0.8 differ in about 10 of 64 bits of a SimHash, which no number of its blocks finds at
+    a bearable cost. So a block here is not a run of bits but ``BLOCK_PIECES`` shingles, the least
+    in orders of its own: two sets agree in one with probability 0.8 ** 5 at least, and in none of
+    ``BLOCKS`` with 3 in a million. Pairs of a block are verified by the Hamming distance of
+    fingerprints of 512 bits against the distance that a similarity of 0.8 has; within three standard
+    errors of it the shingles of both texts are compared, unless surer links join them. Texts of one
+    set take part once.
+
+    A block first compares its sets with two hubs: the one that is in the largest blocks, which is
+    the least edited of many near copies, and the first. Pairs are then made only between
+    different components, and the join that makes them lets pass those alone that are near enough.
+
+    A-Z is lower-cased. Shorter texts are one shingle; null, empty and blank texts are one group; very
+    long texts are read whole, in steps of bounded memory. Rows without an id take part like others;
+    other columns are not read; empty tables give empty results.
     """
     ship(docs.sparkSession)
-    udf = F.pandas_udf(_set_prints, "short long, prints array<long>, n int, key long")
+    udf = F.pandas_udf(_set_prints, "blocks array<long>, prints array<long>, n int, key long")
     rows = docs.select(F.col(id_column), row_key(id_column, text_of(text_column)).alias("row_digest"), udf(text_of(text_column)).alias("p"))
     rows = materialize(rows.select(id_column, "row_digest", F.inline(F.array("p"))).withColumnRenamed("key", "set_key"), "set-prints")
-    sets = materialize(rows.groupBy("set_key").agg(F.first("short").alias("short"), F.first("prints").alias("prints"), F.first("n").alias("n")), "shingle-sets")
-    shorts = materialize(sets.groupBy("short").agg(F.min("set_key").alias("first")), "short-prints")
-    buckets = _buckets(shorts.select("short"), distance, blocks_for(shorts.count(), distance))
-    # First every text is compared with two hubs of its buckets: large groups become one component
-    # by as many pairs as they have texts.
+    sets = materialize(rows.groupBy("set_key").agg(*[F.first(c).alias(c) for c in ("blocks", "prints", "n")]), "shingle-sets")
+    buckets = _buckets(sets)
     stars = None
     for hub in ("hub", "other_hub"):
-        own = buckets.where(F.col("short") != F.col(hub)).select(F.least("short", hub).alias("a"), F.greatest("short", hub).alias("b"))
+        own = buckets.where(F.col("set_key") != F.col(hub)).select(F.least("set_key", hub).alias("key_a"), F.greatest("set_key", hub).alias("key_b"))
         stars = own if stars is None else stars.union(own)
-    stars = stars.where(_apart("a", "b") <= distance).distinct()
+    prints = sets.select("set_key", "prints", "n")
+    pairs = stars.distinct()
     for x in "ab":
-        stars = stars.join(shorts.select(F.col("short").alias(x), F.col("first").alias(f"key_{x}")), x)
-    again = sets.join(shorts, "short").where("set_key <> first").select(F.col("first").alias("key_a"), F.col("set_key").alias("key_b"))
-    judged = _judged(stars.select("key_a", "key_b").union(again), sets)
+        pairs = pairs.join(prints.toDF(f"key_{x}", f"prints_{x}", f"n_{x}"), f"key_{x}")
+    judged = _judged(pairs.where(_near()), "similar-to-hubs")
     first = materialize(connected_components(_edges(judged.where("sure"))), "first-components")
-    rooted = materialize(sets.select("set_key", "short").join(first.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key")), "rooted-sets")
-    # Then pairs of a bucket in different components, one of the two outside the hub's component.
-    tops = rooted.groupBy("short").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed"))
-    placed = buckets.join(tops, "short").join(tops.select(F.col("short").alias("hub"), F.col("root").alias("hub_root")), "hub")
-    left = placed.where((F.col("root") != F.col("hub_root")) | F.col("mixed")).select("bucket", F.col("short").alias("a"), F.col("root").alias("root_a"), F.col("mixed").alias("mixed_a"))
-    right = placed.select("bucket", F.col("short").alias("b"), F.col("root").alias("root_b"), F.col("mixed").alias("mixed_b"))
-    apart = (F.col("root_a") != F.col("root_b")) | F.col("mixed_a") | F.col("mixed_b")
-    near = left.join(right, "bucket").where(apart & (F.col("a") != F.col("b")) & (_apart("a", "b") <= distance)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = near.union(tops.where("mixed").select(F.col("short").alias("a"), F.col("short").alias("b")))
-    for x in "ab":
-        near = near.join(rooted.select(F.col("short").alias(x), F.col("set_key").alias(f"key_{x}"), F.col("root").alias(f"root_{x}")), x)
-    near = near.where((F.col("root_a") != F.col("root_b")) & ((F.col("a") != F.col("b")) | (F.col("key_a") < F.col("key_b")))).select("key_a", "key_b")
-    second = _judged(near, sets)
+    # Then pairs of a block in different components, one of the two outside the hub's component.
+    rooted = prints.join(first.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    hub_roots = buckets.select(F.col("hub").alias("node")).distinct().join(first, "node", "left").select(F.col("node").alias("hub"), F.coalesce("root", "node").alias("hub_root"))
+    placed = buckets.select("bucket", "set_key", "hub").join(hub_roots, "hub").join(first.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    mixed = placed.where("root <> hub_root").select("bucket").distinct()
+    placed = materialize(placed.join(mixed, "bucket", "left_semi").select("bucket", "set_key", "hub_root").join(rooted, "set_key"), "mixed-buckets")
+    left = placed.where("root <> hub_root").select(F.col("bucket").alias("bucket_a"), *[F.col(c).alias(f"{c}_a") for c in ("set_key", "prints", "n", "root")])
+    right = placed.select(F.col("bucket").alias("bucket_b"), *[F.col(c).alias(f"{c}_b") for c in ("set_key", "prints", "n", "root")])
+    near = left.join(right, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("root_a") != F.col("root_b")) & _near())
+    near = near.select(F.least("set_key_a", "set_key_b").alias("key_a"), F.greatest("set_key_a", "set_key_b").alias("key_b"), F.when(F.col("set_key_a") < F.col("set_key_b"), F.struct("prints_a", "n_a", "prints_b", "n_b")).otherwise(F.struct(F.col("prints_b").alias("prints_a"), F.col("n_b").alias("n_a"), F.col("prints_a").alias("prints_b"), F.col("n_a").alias("n_b"))).alias("x"))
+    second = _judged(near.select("key_a", "key_b", "x.*").dropDuplicates(["key_a", "key_b"]), "similar-sets")
+    drop_table(buckets)
+    drop_table(placed)
     sure = connected_components(_edges(judged.where("sure").union(second.where("sure"))))
     # Pairs near the edge that sure links don't join are counted exactly.
     open_pairs = judged.union(second).where("NOT sure")
@@ -281,45 +293,50 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return found.select(id_column, "row_digest", "set_key", F.coalesce("root", "set_key").alias("root"))
 
 
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
 def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
-def _buckets(shorts: DataFrame, distance: int, n_blocks: int) -> DataFrame:
-    """The buckets that several fingerprints share: (bucket, short, hub, other_hub).
+def _buckets(sets: DataFrame) -> DataFrame:
+    """The blocks that several sets share: (bucket, set_key, hub, other_hub).
 
-    The hubs of a bucket are its first members in two orders that hold for all buckets.
+    A set's weight is how many sets its blocks hold. The hubs of a block are its heaviest set and its first.
     """
-    masks = [_signed(m) for _, m in block_masks(n_blocks, distance, 1)[0]]
-    made = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("short").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("bucket")
-    keyed = shorts.select("short", made)
-    flips = (F.lit(_signed(0x5555555555555555)), F.lit(_signed(0xCCCCCCCCCCCCCCCC)))
-    least = [F.min(F.col("short").bitwiseXOR(x)).bitwiseXOR(x) for x in flips]
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("held"), least[0].alias("hub"), least[1].alias("other_hub")).where("held > 1").drop("held")
-    return materialize(keyed.join(sizes, "bucket"), "simhash-buckets")
+    keyed = sets.select("set_key", F.explode("blocks").alias("bucket"))
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
+    shared = materialize(keyed.join(sizes, "bucket"), "shared-blocks")
+    weights = shared.groupBy("set_key").agg(F.sum("held").alias("weight"))
+    hubs = shared.join(weights, "set_key").groupBy("bucket").agg(F.max(F.struct("weight", "set_key")).alias("most"), F.min("set_key").alias("other_hub"))
+    return materialize(shared.join(hubs, "bucket").select("bucket", "set_key", F.col("most.set_key").alias("hub"), "other_hub"), "block-hubs")
 
 
-def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (key_a, key_b) that may be similar, with ``sure`` where the long fingerprints leave no doubt."""
-    for x in "ab":
-        pairs = pairs.join(sets.select(F.col("set_key").alias(f"key_{x}"), F.col("prints").alias(f"prints_{x}"), F.col("n").alias(f"n_{x}")), f"key_{x}")
-    lengths = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
-    far = sum((F.bit_count(F.get("prints_a", F.lit(i)).bitwiseXOR(F.get("prints_b", F.lit(i)))) for i in range(LONGS)), F.lit(0))
+def _far() -> Column:
+    return sum((F.bit_count(F.get("prints_a", F.lit(i)).bitwiseXOR(F.get("prints_b", F.lit(i)))) for i in range(LONGS)), F.lit(0))
+
+
+def _edge() -> tuple[Column, Column]:
+    """The distance in bits of two sets of these sizes at the similarity sought, and three standard errors of it."""
     edge = widest(F.col("n_a").cast("double"), F.col("n_b").cast("double"))
-    margin = 3 * F.sqrt(edge * (1 - edge / (64 * LONGS)))
-    return materialize(pairs.where(lengths & (far <= edge + margin)).select("key_a", "key_b", (far <= edge - margin).alias("sure")), "similar-sets")
+    return edge, 3 * F.sqrt(edge * (1 - edge / (64 * LONGS)))
+
+
+def _near() -> Column:
+    """Whether two sets may be similar, by their sizes and long fingerprints."""
+    edge, margin = _edge()
+    return (F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (_far() <= edge + margin)
+
+
+def _judged(pairs: DataFrame, name: str) -> DataFrame:
+    """(key_a, key_b, sure) of pairs that are ``_near``: ``sure`` where the long fingerprints leave no doubt."""
+    edge, margin = _edge()
+    return materialize(pairs.select("key_a", "key_b", (_far() <= edge - margin).alias("sure")), name)
 
 
 def _shingle_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         sets = []
         for text in texts:
-            pieces = _shingles((text or "").encode("utf-8", "surrogatepass").lower().split(), SHINGLE)
-            sets.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in pieces), np.uint64, len(pieces))).view(np.int64))
+            sets.append(_set_of((text or "").encode("utf-8", "surrogatepass").lower().split()).view(np.int64))
         yield pd.Series(sets, dtype="object")
 
 
