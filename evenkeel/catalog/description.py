@@ -72,8 +72,9 @@ def combined(v: Views):
     return a.groupBy("nation").agg(F.count("*").alias("n"))
 
 
-@query("A13_G25_stratified_popularity", sql("""+ c AS (SELECT gender, item_id, count(*) AS n FROM train JOIN users USING (user_id) GROUP BY 1, 2), s AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY gender) AS share FROM c)
-SELECT t.user_id, t.item_id, round(coalesce(share, 0), 8) AS score FROM test t JOIN users u USING (user_id) LEFT JOIN s ON s.gender = u.gender AND s.item_id = t.item_id"""))
+@query("A13_G25_stratified_popularity", sql("""+ c AS MATERIALIZED (SELECT gender, item_id, count(*) AS n FROM train JOIN users USING (user_id) GROUP BY 1, 2), s AS MATERIALIZED (SELECT concat(gender, ':', item_id) AS cell, n::DOUBLE / sum(n) OVER (PARTITION BY gender) AS share FROM c),
+asked AS MATERIALIZED (SELECT t.user_id, t.item_id, concat(gender, ':', t.item_id) AS cell FROM test t JOIN users u USING (user_id))
+SELECT user_id, item_id, round(coalesce(share, 0), 8) AS score FROM asked LEFT JOIN s USING (cell)"""))
 def stratified(v: Views):
     shares = G.stratified_popularity(v.train, v.users, "gender")
     return G.stratified_scores(v.test.select("user_id", "item_id"), v.users, shares, "gender").withColumn("score", F.round("score", 8))
@@ -218,12 +219,12 @@ def scalars(v: Views):
 
 
 @query("G16_G17_graph_convolution", sql("""+ e AS (SELECT user_id, item_id FROM train), d AS (SELECT user_id, 1.0::DOUBLE / (count(*) + 1) AS w FROM e GROUP BY 1), x AS (SELECT user_id, i, sum(w * embedding[i]::DOUBLE) AS s FROM e JOIN d USING (user_id) JOIN embeddings ON vec_id = item_id, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2)
-SELECT user_id, list(round(s, 5) ORDER BY i) AS vector FROM x GROUP BY 1"""))
+SELECT user_id, list(round(s, 5) + 0.0::DOUBLE ORDER BY i) AS vector FROM x GROUP BY 1"""))
 def convolution(v: Views):
     edges = v.train.select("user_id", "item_id")
     vectors = v.table("embeddings").select(F.col("vec_id").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     out = G.graph_convolution(edges.join(G.degree_vector(edges, "user_id"), "user_id"), vectors, "user_id", "item_id", F.col("weight"))
-    return out.withColumn("vector", F.transform("vector", lambda x: F.round(x, 5)))
+    return out.withColumn("vector", F.transform("vector", lambda x: F.round(x, 5) + F.lit(0.0)))
 
 
 @query("G21_best_replicates", "SELECT c_nationkey AS block, arg_min(c_custkey, (c_acctbal, c_custkey)) AS best, round(min(c_acctbal), 2) AS loss FROM customer GROUP BY 1")

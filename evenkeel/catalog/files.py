@@ -135,8 +135,9 @@ def strata_popularity(v: Views):
     return G.stratified_popularity(v.train, v.users, "gender", "age", weight="rating").select("gender", "age", "item_id", "n", F.round("share", 8).alias("share"))
 
 
-@query("G36_age_popularity", sql("""+ c AS (SELECT age, item_id, count(*) AS n FROM train JOIN users USING (user_id) GROUP BY 1, 2), s AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY age) AS share FROM c)
-SELECT t.user_id, t.item_id, round(coalesce(share, 0), 8) AS score FROM test t JOIN users u USING (user_id) LEFT JOIN s ON s.age = u.age AND s.item_id = t.item_id"""))
+@query("G36_age_popularity", sql("""+ c AS MATERIALIZED (SELECT age, item_id, count(*) AS n FROM train JOIN users USING (user_id) GROUP BY 1, 2), s AS MATERIALIZED (SELECT concat(age, ':', item_id) AS cell, n::DOUBLE / sum(n) OVER (PARTITION BY age) AS share FROM c),
+asked AS MATERIALIZED (SELECT t.user_id, t.item_id, concat(age, ':', t.item_id) AS cell FROM test t JOIN users u USING (user_id))
+SELECT user_id, item_id, round(coalesce(share, 0), 8) AS score FROM asked LEFT JOIN s USING (cell)"""))
 def age_popularity(v: Views):
     shares = G.stratified_popularity(v.train, v.users, "age")
     return G.stratified_scores(v.test.select("user_id", "item_id"), v.users, shares, "age").withColumn("score", F.round("score", 8))

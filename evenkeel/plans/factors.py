@@ -31,19 +31,20 @@ def factor_loss(ratings: DataFrame, users: DataFrame, items: DataFrame, mu: floa
     return one.select((0.5 * F.col("e") + 0.5 * penalty * (F.col("u") + F.col("i"))).alias("loss"))
 
 
-def plsa_step(events: DataFrame, user_topics: DataFrame, item_topics: DataFrame) -> tuple[DataFrame, DataFrame]:
+def plsa_step(events: DataFrame, user_topics: DataFrame, item_topics: DataFrame, parents: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """One EM step of P(user, item) = sum over z of P(z | user) P(item | z).
 
     ``events`` (user_id, item_id, n), ``user_topics`` (user_id, z, p) and ``item_topics`` (item_id, z, q);
-    returns both tables anew. Posteriors are normalised within each event by a window.
+    returns both tables anew. Posteriors are normalised within each event by a window. ``parents`` are
+    columns of events that ``item_topics`` has too, observed attributes on which items depend.
     """
-    joined = events.join(user_topics, "user_id").join(item_topics, ["item_id", "z"]).withColumn("w", F.col("p") * F.col("q"))
+    joined = events.join(user_topics, "user_id").join(item_topics, [*parents, "item_id", "z"]).withColumn("w", F.col("p") * F.col("q"))
     total = F.sum("w").over(Window.partitionBy("user_id", "item_id"))
     mass = joined.withColumn("m", F.when(total > 0, F.col("n") * F.col("w") / total).otherwise(0.0))
     by_user = mass.groupBy("user_id", "z").agg(F.sum("m").alias("m"))
     users = by_user.select("user_id", "z", F.try_divide("m", F.sum("m").over(Window.partitionBy("user_id"))).alias("p"))
-    by_item = mass.groupBy("item_id", "z").agg(F.sum("m").alias("m"))
-    items = by_item.select("item_id", "z", F.try_divide("m", F.sum("m").over(Window.partitionBy("z"))).alias("q"))
+    by_item = mass.groupBy(*parents, "item_id", "z").agg(F.sum("m").alias("m"))
+    items = by_item.select(*parents, "item_id", "z", F.try_divide("m", F.sum("m").over(Window.partitionBy(*parents, "z"))).alias("q"))
     return users, items
 
 
