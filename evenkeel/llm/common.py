@@ -71,16 +71,34 @@ def drop_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def replace_path(spark: SparkSession, source: str, target: str) -> None:
-    """Puts one folder in the place of another."""
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    files = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(b, True)
-    if not files.rename(a, b):
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder, none if there is no such folder."""
+    place, files = _place(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(place) if f.isDirectory()) if files.exists(place) else []
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder; ``target`` must not exist, its parent is made."""
+    (a, files), (b, _) = _place(spark, source), _place(spark, target)
+    files.mkdirs(b.getParent())
+    if files.exists(b) or not files.rename(a, b):
         raise OSError(f"{source} can't take the place of {target}")
 
 
+def swap_path(spark: SparkSession, source: str, target: str, aside: str) -> None:
+    """Puts one folder in the place of another, which is set aside first and removed last."""
+    drop_path(spark, aside)
+    if _place(spark, target)[1].exists(_place(spark, target)[0]):
+        move_path(spark, target, aside)
+    move_path(spark, source, target)
+    drop_path(spark, aside)
+
+
 def drop_table(df: DataFrame) -> None:
     """Removes a table that ``materialize`` wrote and that nothing reads any more."""
     for path in {os.path.dirname(f) for f in df.inputFiles()}:

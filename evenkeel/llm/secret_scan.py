@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, new_path, replace_path, text_of
+from .common import drop_path, folders, materialize, move_path, new_path, swap_path, text_of
 
 
 @dataclass(frozen=True)
@@ -50,11 +50,14 @@ RULES = (
     SecretRule("access", 1, r"AKIA[A-Z0-9]{14,}", 0, 18, ("akia",)),
     SecretRule("hex", 1, r"[0-9a-f]{16,}", 0, 16),
     SecretRule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, ("private key-----",)),
-    # The first part is bounded, so a long unbroken run isn't read to its end from each of its begins.
-    SecretRule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, ("eyj",)),
+    # A token begins where a run of its characters does and takes parts whole, so a long unbroken run
+    # is read once whatever its length is.
+    SecretRule("jwt", 3, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 0, ("eyj",)),
 )
 
 
+#: Rows of a compacted file, on average at most.
+FILE_ROWS = 1_000_000
 TABLES = {"scanned": "blob binary, rules array<string>", "findings": "blob binary, rule string, start int, `end` int"}
 
 
@@ -107,6 +110,7 @@ class BlobLedger:
             raise ValueError("prefixes have 0 to 2 digits")
         self.spark, self.rules, self.digits = spark, rules, digits
         self.path = path or new_path(spark, "blob-ledger")
+        self.recover()
         for table, columns in TABLES.items():
             spark.createDataFrame([], f"{columns}, prefix string").write.mode("append").parquet(f"{self.path}/{table}")
 
@@ -161,17 +165,32 @@ class BlobLedger:
         self._append(seen.where(F.size("rules") > 0).select("blob", "rules"), "scanned")
         return within
 
-    def compact(self, prefixes: list[str] | None = None) -> None:
+    def compact(self, prefixes: list[str] | None = None, file_rows: int = FILE_ROWS) -> None:
         """Puts the files of each prefix (all, or those named) together; repeated findings go.
 
-        The new files are written beside the old ones and then take their place.
+        All prefixes are written in one job, ``file_rows`` rows to a file at most on average, so no task takes
+        a whole prefix. The files land in a folder of their own. A prefix's old folder is renamed
+        aside before the new one takes its name, and goes when it has: a driver lost in between
+        leaves both, and ``recover``, which every ledger calls when it is opened, puts one in place.
         """
         for table in TABLES:
-            old = f"{self.path}/{table}"
-            for prefix in prefixes if prefixes is not None else [r[0] for r in self._read(table).select("prefix").distinct().collect()]:
-                place, fresh = f"{old}/prefix={prefix}", f"{self.path}/compacted/{table}-{prefix}"
-                self._read(table, [prefix]).drop("prefix").distinct().coalesce(1).write.mode("overwrite").parquet(fresh)
-                replace_path(self.spark, fresh, place)
+            rows = self._read(table, prefixes).distinct()
+            counts = rows.groupBy("prefix").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+            share = F.pmod(F.xxhash64("blob"), F.lit(-(-counts // file_rows) or 1))
+            fresh = f"{self.path}/compacted/{table}"
+            rows.repartition(F.col("prefix"), share).write.mode("overwrite").partitionBy("prefix").parquet(fresh)
+            for name in folders(self.spark, fresh):
+                swap_path(self.spark, f"{fresh}/{name}", f"{self.path}/{table}/{name}", f"{self.path}/replaced/{table}/{name}")
+
+    def recover(self) -> None:
+        """Ends what a lost driver left of ``compact``: a folder set aside comes back if none has its name, else it goes."""
+        for table in TABLES:
+            for name in folders(self.spark, f"{self.path}/replaced/{table}"):
+                aside, place = f"{self.path}/replaced/{table}/{name}", f"{self.path}/{table}/{name}"
+                if name in folders(self.spark, f"{self.path}/{table}"):
+                    drop_path(self.spark, aside)
+                else:
+                    move_path(self.spark, aside, place)
 
 
 def scan_history(docs: DataFrame, ledger: BlobLedger | None = None, path_column: str = "doc_id", text_column: str = "text", base_kinds: int = 3) -> DataFrame:
@@ -179,8 +198,8 @@ def scan_history(docs: DataFrame, ledger: BlobLedger | None = None, path_column:
 
     Returns ``path_column, n_<kind> long`` for each kind, ``base_spans`` and ``spans`` (strings of
     ``kind:start:end`` by start, then kind, joined by commas; the first with the base kinds only).
-    Null texts are empty. Each row of ``docs`` gives one row, repeated rows too; other columns are
-    not read. Empty tables give empty results.
+    Null texts are empty; very long texts are scanned whole, in time that grows with their length
+    alone. Each row of ``docs`` gives one row, repeated rows too; other columns are not read. Empty tables give empty results.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     rules = ledger.rules

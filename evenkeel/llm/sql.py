@@ -88,13 +88,27 @@ def _spans(kind: str, place: int, pattern: str, group: int, least: int) -> str:
 
 _ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
+# RE2 has no looking back: in a run of token characters and dots a token begins at the run's begin or after a dot.
+_TOKEN = r"(?:^|\.)(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
+_JWT = rf"""
+    SELECT doc_id, 'jwt' AS kind, 4 AS place, k, begun + upto - size AS start, begun + upto AS "end" FROM (
+        SELECT doc_id, k, begun, length(tokens[j]) AS size, sum(length(gaps[j]) + length(found[j])) OVER (PARTITION BY doc_id, k ORDER BY j)::BIGINT AS upto FROM (
+            SELECT *, unnest(range(1, len(found) + 1)) AS j FROM (
+                SELECT doc_id, k, begun, string_split_regex(run, '{_TOKEN}') AS gaps, regexp_extract_all(run, '{_TOKEN}') AS found, regexp_extract_all(run, '{_TOKEN}', 1) AS tokens FROM (
+                    SELECT doc_id, k, runs[k] AS run, sum(length(around[k]) + length(runs[k])) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT - length(runs[k]) AS begun
+                    FROM (SELECT *, unnest(range(1, len(runs) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9_.-]+') AS runs, string_split_regex(t, '[A-Za-z0-9_.-]+') AS around FROM texts WHERE contains(t, 'eyJ')))
+                ) WHERE contains(run, 'eyJ')
+            )
+        )
+    )"""
+
 OP9 = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({_spans("assign", 0, _ASSIGN, 2, 12)}
     UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", 0, 18)}
     UNION ALL {_spans("hex", 2, "[0-9a-f]+", 0, 16)}
     UNION ALL {_spans("pem", 3, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0)}
-    UNION ALL {_spans("jwt", 4, r"eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0)}
+    UNION ALL {_JWT}
 ), of_doc AS (
     SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
            string_agg(concat_ws(':', kind, start, "end"), ',' ORDER BY start, place) FILTER (place < 3) AS base,

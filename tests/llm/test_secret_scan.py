@@ -75,10 +75,36 @@ def test_ledger_is_read_by_prefix_and_compacted(spark):
     assert [sorted(map(str, x().distinct().collect())) for x in (ledger.scanned, ledger.findings)] == before
     n = ledger.scanned().select("blob").distinct().count()
     assert len(ledger.scanned().inputFiles()) <= 16 + 1
+    ledger.compact(file_rows=1)  # as many files as the rows ask for
+    assert [sorted(map(str, x().distinct().collect())) for x in (ledger.scanned, ledger.findings)] == before
     S.scan_history(df, ledger)
     assert ledger.scanned().count() == n
 
 
+def test_a_driver_lost_while_compacting_loses_nothing(spark):
+    from evenkeel.llm.common import folders, move_path
+
+    df, _ = table(spark)
+    ledger = S.BlobLedger(spark)
+    S.scan_history(df, ledger)
+    before = [sorted(map(str, x().collect())) for x in (ledger.scanned, ledger.findings)]
+    name = folders(spark, f"{ledger.path}/findings")[0]
+    move_path(spark, f"{ledger.path}/findings/{name}", f"{ledger.path}/replaced/findings/{name}")  # and no more
+    again = S.BlobLedger(spark, ledger.path)
+    assert [sorted(map(str, x().collect())) for x in (again.scanned, again.findings)] == before
+    assert folders(spark, f"{ledger.path}/replaced/findings") == []
+
+
+def test_tokens_of_any_length_are_found_whole(spark):
+    first, rest = "eyJ" + "aB-_9" * 1000, ".eyJzdWIiOiIx.SflKxwRJSMeK"
+    texts = [first + rest, "x" + first + rest, "x." + first + rest + "-tail.more", "eyJshort." + first + rest, first + "." + first + "." + first + "." + first, first + ".short.SflKxwRJSMeK"]
+    got = {r["doc_id"]: r["spans"] for r in S.scan_history(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    n, m = len(first), len(rest)
+    assert [s for s in (x for x in got[0].split(",") if x.startswith("jwt"))] == [f"jwt:0:{n + m}"]
+    assert "jwt" not in got[1] and f"jwt:2:{2 + n + m + 5}" in got[2] and f"jwt:9:{9 + n + m}" in got[3]
+    assert got[4] == f"jwt:0:{3 * n + 2}" and "jwt" not in got[5]
+
+
 def test_long_unbroken_runs_take_linear_time(spark):
     texts = ["eyJ" * 200_000, "eyJ-" * 100_000 + "." + "eyJ_" * 50_000, "-----BEGIN " * 50_000, "token   " * 50_000]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
