@@ -72,19 +72,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document gets its tree and three edits: words put in at its middle, a cut, and a replacement."""
+    """Every document gets its tree; one in eight is edited: words put in at its middle, a cut, and a replacement."""
     import public_tokenizers
 
     size = F.char_length(F.coalesce("text", F.lit("")))
 
-    def edit(start: str, length: int, text: str):
+    def edit(seq: int, start: str, length: int, text: str):
         at = F.expr(start).cast("int")
-        return F.struct(at.alias("start"), (at + length).alias("end"), F.lit(text).alias("text"))
+        return F.struct(F.lit(seq).alias("seq"), at.alias("start"), (at + length).alias("end"), F.lit(text).alias("text"))
 
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("size", size)
-    docs = docs.withColumn("edits", F.array(edit("size div 2", 0, " some words put in\n"), edit("size div 3", 7, ""), edit("(2 * size) div 3", 5, "  re-placed, 2 times ")))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    touched = docs.where(F.crc32(F.col("doc_id").cast("string")) % 8 == 0).select("doc_id", size.alias("size")).groupBy("doc_id").agg(F.max("size").alias("size"))
+    edits = touched.select("doc_id", F.inline(F.array(edit(1, "size div 2", 0, " some words put in\n"), edit(2, "size div 3", 7, ""), edit(3, "(2 * size) div 3", 5, "  re-placed, 2 times "))))
     ranks = bpe.read_spec(spark, tokenizer_path("byte_bpe_50k.tiktoken"))
-    return token_counts.count_with_edits(docs, ranks, public_tokenizers.PATTERN).drop("edited_text")
+    return token_counts.count_with_edit_table(docs, edits, ranks, public_tokenizers.PATTERN).drop("edited_text")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,10 +24,12 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns, ship, text_of
+from .common import materialize, own_columns, ship, text_of
 
 LEAF_CHARS = 256
 CACHE_WORDS = 300_000
+#: Documents with edits up to which these are sent to the tasks.
+MOST_EDITED = 100_000
 LEAVES = "array<struct<chars:int,tokens:int>>"
 
 
@@ -187,10 +189,13 @@ def _counter(ranks: str, pattern: str) -> PieceCounter:
 def join_edits(docs: DataFrame, edits: DataFrame, id_column: str = "doc_id", order_column: str = "seq") -> DataFrame:
     """Adds ``edits`` to ``docs`` from a table (id, order, start, end, text) with a row for each edit.
 
-    Edits without an id, or of unknown documents, are left out; documents without edits get null.
+    Edits without an id, or of unknown documents, are left out; documents without edits get null. The
+    documents stay where they are if ``MOST_EDITED`` documents at most have edits; else both sides move.
     """
     rows = edits.select(F.col(id_column).alias("_edit_id"), F.struct(F.col(order_column).alias("seq"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text").alias("e"))
     own = rows.groupBy("_edit_id").agg(F.transform(F.sort_array(F.collect_list("e")), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["text"].alias("text"))).alias("edits"))
+    own = materialize(own, "edits-by-document")
+    own = F.broadcast(own) if own.count() <= MOST_EDITED else own
     return docs.drop("edits").join(own, F.col(id_column) == F.col("_edit_id"), "left").drop("_edit_id")
 
 
@@ -276,3 +281,15 @@ def count_with_edits(docs: DataFrame, ranks: str, pattern: str, id_column: str =
     whole = docs.select(F.col(id_column), F.col(text_column), F.col(edits_column), F.lit(None).cast(LEAVES).alias("tree"))
     edited = apply_edits(whole, ranks, pattern, text_column, "tree", edits_column)
     return edited.select(id_column, F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_edits", "chars_encoded_again", text_of(text_column).alias("edited_text"))
+
+
+def count_with_edit_table(docs: DataFrame, edits: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Builds and keeps the trees of whole texts, then applies a table of edits to the kept trees.
+
+    ``edits`` is as in ``join_edits``. Returns ``id_column, n_tokens, n_tokens_edited, n_edits,
+    chars_encoded_again`` (long) and ``edited_text``. The trees are written once, with their texts; documents
+    without edits are counted from their kept trees alone.
+    """
+    kept = materialize(build_trees(docs.select(F.col(id_column), F.col(text_column)), ranks, pattern, text_column).drop("n_tokens"), "token-trees")
+    edited = apply_edits(join_edits(kept, edits, id_column), ranks, pattern, text_column)
+    return edited.select(id_column, F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_edits", "chars_encoded_again", text_of(text_column).alias("edited_text"))

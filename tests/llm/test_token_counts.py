@@ -50,6 +50,28 @@ def test_query_columns(spark, docs, doc_rows, clashing, empty, ranks):
     assert C.count_with_edits(C.join_edits(empty, edits), ranks, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_edit_table_against_a_new_count(spark, clashing, doc_rows, empty, ranks, monkeypatch, most):
+    """One document in eight is edited; the others come from their kept trees."""
+    monkeypatch.setattr(C, "MOST_EDITED", most)
+    edits = spark.createDataFrame([(i, s, 3 * s, 3 * s + 2, "put in ") for i in range(0, 60, 8) for s in (1, 2)] + [(205, 1, 500, 503, None), (None, 1, 0, 1, "x"), (9999, 1, 0, 1, "x")], "doc_id long, seq int, start int, end int, text string")
+    counter = C.PieceCounter(ranks, P.PATTERN)
+    count = lambda t: len(counter.coder.encode_ordinary(t))
+    texts = {r[0]: r[1] or "" for r in doc_rows}
+    out = C.count_with_edit_table(clashing, edits, ranks, P.PATTERN).collect()
+    assert len(out) == len(doc_rows)
+    for r in out:
+        want = texts[r["doc_id"]]
+        if r["doc_id"] == 205:
+            want = want[:500] + want[503:]
+        elif r["doc_id"] in range(0, 60, 8):
+            for s in (1, 2):
+                want = want[: 3 * s] + "put in " + want[3 * s + 2 :]
+        assert r["edited_text"] == want and r["n_tokens"] == count(texts[r["doc_id"]]) and r["n_tokens_edited"] == count(want)
+        assert r["n_edits"] or r["chars_encoded_again"] == 0
+    assert C.count_with_edit_table(empty, edits, ranks, P.PATTERN).count() == 0
+
+
 def test_kept_trees_are_edited_without_encoding_the_rest(spark, docs, clashing, doc_rows, ranks, tmp_path):
     """Trees go through a table; a second batch of edits encodes what it touches and no more."""
     counter = C.PieceCounter(ranks, P.PATTERN)
