@@ -201,3 +201,82 @@ def fold_report(v: Views):
     own = (F.col("user_id") * 7919 + F.col("item_id") * 104729) % 1000003 % 5
     report = O.fold_report(rows.withColumn("fold", own), 5)
     return report.select("fold", "adjustment", "n", r6("rmse"), r6("mae"), r6("difference"))
+
+
+# Neighbours of users, features one by one, sentences, inference
+
+_USERS = """+ r AS MATERIALIZED (SELECT user_id, item_id, rating FROM train), norms AS MATERIALIZED (SELECT user_id, sqrt(sum(rating * rating)) AS norm, avg(rating) AS mean FROM r GROUP BY 1),
+unit AS MATERIALIZED (SELECT r.user_id, item_id, rating / norm AS w FROM r JOIN norms USING (user_id)),
+sim AS MATERIALIZED (SELECT a.user_id, b.user_id AS other_id, round(sum(a.w * b.w), 6) AS similarity FROM unit a JOIN unit b ON a.item_id = b.item_id AND a.user_id <> b.user_id GROUP BY 1, 2),
+near AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, other_id)::INT AS rank FROM sim) WHERE rank <= 30)"""
+
+
+@query("G23_user_neighbours", sql(_USERS + " SELECT user_id, other_id, similarity, rank FROM near"))
+def user_neighbours(v: Views):
+    return G.user_neighbours(v.train, 30)
+
+
+@query("G23_user_knn_scores", sql(_USERS + """, off AS MATERIALIZED (SELECT user_id AS other_id, item_id, rating - mean AS off FROM r JOIN norms USING (user_id))
+SELECT t.user_id, t.item_id, round(any_value(m.mean) + sum(similarity * o.off) / sum(abs(similarity)), 4) AS score FROM test t JOIN near n ON n.user_id = t.user_id JOIN off o ON o.other_id = n.other_id AND o.item_id = t.item_id JOIN norms m ON m.user_id = t.user_id GROUP BY 1, 2"""))
+def user_knn_scores(v: Views):
+    train = v.train
+    return G.user_knn_scores(train, v.test.select("user_id", "item_id"), G.user_neighbours(train, 30)).withColumn("score", F.round("score", 4))
+
+
+@query("G23_feature_step", sql("""+ r AS MATERIALIZED (SELECT user_id, item_id, rating FROM train), m AS (SELECT avg(rating) AS mu FROM r), bi AS (SELECT item_id, avg(rating - mu) AS bi FROM r, m GROUP BY 1), bu AS (SELECT user_id, avg(rating - mu) AS bu FROM r, m GROUP BY 1),
+e AS MATERIALIZED (SELECT user_id, item_id, rating - round(mu + bi + bu, 6) AS e, 0.1 + (user_id * 7919) % 1009 / 1009.0::DOUBLE AS x FROM r JOIN bi USING (item_id) JOIN bu USING (user_id), m),
+q AS MATERIALIZED (SELECT item_id, sum(e * x) / (sum(x * x) + 0.5) AS q FROM e GROUP BY 1)
+SELECT user_id, round(sum(e * q) / (sum(q * q) + 0.5), 6) AS x FROM e JOIN q USING (item_id) GROUP BY 1"""))
+def feature_step(v: Views):
+    """The first feature of the users after one turn: items from the users' start, users from the items."""
+    users, _, _ = G.fit_features(v.train, 1, 0.5, rounds=1)
+    return users.select("user_id", r6(F.get("values", F.lit(0)), "x"))
+
+
+_DRAW = "((({s} * 7919 + {a} * 104729 + {b} * 1299709 + {c} * 15485863) % 1000003) * 48271) % 1000003"
+
+
+def _draw(a, b, c) -> str:
+    return _DRAW.format(s="o_orderkey", a=a, b=b, c=c)
+
+
+@query("G30_G33_made_sentences", f"""WITH s AS (SELECT o_orderkey, list_transform(range(0, 1 + {_draw(70, 70, 4)} % 3), lambda c: list_transform(range(0, 1 + {_draw("c", 50, 3)} % 3),
+    lambda j: CASE WHEN {_draw("c", "j", 2)} % 2 = 0 THEN {_draw("c", "j", 1)} % 20 ELSE -({_draw("c", "j", 1)} % 20) - 1 END)) AS clauses FROM orders)
+SELECT o_orderkey AS sentence_id, array_to_string(list_transform(clauses, lambda c: array_to_string(list_transform(c, lambda x: CASE WHEN x < 0 THEN '~' || (-x - 1)::VARCHAR ELSE x::VARCHAR END), '^')), 'v') AS sentence,
+       len(list_filter(clauses, lambda c: len(list_filter(c, lambda x: (CASE WHEN x < 0 THEN -x - 1 ELSE x END * 7 % 3 = 0) = (x < 0))) = 0)) > 0 AS truth FROM s""")
+def made_sentences(v: Views):
+    """A sentence for each order, true or not where the variables v with 7 v % 3 = 0 hold."""
+    from evenkeel.plans import sentences as S
+
+    rows = S.made_sentences(v.table("orders").select(F.col("o_orderkey").alias("sentence_id")), "sentence_id")
+    true = F.filter(F.sequence(F.lit(0), F.lit(19)), lambda x: x * 7 % 3 == 0)
+    return rows.select("sentence_id", S.sentence_text(F.col("clauses")).alias("sentence"), S.holds(F.col("clauses"), true).alias("truth"))
+
+
+def _vectors(v: Views):
+    return v.table("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), (F.col("label") % 2).cast("int").alias("y"))
+
+
+@query("M36_trained_inference")
+def trained_inference(v: Views):
+    """How well a classifier of whole embeddings tells the attribute of rows that it wasn't trained on; tests compare it with NumPy."""
+    from evenkeel.plans import inference as I
+    from evenkeel.plans import ranking as R
+
+    rows = _vectors(v)
+    held = F.pmod(F.col("vec_id"), F.lit(4)) == 2
+    scored = I.inferred(rows.where(held), I.fit_classifier(rows.where(~held)))
+    return R.auc(scored, "s", "y").select(r6(F.greatest(F.col("auc"), 1 - F.col("auc")), "auc"))
+
+
+@query("M36_inference_gradient", """WITH e AS (SELECT (label % 2) - 0.5::DOUBLE AS off, unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS place FROM embeddings WHERE vec_id % 4 <> 2)
+SELECT place::INT AS place, round(sum(off * x), 5) AS slope FROM e GROUP BY 1 UNION ALL SELECT 0, round(sum((label % 2) - 0.5::DOUBLE), 5) FROM embeddings WHERE vec_id % 4 <> 2""")
+def inference_gradient(v: Views):
+    """The slope of the log-likelihood at zero, by weight."""
+    import numpy as np
+
+    from evenkeel.plans import inference as I
+
+    rows = _vectors(v).where(F.pmod(F.col("vec_id"), F.lit(4)) != 2)
+    slopes = I._sums(rows, np.zeros(65))[:65]
+    return v.spark.createDataFrame([(i, float(s)) for i, s in enumerate(slopes)], "place int, slope double").withColumn("slope", F.round("slope", 5))

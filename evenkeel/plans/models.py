@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evenkeel.functions.scalars import dot, safe_sigmoid  # noqa: F401
-from evenkeel.operators.numbering import numbered
+from evenkeel.operators.numbering import kept, numbered
 from evenkeel.operators.prepare import profile_pairs
 
 
@@ -130,3 +130,47 @@ def als_step(ratings: DataFrame, fixed: DataFrame, solve_for: str, given: str, r
 
     solved.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return sums.select(solve_for, F.pandas_udf(solved, "array<double>")("sums").alias("vector"))
+
+
+def user_neighbours(train: DataFrame, k: int) -> DataFrame:
+    """The ``k`` users most similar by cosine of their rating vectors: (user_id, other_id, similarity, rank).
+
+    Items that many users rated are cut into blocks like the profiles of ``item_neighbours``.
+    """
+    turned = train.select(F.col("item_id").alias("user_id"), F.col("user_id").alias("item_id"), "rating")
+    return item_neighbours(turned, k).withColumnRenamed("item_id", "user_id")
+
+
+def user_knn_scores(train: DataFrame, pairs: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """Scores of pairs: the user's mean and the similarity-weighted mean of how far neighbours rated the item off their own means."""
+    means = train.groupBy("user_id").agg(F.avg("rating").alias("mean"))
+    off = train.join(means, "user_id").select(F.col("user_id").alias("other_id"), "item_id", (F.col("rating") - F.col("mean")).alias("off"))
+    rows = pairs.join(neighbours, "user_id").join(off, ["other_id", "item_id"]).groupBy("user_id", "item_id")
+    moved = rows.agg((F.sum(F.col("similarity") * F.col("off")) / F.sum(F.abs("similarity"))).alias("moved"))
+    return moved.join(means, "user_id").select("user_id", "item_id", (F.col("mean") + F.col("moved")).alias("score"))
+
+
+def feature_step(errors: DataFrame, fixed: DataFrame, solve_for: str, given: str, penalty: float) -> DataFrame:
+    """One feature's values (solve_for, x) from the others' (given, x) and ``errors`` (user_id, item_id, e), by ridge regression."""
+    rows = errors.join(fixed.withColumnRenamed("x", "_x"), given)
+    return rows.groupBy(solve_for).agg((F.sum(F.col("e") * F.col("_x")) / (F.sum(F.col("_x") * F.col("_x")) + penalty)).alias("x"))
+
+
+def fit_features(train: DataFrame, features: int, penalty: float, rounds: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features one after the other, each on the errors that the ones before leave: users and items (id, values), and the errors.
+
+    The errors begin as those of the bias model. A feature's users and items are solved in turn ``rounds``
+    times; then it stays, and its products come off the errors, which are written for the next.
+    """
+    scores = bias_scores(train, train.select("user_id", "item_id"))
+    errors = kept(train.join(scores, ["user_id", "item_id"]).select("user_id", "item_id", (F.col("rating") - F.col("score")).alias("e")))
+    nothing = F.array().cast("array<double>")
+    users, items = (errors.select(c).distinct().withColumn("values", nothing) for c in ("user_id", "item_id"))
+    for f in range(features):
+        own = errors.select("user_id").distinct().select("user_id", (0.1 + F.pmod(F.col("user_id") * 7919 + f * 104729, F.lit(1009)) / 1009.0).alias("x"))
+        for _ in range(rounds):
+            theirs = kept(feature_step(errors, own, "item_id", "user_id", penalty))
+            own = kept(feature_step(errors, theirs, "user_id", "item_id", penalty))
+        errors = kept(errors.join(own, "user_id").join(theirs.withColumnRenamed("x", "_x"), "item_id").select("user_id", "item_id", (F.col("e") - F.col("x") * F.col("_x")).alias("e")))
+        users, items = (kept(t.join(x, c).select(c, F.concat("values", F.array("x")).alias("values"))) for t, x, c in ((users, own, "user_id"), (items, theirs, "item_id")))
+    return users, items, errors
