@@ -243,8 +243,8 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     set take part once.
 
     A block first compares its sets with two hubs: the one that is in the largest blocks, which is
-    the least edited of many near copies, and the first. Pairs are then made only between
-    different components, and the join that makes them lets pass those alone that are near enough.
+    the least edited of many near copies, and the first. Of the others, pairs are made that are in
+    different components and can be similar at all by what each shares with the hub (``_further_pairs``).
 
     A-Z is lower-cased. Shorter texts are one shingle; null, empty and blank texts are one group; very
     long texts are read whole, in steps of bounded memory. Rows without an id take part like others;
@@ -266,19 +266,17 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         pairs = pairs.join(prints.toDF(f"key_{x}", f"prints_{x}", f"n_{x}"), f"key_{x}")
     judged = _judged(pairs.where(_near()), "similar-to-hubs")
     first = materialize(connected_components(_edges(judged.where("sure"))), "first-components")
-    # Then pairs of a block in different components, one of the two outside the hub's component.
-    rooted = prints.join(first.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    # Then pairs of a hub's blocks in different components, one of the two outside the hub's.
+    rooted = first.withColumnRenamed("node", "set_key")
     hub_roots = buckets.select(F.col("hub").alias("node")).distinct().join(first, "node", "left").select(F.col("node").alias("hub"), F.coalesce("root", "node").alias("hub_root"))
-    placed = buckets.select("bucket", "set_key", "hub").join(hub_roots, "hub").join(first.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    placed = buckets.select("bucket", "set_key", "hub").join(hub_roots, "hub").join(rooted, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     mixed = placed.where("root <> hub_root").select("bucket").distinct()
-    placed = materialize(placed.join(mixed, "bucket", "left_semi").select("bucket", "set_key", "hub_root").join(rooted, "set_key"), "mixed-buckets")
-    left = placed.where("root <> hub_root").select(F.col("bucket").alias("bucket_a"), *[F.col(c).alias(f"{c}_a") for c in ("set_key", "prints", "n", "root")])
-    right = placed.select(F.col("bucket").alias("bucket_b"), *[F.col(c).alias(f"{c}_b") for c in ("set_key", "prints", "n", "root")])
-    near = left.join(right, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("root_a") != F.col("root_b")) & _near())
-    near = near.select(F.least("set_key_a", "set_key_b").alias("key_a"), F.greatest("set_key_a", "set_key_b").alias("key_b"), F.when(F.col("set_key_a") < F.col("set_key_b"), F.struct("prints_a", "n_a", "prints_b", "n_b")).otherwise(F.struct(F.col("prints_b").alias("prints_a"), F.col("n_b").alias("n_a"), F.col("prints_a").alias("prints_b"), F.col("n_a").alias("n_b"))).alias("x"))
-    second = _judged(near.select("key_a", "key_b", "x.*").dropDuplicates(["key_a", "key_b"]), "similar-sets")
+    groups = materialize(placed.join(mixed, "bucket", "left_semi").select("hub", "set_key", "root", "hub_root").distinct(), "mixed-groups")
     drop_table(buckets)
-    drop_table(placed)
+    near = materialize(_further_pairs(docs, rows, groups, id_column, text_column), "further-pairs")
+    for x in "ab":
+        near = near.join(prints.toDF(f"key_{x}", f"prints_{x}", f"n_{x}"), f"key_{x}")
+    second = _judged(near.where(_near()), "similar-sets")
     sure = connected_components(_edges(judged.where("sure").union(second.where("sure"))))
     # Pairs near the edge that sure links don't join are counted exactly.
     open_pairs = judged.union(second).where("NOT sure")
@@ -340,18 +338,58 @@ def _shingle_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(sets, dtype="object")
 
 
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The ``pairs`` (key_a, key_b, ...) whose sets have a Jaccard similarity of ``SIMILARITY`` at least.
-
-    Only texts of these pairs are read again, one for each set.
-    """
+def _members(docs: DataFrame, rows: DataFrame, keys: DataFrame, id_column: str, text_column: str, name: str) -> DataFrame:
+    """(key, members) of the sets ``keys`` (set_key): their texts are read again, one for each set."""
     c = own_columns(docs, "order", "digest", "key")
-    keys = pairs.select(F.col("key_a").alias("set_key")).union(pairs.select("key_b")).distinct()
     chosen = rows.join(keys, "set_key", "left_semi").groupBy("set_key").agg(F.min(F.struct(id_order(id_column).alias("order"), "row_digest")).alias("row"))
     chosen = chosen.select(F.col("row.order").alias(c["order"]), F.col("row.row_digest").alias(c["digest"]), F.col("set_key").alias(c["key"]))
     marked = docs.select(id_order(id_column).alias(c["order"]), row_key(id_column, text_of(text_column)).alias(c["digest"]), text_of(text_column).alias("text"))
     texts = marked.join(chosen, [c["order"], c["digest"]]).dropDuplicates([c["key"]])
-    sets = materialize(texts.select(F.col(c["key"]).alias("key"), F.pandas_udf(_shingle_sets, "array<long>")("text").alias("members")), "compared-sets")
+    return materialize(texts.select(F.col(c["key"]).alias("key"), F.pandas_udf(_shingle_sets, "array<long>")("text").alias("members")), name)
+
+
+def _further_pairs(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The pairs (key_a, key_b) of a group that may be similar and that the hub doesn't join.
+
+    ``groups`` are (hub, set_key, root, hub_root): the sets that share a block with a hub, and the components so far.
+    A set has ``inside`` shingles in common with its hub, and others outside it. Similar sets of n and
+    m shingles share s (n + m) / (1 + s). Either both have as many inside the hub, which a set that is not
+    similar to it can only have with a smaller set; or they share one outside it, and by the prefix
+    rule one of the first of these. So near copies of one text, that differ from it in places of
+    their own, make no pairs, however many they are.
+    """
+    keys = groups.select("set_key").union(groups.select("hub")).distinct()
+    members = _members(docs, rows, keys, id_column, text_column, "group-sets")
+    joined = groups.join(members.toDF("set_key", "own"), "set_key").join(members.toDF("hub", "theirs"), "hub")
+    outside = F.array_sort(F.array_except("own", "theirs"))
+    held = joined.select("hub", "set_key", "root", "hub_root", F.size("own").alias("n"), outside.alias("outside")).withColumn("inside", F.col("n") - F.size("outside"))
+    need = F.greatest(F.lit(1), F.ceil(SIMILARITY * F.col("n") - F.col("inside") - 1e-9))
+    held = materialize(held.withColumn("outside", F.slice("outside", 1, F.greatest(F.lit(0), F.size("outside") - need + 1).cast("int"))), "group-shares")
+    ratio = SIMILARITY / (1 + SIMILARITY)
+    out = F.col("root") != F.col("hub_root")
+
+    def side(x: str, *more: Column) -> list[Column]:
+        return [*[F.col(c).alias(f"{c}_{x}") for c in ("set_key", "root", "n", "inside")], *more]
+
+    fits = (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b") - 1e-9)
+    # Both inside the hub: a set outside its component meets the sizes for which it has enough, then the sets of these.
+    sizes = held.select("hub", F.col("n").alias("n_b")).distinct()
+    asked = held.where(out).select("hub", *side("a")).join(sizes, "hub").where((F.col("inside_a") + 1e-9 >= ratio * (F.col("n_a") + F.col("n_b"))) & (F.col("n_b") >= SIMILARITY * F.col("n_a") - 1e-9))
+    right = held.select(F.col("hub").alias("hub_b"), F.col("n").alias("size_b"), *side("b")).drop("n_b")
+    plain = asked.join(right, (F.col("hub") == F.col("hub_b")) & (F.col("n_b") == F.col("size_b")) & (F.col("inside_b") + 1e-9 >= ratio * (F.col("n_a") + F.col("n_b"))) & fits)
+    # One outside it in common.
+    pieces = held.where(F.size("outside") > 0)
+    left = pieces.where(out).select("hub", *side("a", F.explode("outside").alias("piece")))
+    other = pieces.select(F.col("hub").alias("hub_b"), *side("b", F.explode("outside").alias("piece_b")))
+    shared = left.join(other, (F.col("hub") == F.col("hub_b")) & (F.col("piece") == F.col("piece_b")) & fits)
+    ordered = [F.least("set_key_a", "set_key_b").alias("key_a"), F.greatest("set_key_a", "set_key_b").alias("key_b")]
+    return plain.select(*ordered).union(shared.select(*ordered)).distinct()
+
+
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The ``pairs`` (key_a, key_b, ...) whose sets have a Jaccard similarity of ``SIMILARITY`` at least."""
+    keys = pairs.select(F.col("key_a").alias("set_key")).union(pairs.select("key_b")).distinct()
+    sets = _members(docs, rows, keys, id_column, text_column, "compared-sets")
     for x in "ab":
         pairs = pairs.join(sets.select(F.col("key").alias(f"key_{x}"), F.col("members").alias(f"members_{x}")), f"key_{x}")
     both = F.size(F.array_intersect("members_a", "members_b"))
