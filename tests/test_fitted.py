@@ -106,9 +106,9 @@ def unpacked(table, n, k):
 
 
 def test_conjugate_gradients_end_where_numpy_finds_no_slope(rows, ratings):
-    k, penalty = 2, 0.8
-    fit = M.fit_factors(ratings, k, penalty, rounds=14, tolerance=1e-2)
-    assert all(b <= a + 1e-9 for a, b in zip(fit.losses, fit.losses[1:])) and fit.slopes[-1] < 0.1 * fit.slopes[0]
+    k, penalty = 1, 8.0
+    fit = M.fit_factors(ratings, k, penalty, rounds=6, tolerance=1e-4)
+    assert all(b <= a + 1e-9 for a, b in zip(fit.losses, fit.losses[1:])) and fit.slopes[-1] < 0.02 * fit.slopes[0]
     u, i = unpacked(fit.factors.users, 14, k), unpacked(fit.factors.items, 10, k)
 
     def loss(mu, u, i):
@@ -185,3 +185,70 @@ def test_folds_are_those_fitted_one_by_one(spark, rows):
             out = [(score(r) + move(r), r) for r in held]
             assert abs(got[f, name]["rmse"] - mean((s - r[2]) ** 2 for s, r in out) ** 0.5) < 1e-9 and got[f, name]["n"] == len(held)
             assert abs(got[f, name]["difference"] - (mean(s for s, r in out if r[3]) - mean(s for s, r in out if not r[3]))) < 1e-9
+
+
+def test_user_neighbours_and_scores(rows, ratings):
+    from evenkeel.plans import models as G
+
+    r = np.zeros((14, 10))
+    for u, i, x in rows:
+        r[u, i] = x
+    unit = r / np.linalg.norm(r, axis=1)[:, None]
+    near = G.user_neighbours(ratings, 3)
+    got = {}
+    for x in near.collect():
+        got.setdefault(x["user_id"], {})[x["other_id"]] = x["similarity"]
+    mean = {u: r[u][r[u] > 0].mean() for u in range(14)}
+    for u in range(14):
+        best = sorted(((-round(unit[u] @ unit[v], 6), v) for v in range(14) if v != u and unit[u] @ unit[v] > 0))[:3]
+        assert {v: -s for s, v in best} == pytest.approx(got[u])
+    for x in G.user_knn_scores(ratings, ratings.select("user_id", "item_id"), near).collect():
+        own = {v: s for v, s in got[x["user_id"]].items() if r[v, x["item_id"]] > 0}
+        want = mean[x["user_id"]] + sum(s * (r[v, x["item_id"]] - mean[v]) for v, s in own.items()) / sum(own.values())
+        assert abs(x["score"] - want) < 1e-9
+
+
+def test_features_each_take_error_away(ratings, rows):
+    from evenkeel.plans import models as G
+
+    users, items, errors = G.fit_features(ratings, 2, 0.3, rounds=2)
+    p, q = ({x[0]: np.array(x["values"]) for x in t.collect()} for t in (users, items))
+    biased = {(x["user_id"], x["item_id"]): x["score"] for x in G.bias_scores(ratings, ratings.select("user_id", "item_id")).collect()}
+    left = {(x["user_id"], x["item_id"]): x["e"] for x in errors.collect()}
+    for u, i, x in rows:
+        assert abs(x - biased[u, i] - p[u] @ q[i] - left[u, i]) < 1e-9
+    square = lambda e: sum(x * x for x in e)
+    one = [x - biased[u, i] - p[u][0] * q[i][0] for u, i, x in rows]
+    assert square(left.values()) < square(one) < square(x - biased[u, i] for u, i, x in rows)
+
+
+def test_classifier_is_where_numpy_finds_no_slope(spark):
+    from evenkeel.plans import inference as I
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    y = (x @ [1.0, -2.0, 0.0, 0.5] + 0.3 + rng.normal(size=300) > 0).astype(int)
+    rows = [(a.tolist(), int(b)) for a, b in zip(x, y)] + [(None, 1), (x[0].tolist(), None)]
+    w = np.array(I.fit_classifier(spark.createDataFrame(rows, "x array<double>, y int").repartition(3), ridge=0.7))
+    whole = np.column_stack([np.ones(300), x])
+    p = 1 / (1 + np.exp(-whole @ w))
+    assert np.allclose(whole.T @ (p - y) + 0.7 * np.array([0, *w[1:]]), 0, atol=1e-6)
+    got = I.inferred(spark.createDataFrame(rows[:300], "x array<double>, y int"), w.tolist()).collect()
+    assert np.allclose(sorted(r["s"] for r in got), sorted(whole @ w))
+    assert I.fit_classifier(spark.createDataFrame([], "x array<double>, y int")) == [0.0]
+
+
+def test_sentences_hold_where_some_clause_does(spark):
+    from pyspark.sql import functions as F
+
+    from evenkeel.plans import sentences as S
+
+    made = S.made_sentences(spark.range(-5, 300), "id", variables=6, most_clauses=4, most_literals=2)
+    true = {1, 4}
+    out = made.select("clauses", S.sentence_text(F.col("clauses")).alias("text"), S.holds(F.col("clauses"), F.array(*map(F.lit, sorted(true)))).alias("truth")).collect()
+    assert {len(r["clauses"]) for r in out} == {1, 2, 3, 4} and {len(c) for r in out for c in r["clauses"]} == {1, 2}
+    for r in out:
+        read = [[(x.lstrip("~"), x.startswith("~")) for x in c.split("^")] for c in r["text"].split("v")]
+        assert [[-int(v) - 1 if no else int(v) for v, no in c] for c in read] == r["clauses"]
+        assert r["truth"] == any(all((int(v) in true) != no for v, no in c) for c in read)
+    assert {r["truth"] for r in out} == {True, False}
