@@ -20,7 +20,7 @@ def _scored(v: Views):
 
 
 def _truth(v: Views):
-    return _scored(v).where("rating is not null")
+    return v.test_scores.join(v.users, "user_id").join(v.test.select("user_id", "item_id", "rating"), ["user_id", "item_id"])
 
 
 @query("F1_demographic_parity", sql("SELECT round(abs(avg(n_top) FILTER (sensitive) / count(*) FILTER (sensitive) - avg(n_top) FILTER (NOT sensitive) / count(*) FILTER (NOT sensitive)), 6) AS value FROM counts JOIN users USING (user_id) WHERE k = 10", RANKED))

@@ -90,7 +90,7 @@ _ERR = """SELECT user_id, round(coalesce(rmse, 0), 9) AS rmse, round(coalesce(ma
 def errors(v: Views):
     from evenkeel.plans.fairness import user_errors
 
-    return user_errors(v.test, v.predictions, v.users).select("user_id", F.round("rmse", 9).alias("rmse"), F.round("mae", 9).alias("mae"))
+    return user_errors(v.test, v.test_scores, v.users).select("user_id", F.round("rmse", 9).alias("rmse"), F.round("mae", 9).alias("mae"))
 
 
 _POP = "+ pop AS (SELECT item_id, count(*) AS n FROM train GROUP BY 1), top AS (SELECT user_id, coalesce(n, 0) AS n FROM ranked LEFT JOIN pop USING (item_id) WHERE rank <= 10)"
@@ -139,7 +139,7 @@ def best_metric(v: Views):
 
 @query("M26_error_moments", sql("SELECT round(avg(abs(score - rating)), 6) AS mae, round(stddev_pop(abs(score - rating)), 6) AS mae_sd, round(sqrt(avg(pow(score - rating, 2))), 6) AS rmse, round(avg(pow(score - rating, 2)), 6) AS mse, round(stddev_pop(pow(score - rating, 2)), 6) AS mse_sd FROM truth", SCORED))
 def error_moments(v: Views):
-    rows = v.predictions.join(v.test, ["user_id", "item_id"])
+    rows = v.test_scores.join(v.test, ["user_id", "item_id"])
     e = F.col("score") - F.col("rating")
     return rows.agg(r6(F.avg(F.abs(e)), "mae"), r6(F.stddev_pop(F.abs(e)), "mae_sd"), r6(F.sqrt(F.avg(e * e)), "rmse"), r6(F.avg(e * e), "mse"), r6(F.stddev_pop(e * e), "mse_sd"))
 

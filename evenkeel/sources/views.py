@@ -76,6 +76,14 @@ class Views:
         wanted = fresh.union(parts.where((F.col("part") == "test") & (both != 0)).select("user_id", "item_id"))
         return bias_scores(train, wanted)
 
+    @property
+    def test_scores(self) -> DataFrame:
+        """Bias-model scores of the test items alone: the rows of ``predictions`` that have a truth, without its candidates."""
+        from evenkeel.plans.models import bias_scores
+
+        parts = self.parts
+        return bias_scores(parts.where("part = 'train'"), parts.where("part = 'test'").select("user_id", "item_id"))
+
     def candidates(self, users: DataFrame, items: DataFrame) -> DataFrame:
         """The pairs with (user_id * 7919 + item_id * 104729) % 1000003 % 20 = 0, without a product.
 
