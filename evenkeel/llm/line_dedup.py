@@ -142,7 +142,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     brings in very many lines, larger batches read less. With ``runs`` of earlier calls, their lines
     count as seen, and the new ones are kept in them; else the runs are dropped at the end.
 
-    Null or empty texts are one empty line. Rows of one id are one document, and equal rows are
+    Null or empty texts are one empty line; of very long texts one row holds the array of all lines
+    meanwhile. Rows of one id are one document, and equal rows are
     treated alike. Rows without an id count as one document after all others. Empty tables give
     empty results.
     """

@@ -76,7 +76,8 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     their number follows from the rows of the largest source unless it is given. A prefix sum is the sum of the ranges before (one row for each source and range) and
     the running sum within the range, so a source with most of the rows is spread over its ranges.
 
-    The null source is a source of its own, after the others. Empty texts have size 0 and are taken
+    The null source is a source of its own, after the others. Very long texts are counted whole without
+    an array of their words. Empty texts have size 0 and are taken
     0 words. Equal keys (repeated ids) are ordered by size. Empty tables give empty results.
     """
     if bits is None:

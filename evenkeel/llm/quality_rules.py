@@ -177,7 +177,8 @@ def judge_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
 
     ``kept`` is false if the base rules fail (under 50 words, or over half of the words in repeated
     windows); else the learned decision list decides. Without labels of both kinds nothing more is
-    rejected. Null and empty texts fail the base rules. Repeated rows are judged alike; columns of
+    rejected. Null and empty texts fail the base rules. Very
+    long texts are judged whole: one row holds the arrays of their words and lines meanwhile. Repeated rows are judged alike; columns of
     the same names are replaced; empty tables give empty results.
     """
     rules = learn_decision_list(labelled_statistics(docs, labels, id_column, text_column, label_column, max_labelled))

@@ -180,6 +180,7 @@ def score_documents(docs: DataFrame, model: SentenceModel, id_column: str = "doc
     """Scores whole texts: ``id_column, score double, offending array<struct<start, end, score>>``.
 
     Places are code points of the text, end exclusive. Null and empty texts are one empty sentence.
+    Very long texts are scored whole, sentence by sentence.
     The model, a few thousand words at most, is broadcast. Repeated rows stay; other columns are
     neither read nor returned; empty tables give empty results.
     """
