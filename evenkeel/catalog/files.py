@@ -152,3 +152,32 @@ def normal_information(v: Views):
     groups = rows.groupBy("sensitive").agg(F.count("*").alias("ng"), F.var_pop("score").alias("vg"))
     joined = groups.join(F.broadcast(total), F.lit(True))
     return joined.agg(r6(0.5 * F.log(F.max("var")) - F.sum(0.5 * F.col("ng") / F.col("n") * F.log("vg")), "information"))
+
+
+@query("S8_named_datasets", sql("""SELECT 'movielens' AS name, user_id::VARCHAR AS user_id, item_id::VARCHAR AS item_id, rating AS value FROM interactions
+UNION ALL SELECT 'plays_360k', user_id::VARCHAR, item_id::VARCHAR, rating FROM interactions WHERE rating > 2"""))
+def named_datasets(v: Views):
+    """Two data sets in their own file formats, read by name into the declared columns."""
+    folder, rows = D.scratch(v.spark, "named"), v.interactions
+    rows.select(F.concat_ws("::", "user_id", "item_id", "rating", F.unix_timestamp("ts"))).write.text(f"{folder}/ratings.dat")
+    plays = F.when(F.col("rating") > 2, F.col("rating")).otherwise(0).cast("long")
+    rows.select("user_id", "item_id", F.lit("name"), plays).write.csv(f"{folder}/plays.tsv", sep="\t")
+    a = readers.read_named(v.spark, "movielens", "ratings", folder).select(F.lit("movielens").alias("name"), "user_id", F.col("movie_id").alias("item_id"), F.col("user_rating").cast("double").alias("value"))
+    b = readers.read_named(v.spark, "plays_360k", "plays", folder).select(F.lit("plays_360k").alias("name"), "user_id", F.col("artist_id").alias("item_id"), F.col("plays").cast("double").alias("value"))
+    return a.union(b)
+
+
+@query("S11_feature_files", sql("""SELECT t.user_id::INT AS "user", t.item_id::INT AS item, t.rating AS score, u.age, u.gender, p_name AS name, 1990 + p_size AS year, CASE WHEN p_partkey IS NOT NULL THEN [(p_size % 2)::TINYINT, (p_size % 3 = 0)::TINYINT] END AS genres
+FROM test t JOIN users u USING (user_id) LEFT JOIN part ON p_partkey = t.item_id AND p_size > 5"""))
+def feature_files(v: Views):
+    """Events with the features of users and items, all from tab-separated files with comments; some items have none."""
+    folder = D.scratch(v.spark, "features")
+    note = v.spark.createDataFrame([("# made from the tables",)], "line string")
+    lines = lambda rows, name, *c: rows.select(F.concat_ws("\t", *c).alias("line")).union(note).write.text(f"{folder}/{name}")
+    lines(v.test, "events", "user_id", "item_id", "rating")
+    lines(v.users, "users", "user_id", "age", "gender", F.lit("none"), F.lit("00000"))
+    genres = F.concat_ws(" ", F.col("p_size") % 2, (F.col("p_size") % 3 == 0).cast("int"))
+    lines(v.table("part").where("p_size > 5"), "items", "p_partkey", "p_name", 1990 + F.col("p_size"), genres)
+    users, items = (readers.read_features(v.spark, f"{folder}/{name}", schema) for name, schema in (("users", readers.USER_FEATURES), ("items", readers.ITEM_FEATURES)))
+    rows = readers.with_features(readers.read_events(v.spark, f"{folder}/events"), users, items)
+    return rows.select("user", "item", "score", "user_feature.age", "user_feature.gender", "item_feature.name", "item_feature.year", "item_feature.genres")

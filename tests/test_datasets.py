@@ -9,6 +9,7 @@ from evenkeel.plans import fairness as X
 from evenkeel.plans import models as G
 from evenkeel.plans import statistics as S
 from evenkeel.sources import datasets as D
+from evenkeel.sources import readers
 from evenkeel.sources.views import Views
 
 
@@ -134,3 +135,18 @@ def test_synthetic_ratings_and_ratio(spark):
     users = rows.select("user", "gender").distinct()
     kept = T.balance_groups_by_ratio(rows, users, "user", "gender", {"M": 1.0, "F": 2.0}).select("user", "gender").distinct().groupBy("gender").count().collect()
     assert {r["gender"]: r["count"] for r in kept} == {"M": 10, "F": 20}
+
+
+def test_features_and_names(spark, tmp_path):
+    (tmp_path / "users").write_text("# eid age gender occupation zip\n1\t30\tF\tnone\t0\n2\t\tM\tnone\t1\n")
+    (tmp_path / "items").write_text("7\tA name\t1999\t0 1 1\n# end\n")
+    users, items = readers.read_features(spark, str(tmp_path / "users"), readers.USER_FEATURES), readers.read_features(spark, str(tmp_path / "items"), readers.ITEM_FEATURES)
+    events = spark.createDataFrame([(1, 7, 4.0), (2, 8, 1.0), (3, 7, 2.0)], readers.SCORED)
+    got = {(r["user"], r["item"]): r for r in readers.with_features(events, users, items).collect()}
+    assert got[1, 7]["user_feature"]["age"] == 30 and got[1, 7]["item_feature"]["genres"] == [0, 1, 1]
+    assert got[2, 8]["user_feature"]["age"] is None and got[2, 8]["item_feature"] is None and got[3, 7]["user_feature"] is None
+    (tmp_path / "ratings.dat").write_text("1::7::4.5::88\n")
+    rows = readers.read_named(spark, "movielens", "ratings", str(tmp_path))
+    assert rows.schema.simpleString() == "struct<user_id:string,movie_id:string,user_rating:float,timestamp:bigint>" and tuple(rows.first()) == ("1", "7", 4.5, 88)
+    with pytest.raises(ValueError):
+        readers.read_named(spark, "movielens", "plays", str(tmp_path))
