@@ -31,6 +31,8 @@ SEED = 42
 SHINGLE, SIMILARITY, LONGS = 5, 0.8, 8
 #: Blocks of a set of shingles and the shingles that make one.
 BLOCKS, BLOCK_PIECES = 32, 5
+#: (1 + s) / (1 - s) for the similarity s, a whole number at 0.8; the share of a group's sets, one in so many, from which its shingles are ranked.
+WEIGHT, KNOWN = round((1 + SIMILARITY) / (1 - SIMILARITY)), 16
 _SALTS = np.arange(1, BLOCKS * BLOCK_PIECES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -243,8 +245,10 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     set take part once.
 
     A block first compares its sets with two hubs: the one that is in the largest blocks, which is
-    the least edited of many near copies, and the first. Of the others, pairs are made that are in
-    different components and can be similar at all by what each shares with the hub (``_further_pairs``).
+    the least edited of many near copies, and the first. The others are described by what they differ in
+    from the shingles that most sets of the hub's blocks hold (``_differences``). Those that differ in
+    little are linked without a comparison (``_certain_links``); of the rest, pairs are made that are in
+    different components and differ from most in the same rare places (``_further_pairs``). Neither loses a pair.
 
     A-Z is lower-cased. Shorter texts are one shingle; null, empty and blank texts are one group; very
     long texts are read whole, in steps of bounded memory. Rows without an id take part like others;
@@ -266,18 +270,20 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         pairs = pairs.join(prints.toDF(f"key_{x}", f"prints_{x}", f"n_{x}"), f"key_{x}")
     judged = _judged(pairs.where(_near()), "similar-to-hubs")
     first = materialize(connected_components(_edges(judged.where("sure"))), "first-components")
-    # Then pairs of a hub's blocks in different components, one of the two outside the hub's.
-    rooted = first.withColumnRenamed("node", "set_key")
-    hub_roots = buckets.select(F.col("hub").alias("node")).distinct().join(first, "node", "left").select(F.col("node").alias("hub"), F.coalesce("root", "node").alias("hub_root"))
-    placed = buckets.select("bucket", "set_key", "hub").join(hub_roots, "hub").join(rooted, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    mixed = placed.where("root <> hub_root").select("bucket").distinct()
-    groups = materialize(placed.join(mixed, "bucket", "left_semi").select("hub", "set_key", "root", "hub_root").distinct(), "mixed-groups")
+    # Then the sets of a hub's blocks that are in different components are told apart by what they differ in.
+    placed = _with_roots(buckets.select("bucket", "set_key", "hub"), first)
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    groups = materialize(placed.join(mixed, "bucket", "left_semi").select("hub", "set_key").distinct(), "mixed-groups")
     drop_table(buckets)
-    near = materialize(_further_pairs(docs, rows, groups, id_column, text_column), "further-pairs")
+    differences = _differences(docs, rows, groups, id_column, text_column)
+    certain = materialize(_certain_links(differences), "certain-links")
+    joined = materialize(connected_components(_edges(judged.where("sure")).union(certain)), "second-components")
+    near = materialize(_further_pairs(differences, joined), "further-pairs")
+    drop_table(differences)
     for x in "ab":
         near = near.join(prints.toDF(f"key_{x}", f"prints_{x}", f"n_{x}"), f"key_{x}")
     second = _judged(near.where(_near()), "similar-sets")
-    sure = connected_components(_edges(judged.where("sure").union(second.where("sure"))))
+    sure = connected_components(_edges(judged.where("sure").union(second.where("sure"))).union(certain))
     # Pairs near the edge that sure links don't join are counted exactly.
     open_pairs = judged.union(second).where("NOT sure")
     for x in "ab":
@@ -348,42 +354,76 @@ def _members(docs: DataFrame, rows: DataFrame, keys: DataFrame, id_column: str,
     return materialize(texts.select(F.col(c["key"]).alias("key"), F.pandas_udf(_shingle_sets, "array<long>")("text").alias("members")), name)
 
 
-def _further_pairs(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The pairs (key_a, key_b) of a group that may be similar and that the hub doesn't join.
+def _with_roots(sets: DataFrame, components: DataFrame) -> DataFrame:
+    """``sets`` with the ``root`` of each ``set_key``, itself if it has no links."""
+    return sets.join(components.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
 
-    ``groups`` are (hub, set_key, root, hub_root): the sets that share a block with a hub, and the components so far.
-    A set has ``inside`` shingles in common with its hub, and others outside it. Similar sets of n and
-    m shingles share s (n + m) / (1 + s). Either both have as many inside the hub, which a set that is not
-    similar to it can only have with a smaller set; or they share one outside it, and by the prefix
-    rule one of the first of these. So near copies of one text, that differ from it in places of
-    their own, make no pairs, however many they are.
+
+def _differences(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """What each set of ``groups`` (hub, set_key) differs in from its group: (hub, set_key, n, places, excess).
+
+    A group's common shingles are those that over half of its sets hold. ``places`` are the shingles that
+    the set holds and that are not common, and the common ones that it lacks: first those that at most one set
+    in ``KNOWN`` of the group differs in, then the others, the rarest first. So all sets of a group have them in one order.
+    The shingles that are ranked are at most ``KNOWN`` times as many as a set of the group holds on average.
+
+    Sets A and B of n and m shingles with differences D and E have ``|D| + |E| - 2 |D and E|`` shingles that
+    one of them lacks; they are similar if these are at most (1 - s) / (1 + s) of n + m. ``excess`` is
+    ``WEIGHT * |D| - n``, so that this is ``excess_A + excess_B <= 2 * WEIGHT * |D and E|``, in whole numbers.
+    """
+    keys = groups.select("set_key").distinct()
+    members = _members(docs, rows, keys, id_column, text_column, "group-sets").toDF("set_key", "own")
+    held = groups.join(members, "set_key")
+    counts = held.select("hub", F.explode("own").alias("piece")).groupBy("hub", "piece").agg(F.count("*").alias("f")).where("f > 1")
+    known = counts.join(groups.groupBy("hub").agg(F.count("*").alias("sets")), "hub").where(F.col("f") * KNOWN > F.col("sets"))
+    ranked = F.struct(F.least("f", F.col("sets") - F.col("f")).alias("rarity"), "piece", (2 * F.col("f") > F.col("sets")).alias("most"))
+    known = known.groupBy("hub").agg(F.array_sort(F.collect_list(ranked)).alias("known"))
+    known = known.select("hub", F.col("known.piece").alias("known"), F.filter("known", lambda x: x["most"])["piece"].alias("common"))
+    none = F.array().cast("array<long>")
+    held = held.join(known, "hub", "left").withColumns({"known": F.coalesce("known", none), "common": F.coalesce("common", none)})
+    held = held.withColumn("differ", F.concat(F.array_except("own", "common"), F.array_except("common", "own")))
+    places = F.concat(F.array_except("differ", "known"), F.array_intersect("known", "differ"))
+    n, excess = F.size("own"), WEIGHT * F.size("differ") - F.size("own")
+    return materialize(held.select("hub", "set_key", n.cast("long").alias("n"), places.alias("places"), excess.cast("long").alias("excess")), "group-differences")
+
+
+def _least_excess(differences: DataFrame) -> DataFrame:
+    least = differences.groupBy("hub").agg(F.min(F.struct("excess", "set_key")).alias("least"))
+    return least.select("hub", F.col("least.excess").alias("least"), F.col("least.set_key").alias("core"))
+
+
+def _certain_links(differences: DataFrame) -> DataFrame:
+    """Links (a, b) of each set to the set of its group that differs least, where the two are similar wherever their differences are.
+
+    Two sets of a group that are similar by their numbers of differences alone are both linked to it.
+    """
+    found = differences.select("hub", "set_key", "excess").join(_least_excess(differences), "hub")
+    return found.where((F.col("set_key") != F.col("core")) & (F.col("excess") + F.col("least") <= 0)).select(F.col("set_key").alias("a"), F.col("core").alias("b")).distinct()
+
+
+def _further_pairs(differences: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs (key_a, key_b) of a group that may be similar, are in different components and aren't certain.
+
+    They have ``need = (excess_A + excess_B) / (2 * WEIGHT)`` differences in common, one at least, so by the
+    prefix rule they share one that has ``need - 1`` others after it in both. A place's ``reach`` is the
+    largest excess of a partner for which it has. A place takes part if sets of several components have it
+    and its set and some set of the place are in reach of each other. Near copies of one text that differ from it in places of their own
+    so make no pairs, however many they are.
     """
-    keys = groups.select("set_key").union(groups.select("hub")).distinct()
-    members = _members(docs, rows, keys, id_column, text_column, "group-sets")
-    joined = groups.join(members.toDF("set_key", "own"), "set_key").join(members.toDF("hub", "theirs"), "hub")
-    outside = F.array_sort(F.array_except("own", "theirs"))
-    held = joined.select("hub", "set_key", "root", "hub_root", F.size("own").alias("n"), outside.alias("outside")).withColumn("inside", F.col("n") - F.size("outside"))
-    need = F.greatest(F.lit(1), F.ceil(SIMILARITY * F.col("n") - F.col("inside") - 1e-9))
-    held = materialize(held.withColumn("outside", F.slice("outside", 1, F.greatest(F.lit(0), F.size("outside") - need + 1).cast("int"))), "group-shares")
-    ratio = SIMILARITY / (1 + SIMILARITY)
-    out = F.col("root") != F.col("hub_root")
-
-    def side(x: str, *more: Column) -> list[Column]:
-        return [*[F.col(c).alias(f"{c}_{x}") for c in ("set_key", "root", "n", "inside")], *more]
-
-    fits = (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b") - 1e-9)
-    # Both inside the hub: a set outside its component meets the sizes for which it has enough, then the sets of these.
-    sizes = held.select("hub", F.col("n").alias("n_b")).distinct()
-    asked = held.where(out).select("hub", *side("a")).join(sizes, "hub").where((F.col("inside_a") + 1e-9 >= ratio * (F.col("n_a") + F.col("n_b"))) & (F.col("n_b") >= SIMILARITY * F.col("n_a") - 1e-9))
-    right = held.select(F.col("hub").alias("hub_b"), F.col("n").alias("size_b"), *side("b")).drop("n_b")
-    plain = asked.join(right, (F.col("hub") == F.col("hub_b")) & (F.col("n_b") == F.col("size_b")) & (F.col("inside_b") + 1e-9 >= ratio * (F.col("n_a") + F.col("n_b"))) & fits)
-    # One outside it in common.
-    pieces = held.where(F.size("outside") > 0)
-    left = pieces.where(out).select("hub", *side("a", F.explode("outside").alias("piece")))
-    other = pieces.select(F.col("hub").alias("hub_b"), *side("b", F.explode("outside").alias("piece_b")))
-    shared = left.join(other, (F.col("hub") == F.col("hub_b")) & (F.col("piece") == F.col("piece_b")) & fits)
-    ordered = [F.least("set_key_a", "set_key_b").alias("key_a"), F.greatest("set_key_a", "set_key_b").alias("key_b")]
-    return plain.select(*ordered).union(shared.select(*ordered)).distinct()
+    rooted = _with_roots(differences.join(_least_excess(differences).select("hub", "least"), "hub"), components)
+    entries = rooted.select("hub", "set_key", "root", "n", "excess", "least", F.size("places").alias("size"), F.posexplode("places").alias("at", "piece"))
+    reach = 2 * WEIGHT * (F.col("size") - F.col("at")) - F.col("excess")
+    entries = entries.withColumn("reach", reach).where("reach >= least").select("hub", "piece", "set_key", "root", "n", "excess", "reach")
+    entries = materialize(entries, "places")
+    bounds = entries.groupBy("hub", "piece").agg(F.min("root").alias("root_1"), F.max("root").alias("root_2"), F.min("excess").alias("low"), F.max("reach").alias("high"))
+    kept = entries.join(bounds.where("root_1 <> root_2").select("hub", "piece", "low", "high"), ["hub", "piece"]).where("reach >= low AND excess <= high")
+    kept = materialize(kept.drop("low", "high"), "shared-places")
+    drop_table(entries)
+    left, right = (kept.toDF(*[f"{c}_{x}" for c in kept.columns]) for x in "ab")
+    sizes = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b") - 1e-9
+    fits = F.expr("set_key_a < set_key_b AND root_a <> root_b AND excess_a <= reach_b AND excess_b <= reach_a") & sizes
+    both = (F.col("hub_a") == F.col("hub_b")) & (F.col("piece_a") == F.col("piece_b"))
+    return left.join(right, both & fits).select(F.col("set_key_a").alias("key_a"), F.col("set_key_b").alias("key_b")).distinct()
 
 
 def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_column: str, text_column: str) -> DataFrame:

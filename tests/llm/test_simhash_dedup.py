@@ -174,6 +174,37 @@ def test_a_large_group_of_near_copies(spark):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, have.values()))
 
 
+def test_differences_lose_no_pair_and_make_few(spark):
+    """Every similar pair of a group is certain, joined by certain links, or among the further pairs, which are few."""
+    rng = random.Random(21)
+    base = [f"b{rng.randrange(10**4)}" for _ in range(150)]
+    places = rng.sample(range(150), 12)
+    texts = [" ".join(base)]
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(places, rng.randint(1, 6)) if i % 2 else rng.sample(range(150), rng.randint(1, 7)):
+            words[at] = f"x{at}" if i % 4 == 1 else f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words[: rng.choice([150, 150, 90])]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {t: S.xxhash.xxh64_intdigest(S._set_of(t.encode().split()).tobytes(), S.SEED) - (1 << 63) for t in texts}
+    rows = docs.select("doc_id", row_key("doc_id", text_of("text")).alias("row_digest"), "text").join(spark.createDataFrame(list(keys.items()), "text string, set_key long"), "text").drop("text")
+    groups = rows.select(F.lit(1).cast("long").alias("hub"), "set_key").distinct()
+    differences = S._differences(docs, rows, groups, "doc_id", "text")
+    certain = S._certain_links(differences)
+    roots = connected_components(certain)
+    pairs = {(r["key_a"], r["key_b"]) for r in S._further_pairs(differences, roots).collect()}
+    root = {r["node"]: r["root"] for r in roots.collect()}
+    text = {k: t for t, k in keys.items()}
+    assert all(jaccard(text[r["a"]], text[r["b"]]) >= 0.8 for r in certain.collect())
+    distinct, similar = sorted(text), 0
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1 :]:
+            if jaccard(text[a], text[b]) >= 0.8:
+                similar += 1
+                assert root.get(a, a) == root.get(b, b) or (a, b) in pairs
+    assert similar > 200 and len(pairs) < len(distinct) * (len(distinct) - 1) / 8
+
+
 def test_similar_edges(docs, clashing, empty):
     kept = S.keep_similar_one(clashing)
     assert kept.columns == clashing.columns and not {r["doc_id"] for r in kept.collect()} & {100, 101, 102, 103, 111, 112, 113, 201, 202}
