@@ -31,16 +31,25 @@ def factor_loss(ratings: DataFrame, users: DataFrame, items: DataFrame, mu: floa
     return one.select((0.5 * F.col("e") + 0.5 * penalty * (F.col("u") + F.col("i"))).alias("loss"))
 
 
+def _products(events: DataFrame, user_topics: DataFrame, item_topics: DataFrame, parents: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``_z``, an array of (z, w): P(z | user) P(item | z) of the topics that both sides have."""
+    users = user_topics.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("z", "p"))).alias("_u"))
+    items = item_topics.groupBy(*parents, "item_id").agg(F.sort_array(F.collect_list(F.struct("z", "q"))).alias("_i"))
+    both = F.flatten(F.transform("_u", lambda u: F.transform(F.filter("_i", lambda i: i["z"] == u["z"]), lambda i: F.struct(u["z"].alias("z"), (u["p"] * i["q"]).alias("w")))))
+    return events.join(users, "user_id").join(items, [*parents, "item_id"]).select(*events.columns, both.alias("_z"))
+
+
 def plsa_step(events: DataFrame, user_topics: DataFrame, item_topics: DataFrame, parents: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """One EM step of P(user, item) = sum over z of P(z | user) P(item | z).
 
     ``events`` (user_id, item_id, n), ``user_topics`` (user_id, z, p) and ``item_topics`` (item_id, z, q);
-    returns both tables anew. Posteriors are normalised within each event by a window. ``parents`` are
+    returns both tables anew. An event meets the topics of its user and item as two arrays and is no more
+    than one row in both joins. ``parents`` are
     columns of events that ``item_topics`` has too, observed attributes on which items depend.
     """
-    joined = events.join(user_topics, "user_id").join(item_topics, [*parents, "item_id", "z"]).withColumn("w", F.col("p") * F.col("q"))
-    total = F.sum("w").over(Window.partitionBy("user_id", "item_id"))
-    mass = joined.withColumn("m", F.when(total > 0, F.col("n") * F.col("w") / total).otherwise(0.0))
+    products = _products(events, user_topics, item_topics, parents)
+    total = F.aggregate("_z", F.lit(0.0), lambda s, x: s + x["w"])
+    mass = products.withColumn("_t", total).select(*events.columns, "_t", F.inline("_z")).withColumn("m", F.when(F.col("_t") > 0, F.col("n") * F.col("w") / F.col("_t")).otherwise(0.0))
     by_user = mass.groupBy("user_id", "z").agg(F.sum("m").alias("m"))
     users = by_user.select("user_id", "z", F.try_divide("m", F.sum("m").over(Window.partitionBy("user_id"))).alias("p"))
     by_item = mass.groupBy(*parents, "item_id", "z").agg(F.sum("m").alias("m"))
@@ -52,8 +61,9 @@ def fit_plsa(events: DataFrame, topics: int, rounds: int = 50, tolerance: float
     """Both tables of topics by EM, and the likelihood after each round.
 
     Rounds end when the likelihood grows by less than ``tolerance`` of its size. Topics begin unlike
-    each other by a hash. The tables of a round are kept, so the plan doesn't grow with the rounds.
+    each other by a hash. The events are kept, read several times a round, and so are the tables of a round, so the plan doesn't grow with the rounds.
     """
+    events = kept(events)
     z = F.explode(F.sequence(F.lit(0), F.lit(topics - 1))).alias("z")
 
     def begin(column: str, name: str, whole: str) -> DataFrame:
@@ -76,8 +86,9 @@ def fit_als(ratings: DataFrame, rank: int, ridge: float, rounds: int = 20, toler
     """User and item vectors by alternating least squares, and the training RMSE after each round.
 
     Item vectors begin as ones, with the first element of each moved by a hash of the item. Rounds end
-    when the RMSE sinks by less than ``tolerance``.
+    when the RMSE sinks by less than ``tolerance``. The ratings are kept, since a round reads them three times.
     """
+    ratings = kept(ratings.select("user_id", "item_id", "rating"))
     start = F.concat(F.array(1 + F.pmod(F.xxhash64("item_id"), F.lit(1000)) / 1000), F.array_repeat(F.lit(1.0), rank - 1))
     items = ratings.select("item_id").distinct().withColumn("vector", start)
     history: list[float] = []
@@ -94,8 +105,7 @@ def fit_als(ratings: DataFrame, rank: int, ridge: float, rounds: int = 20, toler
 
 def plsa_likelihood(events: DataFrame, user_topics: DataFrame, item_topics: DataFrame) -> DataFrame:
     """Sum of n log P(item | user)."""
-    joined = events.join(user_topics, "user_id").join(item_topics, ["item_id", "z"])
-    per = joined.groupBy("user_id", "item_id", "n").agg(F.sum(F.col("p") * F.col("q")).alias("l"))
+    per = _products(events, user_topics, item_topics).select("n", F.aggregate("_z", F.lit(0.0), lambda s, x: s + x["w"]).alias("l"), F.size("_z").alias("_size")).where("_size > 0")
     return per.agg(F.sum(F.col("n") * F.log("l")).alias("likelihood"))
 
 

@@ -30,3 +30,24 @@ def test_plsa_grows_until_it_hardly_does(spark):
     assert all(b >= a - 1e-9 for a, b in zip(history, history[1:])) and len(history) > 1
     assert all(abs(r["s"] - 1) < 1e-9 for r in users.groupBy("user_id").agg({"p": "sum"}).toDF("user_id", "s").collect())
     assert all(abs(r["s"] - 1) < 1e-9 for r in items.groupBy("z").agg({"q": "sum"}).toDF("z", "s").collect())
+
+
+def test_topic_steps_make_no_window_over_events(spark):
+    """An event meets its topics as arrays: the joins and the norm once gave each event a row for every topic."""
+    from pyspark.sql import functions as F
+
+    from evenkeel.plans import factors
+
+    events = spark.createDataFrame([(u, i, 1.0) for u in range(4) for i in range(3) if (u + i) % 2], "user_id long, item_id long, n double")
+    z = F.explode(F.array(F.lit(0), F.lit(1))).alias("z")
+    users = events.select("user_id").distinct().select("user_id", z).withColumn("p", (1 + (F.col("user_id") + F.col("z")) % 2) / 3.0)
+    items = events.select("item_id").distinct().select("item_id", z).withColumn("q", (1 + (F.col("item_id") + F.col("z")) % 3) / 9.0)
+    made = factors.plsa_step(events, users, items)
+    p, q = {(r[0], r[1]): r[2] for r in users.collect()}, {(r[0], r[1]): r[2] for r in items.collect()}
+    mass = {(u, t): 0.0 for u in range(4) for t in (0, 1)}
+    for u, i, n in events.collect():
+        for t in (0, 1):
+            mass[u, t] += n * p[u, t] * q[i, t] / sum(p[u, s] * q[i, s] for s in (0, 1))
+    for r in made[0].collect():
+        assert abs(r["p"] - mass[r["user_id"], r["z"]] / (mass[r["user_id"], 0] + mass[r["user_id"], 1])) < 1e-9
+    assert made[0]._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1
