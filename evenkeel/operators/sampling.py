@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .numbering import numbered
+from .numbering import kept, numbered
 
 MODULUS = 2147483647
 
@@ -26,46 +27,48 @@ def negatives(positives: DataFrame, items: DataFrame, known: DataFrame, per_posi
     """Items that a user has not met: (user_id, item_id, negative_id).
 
     Each positive gets ``per_positive`` different ones, or all that the user has not met if these are
-    fewer. It draws ``tries * per_positive`` numbers by hash; what the user knows is anti-joined and
-    repeated draws go. Positives still short then get items by rank among those the user has not met.
+    fewer. It draws ``tries * per_positive`` numbers by hash; what the user knows and repeated draws go.
+    Positives still short then get items by rank among those the user has not met. Known items are
+    numbered and come together by user, so draws are not shuffled, only what is chosen, for its item.
     The work is in proportion to the positives and known pairs, not to users x items.
     """
-    numbered = item_numbers(items)
+    numbered = kept(item_numbers(items))
     total = numbered.agg(F.count("*").alias("n_items"))
-    draws = positives.select("user_id", "item_id").join(F.broadcast(total), F.lit(True)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(tries * per_positive))))
-    draws = draws.withColumn("number", drawn(F.col("draw"), seed) % F.col("n_items"))
-    found = draws.join(numbered.withColumnRenamed("item_id", "negative_id"), "number").select("user_id", "item_id", "negative_id", "draw")
-    fresh = found.join(known.select("user_id", F.col("item_id").alias("negative_id")), ["user_id", "negative_id"], "left_anti")
-    once = fresh.groupBy("user_id", "item_id", "negative_id").agg(F.min("draw").alias("draw"))
-    given = once.groupBy("user_id", "item_id").agg(F.count("*").alias("given"))
-    short = positives.select("user_id", "item_id").distinct().join(given, ["user_id", "item_id"], "left").where(F.coalesce("given", F.lit(0)) < per_positive)
-    exact = _by_rank(short.select("user_id", "item_id"), numbered, total, known, per_positive, seed)
-    exact = exact.withColumn("draw", F.col("draw") + tries * per_positive)
-    once = once.unionByName(exact).groupBy("user_id", "item_id", "negative_id").agg(F.min("draw").alias("draw"))
-    w = Window.partitionBy("user_id", "item_id").orderBy("draw")
-    return once.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_positive).select("user_id", "item_id", "negative_id")
-
-
-def _by_rank(short: DataFrame, numbered: DataFrame, total: DataFrame, known: DataFrame, per_positive: int, seed: int) -> DataFrame:
-    """``per_positive`` different unknown items, or all, for each of ``short``: (user_id, item_id, negative_id, draw).
-
-    Successive ranks among the user's unknown items are taken, from one drawn by hash. The j-th known
-    number (from 0) has number - j unknown ones below it, so a running count of those up to a rank
-    moves it past the known numbers.
-    """
-    met = known.select("user_id", "item_id").distinct().join(short.select("user_id").distinct(), "user_id", "left_semi").join(numbered, "item_id")
-    sizes = met.groupBy("user_id").agg(F.count("*").alias("n_known"))
-    free = F.col("n_items") - F.coalesce("n_known", F.lit(0))
-    ranks = short.join(sizes, "user_id", "left").join(F.broadcast(total), F.lit(True)).withColumn("free", free).where("free > 0")
-    ranks = ranks.withColumn("draw", F.explode(F.sequence(F.lit(1), F.least(F.col("free"), F.lit(per_positive)).cast("int"))))
-    at = F.pmod((drawn(F.lit(0), seed) % F.col("free")) + F.col("draw"), F.col("free"))
-    ranks = ranks.select("user_id", at.alias("at"), F.lit(0).alias("met"), "item_id", "draw")
-    j = F.row_number().over(Window.partitionBy("user_id").orderBy("number")) - 1
-    gaps = met.select("user_id", (F.col("number") - j).alias("at"), F.lit(1).alias("met"), F.lit(None).alias("item_id"), F.lit(None).alias("draw"))
-    # Known numbers come before a rank of the same value.
-    past = Window.partitionBy("user_id").orderBy("at", F.desc("met")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = ranks.union(gaps).withColumn("number", F.col("at") + F.sum("met").over(past)).where("met = 0")
-    return placed.join(numbered.withColumnRenamed("item_id", "negative_id"), "number").select("user_id", "item_id", "negative_id", "draw")
+    met = known.select("user_id", "item_id").join(numbered, "item_id").groupBy("user_id").agg(F.sort_array(F.collect_set("number")).alias("met"))
+    own = positives.select("user_id", "item_id").groupBy("user_id").agg(F.collect_set("item_id").alias("own"))
+    rows = own.join(met, "user_id", "left").join(F.broadcast(total), F.lit(True))
+    chosen = _chooser(per_positive, tries, seed)("user_id", "own", F.coalesce("met", F.array().cast("array<bigint>")), "n_items")
+    picked = rows.select("user_id", F.inline(chosen).alias("item_id", "number"))
+    return picked.join(numbered.withColumnRenamed("item_id", "negative_id"), "number").select("user_id", "item_id", "negative_id")
+
+
+def _chooser(per_positive: int, tries: int, seed: int):
+    """A function of a user, its positives, the sorted numbers of what it knows and the number of items: an array of (positive, number)."""
+
+    def ordinals(user: int, own: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        mixed = (np.int64(user) * 7919 + own[:, None] * 104729 + draws[None, :] * 1299709 + seed) % MODULUS
+        return mixed * 48271 % MODULUS
+
+    def of_user(user: int, own: np.ndarray, met: np.ndarray, n_items: int) -> list[tuple[int, int]]:
+        drawn = ordinals(user, own, np.arange(1, tries * per_positive + 1)) % n_items
+        at = np.minimum(np.searchsorted(met, drawn), max(len(met) - 1, 0))
+        fresh = met[at] != drawn if len(met) else np.ones(drawn.shape, bool)
+        free = n_items - len(met)
+        # The j-th known number has number - j unknown ones below it: a rank moves past those with no more than itself.
+        gaps, start = met - np.arange(len(met)), ordinals(user, own, np.array([0]))[:, 0]
+        out = []
+        for item, first, numbers, good in zip(own.tolist(), start.tolist(), drawn.tolist(), fresh.tolist()):
+            found = list(dict.fromkeys(x for x, ok in zip(numbers, good) if ok))
+            if len(found) < per_positive and free > 0:
+                ranks = (first % free + np.arange(1, min(free, per_positive) + 1)) % free
+                found = list(dict.fromkeys(found + (ranks + np.searchsorted(gaps, ranks, side="right")).tolist()))
+            out.extend((item, x) for x in found[:per_positive])
+        return out
+
+    def choose(users: pd.Series, own: pd.Series, met: pd.Series, n_items: pd.Series) -> pd.Series:
+        return pd.Series([[{"item_id": i, "number": x} for i, x in of_user(u, np.asarray(o, np.int64), np.asarray(m, np.int64), n)] for u, o, m, n in zip(users, own, met, n_items)])
+
+    return F.pandas_udf(choose, "array<struct<item_id:bigint,number:bigint>>")
 
 
 def triplets(train: DataFrame, items: DataFrame, per_positive: int, seed: int = 0) -> DataFrame:
