@@ -1,5 +1,6 @@
 """Scores of candidates without a shuffle of pairs, and each user's best without pairs."""
 
+import math
 import random
 
 import pytest
@@ -70,3 +71,9 @@ def test_ties_of_solved_systems_round_away_from_zero(spark):
 
     rows = spark.createDataFrame([(-0.80468749999999978,), (0.80468749999999978,), (0.8046874999,)], "x double").select(settled(F.col("x")))
     assert [r[0] for r in rows.collect()] == [-0.804688, 0.804688, 0.804687]
+
+
+def test_lists_are_sorted_once(spark, tmp_path):
+    """Each reference to a user's list filtered and sorted it again."""
+    plan = _folder(spark, tmp_path, 30, 300, 20, (1, 5)).shortlist(3, ties=(1, -1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(" not in plan and "sort_array(" not in plan
