@@ -77,3 +77,29 @@ def test_lists_are_sorted_once(spark, tmp_path):
     """Each reference to a user's list filtered and sorted it again."""
     plan = _folder(spark, tmp_path, 30, 300, 20, (1, 5)).shortlist(3, ties=(1, -1))._jdf.queryExecution().optimizedPlan().toString()
     assert "array_sort(" not in plan and "sort_array(" not in plan
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_swaps_are_listed_once_and_those_of_the_rounds(spark, monkeypatch, seed):
+    draw = random.Random(seed)
+    rows = [(u, u % 3 > 0, i, draw.choice((1.0, 2.0, 2.5, 4.0)), int(draw.random() < (0.5 if u % 3 else 0.2))) for u in range(40) for i in draw.sample(range(50), draw.randint(2, 14))]
+    made, real = [], fairness.kept
+    monkeypatch.setattr(fairness, "kept", lambda table: made.append("item_id" in table.columns) or real(table))
+    found = fairness.fair_rerank(spark.createDataFrame(rows, "user_id long, sensitive boolean, item_id long, score double, hit int"), 5, 0.0, "hit")
+    lists = {u: [r for r in rows if r[0] == u] for u in range(40)}
+    chosen = {u: set(sorted(own, key=lambda r: (-r[3], r[2]))[:5]) for u, own in lists.items()}
+    for _ in range(5):
+        hits = {g: [sum(r[4] for r in chosen[u]) for u in lists if (u % 3 > 0) == g] for g in (True, False)}
+        gap = sum(hits[True]) / len(hits[True]) - sum(hits[False]) / len(hits[False])
+        swaps = []
+        for u in lists:
+            out = sorted((r[3], r[2], r) for r in chosen[u] if r[4])
+            into = sorted((r[3], r[2], r) for r in lists[u] if r not in chosen[u] and not r[4])
+            if (u % 3 > 0) == (gap > 0) and out and into:
+                swaps.append((out[0][0] - into[-1][0], u, out[0][2], into[-1][2]))
+        if not gap or not swaps:
+            break
+        for _, u, out, into in sorted(swaps)[: math.ceil(abs(gap) * len(hits[gap > 0]) - 1e-9)]:
+            chosen[u] = chosen[u] - {out} | {into}
+    assert sorted(tuple(r) for r in found.select("user_id", "sensitive", "item_id", "score", "hit").collect()) == sorted(r for own in chosen.values() for r in own)
+    assert made.count(True) == 1
