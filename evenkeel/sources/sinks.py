@@ -28,9 +28,26 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def labelled_rows(rows: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """uid, iid, label rows: label 1 for ratings over the threshold."""
-    return rows.select(F.col("user_id").alias("uid"), F.col("item_id").alias("iid"), (F.col("rating") > threshold).cast("int").alias("label"))
+def labelled_rows(rows: DataFrame, threshold: float = 3.0, keep: list[str] | None = None) -> DataFrame:
+    """uid, iid, label rows, and the columns to ``keep``: label 1 for ratings over the threshold."""
+    return rows.select(F.col("user_id").alias("uid"), F.col("item_id").alias("iid"), (F.col("rating") > threshold).cast("int").alias("label"), *(keep or []))
+
+
+def write_labelled(rows: DataFrame, part: str, names: tuple[str, ...], folder: str) -> None:
+    """``labelled_rows`` as tab-separated files in a folder for each value of ``part``; rows are read and written once. Parts without rows get empty files.
+
+    Rows of other parts, or of none, aren't written.
+    """
+    spark, wanted = rows.sparkSession, rows.where(F.col(part).isin(*names))
+    labelled_rows(wanted, keep=[part]).write.partitionBy(part).csv(folder, sep="\t", header=True)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = place(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in names:
+        if files.exists(place(f"{folder}/{part}={name}")):
+            if not files.rename(place(f"{folder}/{part}={name}"), place(f"{folder}/{name}")):
+                raise OSError(f"{folder}/{part}={name} can't be renamed")
+        else:
+            labelled_rows(spark.createDataFrame([], rows.schema)).write.csv(f"{folder}/{name}", sep="\t", header=True)
 
 
 def rerank_rows(scores: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
