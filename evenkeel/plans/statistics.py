@@ -28,13 +28,23 @@ def _cumulative(counts: DataFrame) -> DataFrame:
 
 def ks_statistic(rows: DataFrame, value: str, group: str) -> DataFrame:
     """Largest difference of the two empirical distributions, with both sizes."""
-    c = _cumulative(value_counts(rows, value, group))
+    return ks_of_counts(value_counts(rows, value, group))
+
+
+def ks_of_counts(counts: DataFrame) -> DataFrame:
+    """``ks_statistic`` of ``value_counts``."""
+    c = _cumulative(counts)
     return c.agg(F.max(F.abs(F.col("f1") - F.col("f2"))).alias("ks"), F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))
 
 
 def cdf_area(rows: DataFrame, value: str, group: str) -> DataFrame:
     """Area between the two distributions, and divided by the range of the pooled values."""
-    c = _cumulative(value_counts(rows, value, group))
+    return cdf_area_of_counts(value_counts(rows, value, group))
+
+
+def cdf_area_of_counts(counts: DataFrame) -> DataFrame:
+    """``cdf_area`` of ``value_counts``."""
+    c = _cumulative(counts)
     area = F.coalesce(F.sum(F.abs(F.col("f1") - F.col("f2")) * (F.col("next") - F.col("x"))), F.lit(0.0))
     out = c.agg(area.alias("area"), (F.max("x") - F.min("x")).alias("width"), F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))
     empty = (F.col("n1") == 0) | (F.col("n2") == 0)
@@ -43,9 +53,14 @@ def cdf_area(rows: DataFrame, value: str, group: str) -> DataFrame:
 
 def mann_whitney(rows: DataFrame, value: str, group: str) -> DataFrame:
     """U statistics from midranks, the smaller one, and the tie-corrected z with continuity correction."""
-    counts = value_counts(rows, value, group).withColumn("c", F.col("c1") + F.col("c2"))
+    return mann_whitney_of_counts(value_counts(rows, value, group))
+
+
+def mann_whitney_of_counts(counts: DataFrame) -> DataFrame:
+    """``mann_whitney`` of ``value_counts``."""
+    counts = counts.withColumn("c", F.col("c1") + F.col("c2"))
     ranks = running(counts, "x", {"upto": "c"}).withColumn("midrank", F.col("upto") - F.col("c") + (F.col("c") + 1) / 2)
-    sums = ranks.agg(F.sum(F.col("midrank") * F.col("c1")).alias("r1"), F.sum("c1").alias("n1"), F.sum("c2").alias("n2"), F.sum((F.pow("c", F.lit(3.0)) - F.col("c"))).alias("ties"))
+    sums = ranks.agg(F.sum(F.col("midrank") * F.col("c1")).alias("r1"), F.sum("c1").cast("double").alias("n1"), F.sum("c2").cast("double").alias("n2"), F.sum((F.pow("c", F.lit(3.0)) - F.col("c"))).alias("ties"))
     n = F.col("n1") + F.col("n2")
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     out = sums.withColumns({"u1": u1}).withColumn("u2", F.col("n1") * F.col("n2") - F.col("u1"))
@@ -56,7 +71,11 @@ def mann_whitney(rows: DataFrame, value: str, group: str) -> DataFrame:
 
 def kruskal_wallis(rows: DataFrame, value: str, group: str) -> DataFrame:
     """H statistic with the correction for ties, and its degrees of freedom."""
-    cells = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x"), F.col(group).alias("g")).agg(F.count("*").alias("c"))
+    return kruskal_wallis_of_counts(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x"), F.col(group).alias("g")).agg(F.count("*").alias("c")))
+
+
+def kruskal_wallis_of_counts(cells: DataFrame) -> DataFrame:
+    """``kruskal_wallis`` of the counts ``c`` of values ``x`` in groups ``g``."""
     values = cells.groupBy("x").agg(F.sum("c").alias("t"))
     ranks = running(values, "x", {"upto": "t"}).withColumn("midrank", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2)
     ties = ranks.agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"), F.sum("t").alias("n"))
@@ -69,8 +88,12 @@ def kruskal_wallis(rows: DataFrame, value: str, group: str) -> DataFrame:
 
 def chi_square(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Independence of two categories over observed margins; with one degree of freedom each deviation is lessened by a half, without regard to its sign."""
-    cells = rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("o"))
-    ra, cb = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("cb"))
+    return chi_square_of_counts(rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("o")))
+
+
+def chi_square_of_counts(cells: DataFrame) -> DataFrame:
+    """``chi_square`` of the counts ``o`` of the categories ``a`` and ``b``."""
+    ra, cb = cells.groupBy("a").agg(F.sum("o").cast("double").alias("ra")), cells.groupBy("b").agg(F.sum("o").cast("double").alias("cb"))
     grid = ra.crossJoin(cb).join(cells, ["a", "b"], "left").fillna({"o": 0})
     grid = grid.withColumn("n", F.sum("ra").over(Window.partitionBy("b"))).withColumn("e", F.col("ra") * F.col("cb") / F.col("n"))
     dev = F.abs(F.col("o") - F.col("e"))
@@ -108,6 +131,14 @@ def gaussian_information(rows: DataFrame, value: str, group: str, a: float = 1e-
     return groups.join(F.broadcast(total), F.lit(True)).agg((F.first("h") - F.sum(F.col("ng") / F.col("n") * F.col("hg"))).alias("mi"))
 
 
+def gaussian_information_of_moments(total: DataFrame, groups: DataFrame, a: float, b: float) -> DataFrame:
+    """``gaussian_information`` of the moments (n, var) of all and of each group; n times the variance is the sum of squares less the squared sum over n."""
+    n = F.col("n")
+    h = 0.5 * F.log(2 * math.pi * math.e * (2 * b + n * F.col("var")) / (2 * a + n))
+    both = groups.select(n.alias("ng"), h.alias("hg")).join(F.broadcast(total.select("n", h.alias("h"))), F.lit(True))
+    return both.agg((F.first("h") - F.sum(F.col("ng") / F.col("n") * F.col("hg"))).alias("mi"))
+
+
 def gini(rows: DataFrame, value: str, weight: str | None = None) -> DataFrame:
     """Gini coefficient, by weights if given; equal values are one step of the curve."""
     w = F.col(weight) if weight else F.lit(1.0)
