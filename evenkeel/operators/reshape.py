@@ -32,6 +32,16 @@ def completed_sums(users: DataFrame, items: DataFrame, scores: DataFrame) -> Dat
     """Of ``complete`` each user's number of cells ``n`` and their sum ``total``, without the product; users without scores have no total."""
     known = scores.join(items.select("item_id"), "item_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("_known"), F.sum("score").alias("_sum"))
     means = scores.groupBy("user_id").agg(F.avg("score").alias("_mean"))
+    return _completed_of(users, items, known, means)
+
+
+def completed_of_sums(users: DataFrame, items: DataFrame, sums: DataFrame, known: DataFrame) -> DataFrame:
+    """``completed_sums`` of each user's number ``n`` and ``total`` of scores: of all, and of those of ``items`` (``known``)."""
+    known = known.select("user_id", F.col("n").alias("_known"), F.col("total").alias("_sum"))
+    return _completed_of(users, items, known, sums.select("user_id", (F.col("total") / F.col("n")).alias("_mean")))
+
+
+def _completed_of(users: DataFrame, items: DataFrame, known: DataFrame, means: DataFrame) -> DataFrame:
     size = items.agg(F.count("*").alias("n"))
     rows = users.select("user_id").join(known, "user_id", "left").join(means, "user_id", "left").join(F.broadcast(size), F.lit(True))
     filled = (F.col("n") - F.coalesce("_known", F.lit(0))) * F.col("_mean")
